@@ -1,0 +1,200 @@
+"""Secret scans: pattern rules and a randomness test battery with length-aware false-discovery control.
+
+Rules (leftmost, non-overlapping for each kind; matches that are too short are dropped afterwards):
+``assign`` (a credential word, ``:`` or ``=``, a value of 12 or more), ``access`` (``AKIA`` keys of 18
+or more) and ``hex`` (16 or more). The span of an ``assign`` is the whole match.
+
+The battery looks at every other run of 20 or more characters of ``[A-Za-z0-9+/_-]`` with a letter and a
+digit in it. The encoding is the smallest alphabet that holds the token (digits with hex letters, base
+32, alphanumeric, base 64). Three tests ask whether its symbols could be drawn at random: chi-squared for the alphabet's
+uniformity, the number of runs above and below the alphabet's middle, and the correlation of successive
+symbols. The least of the three p-values, times three, is the token's. Among the tokens of a length band, over
+all documents, a Benjamini-Hochberg step at level ``fdr`` settles which are structured: of those thrown
+out, no more than that share is expected to be random. Bands, so that short tokens, on which the tests
+have little power, don't set the threshold for long ones. What isn't thrown out is a ``random`` span.
+p-values are counted on a fixed grid, rounded up, so that the step needs one small table of counts.
+
+Null texts count as empty, positions are code points (end exclusive), repeated rows are scanned alike,
+and columns of the input stay unless they are named like a new one. DataFrame expressions only.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.llm.common import free_name
+
+KINDS = ("assign", "access", "hex", "random")
+ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = "AKIA[A-Z0-9]{14,}"
+HEX = "[0-9a-f]{16,}"
+TOKEN = "[A-Za-z0-9+/_-]{20,}"
+#: Upper ends of the length bands, exclusive.
+BANDS = (28, 40, 56, 80, 128, 256)
+#: Grid of -log10 p: steps and the last one.
+_STEP, _LAST = 0.05, 800
+
+_SPAN = "array<struct<start:int,end:int,kind:int,token:string>>"
+
+
+def _spans(text: Column, pattern: str, kind: int) -> Column:
+    """All matches with their places: what lies between them is measured, too."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    none = F.array().cast(_SPAN)
+    step = lambda acc, x: F.struct(
+        (acc["at"] + F.char_length(x["gap"]) + F.char_length(x["hit"])).alias("at"),
+        F.concat(
+            acc["out"],
+            F.array(
+                F.struct(
+                    (acc["at"] + F.char_length(x["gap"])).alias("start"),
+                    (acc["at"] + F.char_length(x["gap"]) + F.char_length(x["hit"])).alias("end"),
+                    F.lit(kind).alias("kind"),
+                    x["hit"].alias("token"),
+                )
+            ),
+        ).cast(_SPAN).alias("out"),
+    )
+    both = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+    walked = F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+    return F.when(text.rlike(pattern), walked).otherwise(none)
+
+
+def _upper_tail(z: Column) -> Column:
+    """P(Z > z) for a normal variable; relative error about 1e-7 on the right (Abramowitz and Stegun 7.1.26 within, Mills' ratio beyond)."""
+    a = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * a)
+    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    far = F.exp(-a * a) / (a * math.sqrt(math.pi)) * (1 - 1 / (2 * a * a))
+    tail = 0.5 * F.when(a < 2.5, poly * F.exp(-a * a)).otherwise(far)
+    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+
+_HEX, _B32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def randomness_p(token: Column) -> Column:
+    """Combined p-value of the three tests under the token's inferred encoding."""
+    is_hex = token.rlike("^([0-9a-f]+|[0-9A-F]+)$")
+    symbols = F.when(is_hex, F.lit(_HEX)).when(token.rlike("^[A-Z2-7]+$"), F.lit(_B32)).when(token.rlike("^[A-Za-z0-9]+$"), F.lit(_ALNUM)).otherwise(F.lit(_ALNUM + "+/"))
+    plain = F.when(is_hex, F.lower(token)).otherwise(F.translate(token, "-_", "+/"))
+
+    def tests(x: Column) -> Column:
+        chars, size, n = F.split(x["plain"], ""), F.char_length(x["symbols"]), F.char_length(x["plain"])
+        squares = F.aggregate(
+            F.transform(F.array_distinct(chars), lambda c: n - F.char_length(F.replace(x["plain"], c, F.lit("")))), F.lit(0), lambda s, c: s + c * c
+        )
+        chi, df = size / n * squares - n, size - 1
+        p_chi = _upper_tail((F.pow(F.greatest(chi, F.lit(1e-9)) / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
+        at = F.transform(chars, lambda c: F.instr(x["symbols"], c) - 1)
+        return F.struct(at.alias("at"), n.alias("n"), size.alias("size"), p_chi.alias("p_chi"))
+
+    def more(y: Column) -> Column:
+        n, high = y["n"], F.transform(y["at"], lambda v: (v * 2 >= y["size"]).cast("int"))
+        ones = F.aggregate(high, F.lit(0), lambda s, v: s + v)
+        zeros = n - ones
+        pairs = F.zip_with(F.slice(high, F.lit(1), n - 1), F.slice(high, F.lit(2), n - 1), lambda a, b: (a != b).cast("int"))
+        runs = 1 + F.aggregate(pairs, F.lit(0), lambda s, v: s + v)
+        mean = 2 * ones * zeros / n + 1
+        p_runs = F.when((ones > 0) & (zeros > 0), 2 * _upper_tail(F.abs(runs - mean) / F.sqrt((mean - 1) * (mean - 2) / (n - 1)))).otherwise(F.pow(F.lit(0.5), n - 1))
+        centre = F.aggregate(y["at"], F.lit(0.0), lambda s, v: s + v) / n
+        off = F.transform(y["at"], lambda v: v - centre)
+        own = F.aggregate(off, F.lit(0.0), lambda s, v: s + v * v)
+        lagged = F.zip_with(F.slice(off, F.lit(1), n - 1), F.slice(off, F.lit(2), n - 1), lambda a, b: a * b)
+        p_serial = F.when(own > 0, 2 * _upper_tail(F.abs(F.aggregate(lagged, F.lit(0.0), lambda s, v: s + v) / own * F.sqrt(n)))).otherwise(0.0)
+        return F.least(F.lit(1.0), 3 * F.least(y["p_chi"], F.coalesce(p_runs, F.lit(1.0)), p_serial))
+
+    first = F.transform(F.array(F.struct(plain.alias("plain"), symbols.alias("symbols"))), tests)
+    return F.element_at(F.transform(first, more), 1)
+
+
+def _band(length: Column) -> Column:
+    return sum(((length >= b).cast("int") for b in BANDS), F.lit(0))
+
+
+def _with_spans(df: DataFrame, text_col: str) -> DataFrame:
+    """df with _base (rule spans) and _tokens (candidates of the battery: span, band, grid cell of p)."""
+    text = F.coalesce(text_col, F.lit(""))
+    assign = F.filter(_spans(text, ASSIGN, 0), lambda s: F.char_length(F.regexp_extract(s["token"], ASSIGN, 2)) >= 12)
+    base = F.array_sort(F.concat(assign, _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
+    df = df.withColumn("_base", base)
+    mixed = F.filter(_spans(text, TOKEN, 3), lambda s: s["token"].rlike("[0-9]") & s["token"].rlike("[A-Za-z]"))
+    alone = F.filter(mixed, lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    cell = lambda t: F.least(F.lit(_LAST), F.floor(-F.log10(F.greatest(randomness_p(t), F.lit(1e-300))) / _STEP)).cast("int")
+    tokens = F.transform(
+        alone,
+        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), _band(F.char_length(s["token"])).alias("band"), cell(s["token"]).alias("cell")),
+    )
+    return df.withColumn("_tokens", tokens)
+
+
+def structured_from(df: DataFrame, text_col: str = "text", fdr: float = 0.05) -> dict[int, int]:
+    """For each length band the grid cell from which on tokens are structured; a count for each (band, cell) reaches the driver."""
+    tokens = _with_spans(df.select(text_col), text_col).select(F.explode("_tokens").alias("t"))
+    counts: dict[int, dict[int, int]] = {}
+    for r in tokens.groupBy("t.band", "t.cell").count().collect():
+        counts.setdefault(r["band"], {})[r["cell"]] = r["count"]
+    out = {}
+    for band, by_cell in counts.items():
+        total, seen = sum(by_cell.values()), 0
+        for cell in sorted(by_cell, reverse=True):  # least p first
+            seen += by_cell[cell]
+            if 10 ** (-cell * _STEP) <= fdr * seen / total:
+                out[band] = cell
+    return out
+
+
+def scan_secrets(df: DataFrame, text_col: str = "text", fdr: float = 0.05, thresholds: dict[int, int] | None = None) -> DataFrame:
+    """df with base_spans and spans: arrays of struct(start, end, kind) by start, then kind as listed."""
+    thresholds = structured_from(df, text_col, fdr) if thresholds is None else thresholds
+    limit = F.array(*(F.lit(thresholds.get(b, _LAST + 1)) for b in range(len(BANDS) + 1)))
+    names = F.array(*map(F.lit, KINDS))
+    plain = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    named = lambda spans: F.transform(
+        F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))),
+        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(names, s["kind"] + 1).alias("kind")),
+    )
+    df = _with_spans(df.drop("base_spans", "spans"), text_col)
+    random = F.filter("_tokens", lambda s: s["cell"] < F.element_at(limit, s["band"] + 1))
+    return (
+        df.withColumn("base_spans", named(plain(F.col("_base"))))
+        .withColumn("spans", named(F.concat(plain(F.col("_base")), plain(random))))
+        .drop("_base", "_tokens")
+    )
+
+
+def span_text(spans: Column) -> Column:
+    """kind:start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def redact(df: DataFrame, text_col: str = "text", mask: str = "[secret]", fdr: float = 0.05) -> DataFrame:
+    """df with every span of the text replaced by the mask; overlapping spans are one. Null texts stay null."""
+    cols = df.columns
+    found = scan_secrets(df.withColumn(text := free_name(df, "_whole"), F.col(text_col)), text, fdr)
+    init = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda acc, s: F.struct(
+        F.greatest(acc["at"], s["end"]).alias("at"),
+        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"]).alias("out"),
+    )
+    done = F.aggregate("spans", init, step)
+    clean = F.concat(done["out"], F.substring(F.col(text), done["at"] + 1, F.char_length(text)))
+    return found.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(F.col(text))).select(*cols)
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    kind = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
+    return scan_secrets(docs).select(
+        "doc_id",
+        kind("assign").alias("n_assign"),
+        kind("access").alias("n_access"),
+        kind("hex").alias("n_hex"),
+        F.sha2(span_text(F.col("base_spans")), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+    )
