@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.llm.bpe import op8_byte_bpe
 from palimpsest.llm.secrets import op1_secret_scan
 from palimpsest.llm.sharding import op5_shard_shuffle
 from palimpsest.llm.simhash_dedup import op9_simhash_near_dedup
@@ -13,7 +14,7 @@ from palimpsest.llm.sketches import op10_document_fingerprints
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_secret_scan, op5_shard_shuffle, op9_simhash_near_dedup, op10_document_fingerprints)
+    ops = (op1_secret_scan, op5_shard_shuffle, op8_byte_bpe, op9_simhash_near_dedup, op10_document_fingerprints)
     return {f.__name__: f for f in ops}
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import free_name
 
-SCALE = 16
+SCALE = 8
 EXACT_BELOW = 128
 _RANGE = 1 << 32
 
