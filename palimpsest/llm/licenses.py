@@ -90,7 +90,7 @@ def scan_licenses(
     words = F.col("_words")
     found = df.select(*columns).withColumn("_words", words_of(F.col(text_col))).withColumn("_present", F.array_intersect(words, _array(vocabulary)))
     # Document frequencies: a row for each licence word, so of a fixed number.
-    counts = {r[0]: r[1] for r in found.select(F.explode("_present").alias("w")).groupBy("w").count().collect()}
+    counts = {r[0]: r[1] for r in found.select(F.explode_outer("_present").alias("w")).where("w is not null").groupBy("w").count().collect()}
     order = _array(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))  # rarest first: highest inverse document frequency
     keys = [set(key) for _, _, key in cut]
     possible = reduce(lambda a, b: a | b, (F.size(F.array_intersect("_present", _array(sorted(k)))) == len(k) for k in keys))
@@ -101,7 +101,7 @@ def scan_licenses(
         .withColumn("_possible", possible)
         .withColumn("_key", F.when(possible, F.md5(text_col)))
     )
-    spots = found.where("_possible").select("_key", F.slice(F.array_intersect(order, "_present"), 1, rare).alias("_rare"), F.posexplode("_words").alias("at", "w")).where(F.col("w").isin(vocabulary))
+    spots = found.where("_possible").select("_key", F.slice(F.array_intersect(order, "_present"), 1, rare).alias("_rare"), F.posexplode_outer("_words").alias("at", "w")).where(F.col("w").isin(vocabulary))
     places = []
     for t, (_, text, key) in enumerate(cut):
         start = next(i for i in range(len(text)) if text[i : i + len(key)] == key)

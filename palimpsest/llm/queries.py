@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm.bpe import op8_byte_bpe
+from palimpsest.llm.decontamination import op2_benchmark_decontamination
 from palimpsest.llm.licenses import op4_license_scan
 from palimpsest.llm.secrets import op1_secret_scan
 from palimpsest.llm.sharding import op5_shard_shuffle
@@ -15,7 +16,7 @@ from palimpsest.llm.sketches import op10_document_fingerprints
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_secret_scan, op4_license_scan, op5_shard_shuffle, op8_byte_bpe, op9_simhash_near_dedup, op10_document_fingerprints)
+    ops = (op1_secret_scan, op2_benchmark_decontamination, op4_license_scan, op5_shard_shuffle, op8_byte_bpe, op9_simhash_near_dedup, op10_document_fingerprints)
     return {f.__name__: f for f in ops}
 
 
