@@ -81,3 +81,17 @@ def components(edges: DataFrame, salts: int = 8, max_rounds: int = 200) -> DataF
         if not changed:
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def lookup_join(left: DataFrame, right: DataFrame, key: str, weight, limit: int, salts: int = 16) -> DataFrame:
+    """left joined (left outer) with right, unique by key.
+
+    right is broadcast only if the sum of ``weight`` over its rows is at most ``limit``. Otherwise the join is
+    a shuffle in which a common key of left is dealt over ``salts`` partitions.
+    """
+    if (right.agg(F.sum(weight)).first()[0] or 0) <= limit:
+        return left.join(F.broadcast(right), key, "left")
+    salt = free_name(left, "_salt")
+    dealt = left.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    every = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(every, [key, salt], "left").drop(salt)

@@ -14,10 +14,11 @@ from palimpsest.llm.sharding import op5_shard_shuffle
 from palimpsest.llm.simhash_dedup import op9_simhash_near_dedup
 from palimpsest.llm.sketches import op10_document_fingerprints
 from palimpsest.llm.toxicity import op3_toxicity
+from palimpsest.llm.wrapper import op6_html_extraction
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_secret_scan, op2_benchmark_decontamination, op3_toxicity, op4_license_scan, op5_shard_shuffle, op8_byte_bpe, op9_simhash_near_dedup, op10_document_fingerprints)
+    ops = (op1_secret_scan, op2_benchmark_decontamination, op3_toxicity, op4_license_scan, op5_shard_shuffle, op6_html_extraction, op8_byte_bpe, op9_simhash_near_dedup, op10_document_fingerprints)
     return {f.__name__: f for f in ops}
 
 
