@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.llm.bpe import op8_byte_bpe
 from palimpsest.llm.decontamination import op2_benchmark_decontamination
 from palimpsest.llm.licenses import op4_license_scan
-from palimpsest.llm.secrets import op1_secret_scan
+from palimpsest.llm.repeats import op7_suffix_dedup
+from palimpsest.llm.secret_scan import op1_secret_scan
 from palimpsest.llm.sharding import op5_shard_shuffle
 from palimpsest.llm.simhash_dedup import op9_simhash_near_dedup
 from palimpsest.llm.sketches import op10_document_fingerprints
@@ -18,7 +19,7 @@ from palimpsest.llm.wrapper import op6_html_extraction
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_secret_scan, op2_benchmark_decontamination, op3_toxicity, op4_license_scan, op5_shard_shuffle, op6_html_extraction, op8_byte_bpe, op9_simhash_near_dedup, op10_document_fingerprints)
+    ops = (op1_secret_scan, op2_benchmark_decontamination, op3_toxicity, op4_license_scan, op5_shard_shuffle, op6_html_extraction, op7_suffix_dedup, op8_byte_bpe, op9_simhash_near_dedup, op10_document_fingerprints)
     return {f.__name__: f for f in ops}
 
 
