@@ -340,5 +340,15 @@ def digests(df: DataFrame, text_col: str = "text", ranks_path: str | None = None
     return _with_ids(df, text_col, ranks_path, added, of_ids)
 
 
+def encode_with_digests(df: DataFrame, text_col: str = "text", ranks_path: str | None = None) -> DataFrame:
+    """df with ids (array<int>), n_tokens, ids_sha256 and decoded_sha256."""
+
+    def of_ids(encoder: Encoder, ids: np.ndarray) -> tuple:
+        return ids.astype(np.int32), len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest()
+
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return _with_ids(df.select(*(c for c in df.columns if c != text_col), text_col), text_col, ranks_path, added, of_ids)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
