@@ -1,0 +1 @@
+"""Analytics over append-only observation logs, as PySpark DataFrame operators."""
