@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from palimpsest.functions import scalars as sc
 from palimpsest.functions import stats, text
 from palimpsest.operators import baskets, bridges, cluster, dims, explore, panel, profile, quality, rules, xwalk
+from palimpsest.sources.raw import scratch_dir
+from palimpsest.streaming.incremental import PanelStore, run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -653,6 +655,33 @@ def ari_curve(spark: SparkSession, d: str) -> DataFrame:
     return cluster.agreement_curve(labels, nouns).withColumn("ari", r6("ari"))
 
 
+# ── Streaming ──────────────────────────────────────────────────────────────
+
+
+def _as_observations(e: DataFrame) -> DataFrame:
+    return e.select("user_id", "event_type", F.to_date("ts").alias("day"), F.struct("ts", "event_id").alias("ord"))
+
+
+@query(_PANEL_SQL)
+def stream_panel_equals_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The panel again, folded from the table as a stream of files into stored states."""
+    path = f"{d}/events.parque[t]"  # a pattern, as a stream reads a folder or a pattern, but no single file
+    schema = spark.read.parquet(path).schema
+    stream = _as_observations(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path))
+    store = PanelStore(spark, scratch_dir(spark, "states"), "user_id", _panel, lambda s: panel.merge_panels(s, "user_id", ["days", "types"]), buckets=4)
+    run_available(stream, store, scratch_dir(spark, "stream"))
+    return panel.finish_panel(store.read(), "error").select(*_PANEL_COLUMNS)
+
+
+@query("SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags, count(DISTINCT l_partkey) AS items FROM lineitem GROUP BY 1")
+def mergeable_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Sets and counts of each order's lines, united from two halves."""
+    li = _t(spark, d, "lineitem")
+    halves = [li.where(F.col("l_linenumber") % 2 == i).groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("f"), F.collect_set("l_partkey").alias("p")) for i in (0, 1)]
+    both = halves[0].union(halves[1]).groupBy("l_orderkey").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("f")))).alias("f"), F.array_distinct(F.flatten(F.collect_list("p"))).alias("p"))
+    return both.select("l_orderkey", F.array_join("f", ",").alias("flags"), n(F.size("p")).alias("items"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

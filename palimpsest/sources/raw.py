@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,3 +80,9 @@ def capture_plan(candidates: DataFrame, raw: DataFrame, key: str = "aviso_id") -
     """Candidates whose detail hasn't been captured well yet: one row per id, its first listing and all terms."""
     listed = candidates.groupBy(key).agg(F.min_by("listing", "ord").alias("listing"), F.array_sort(F.collect_set("term")).alias("terms"))
     return listed.join(raw.where("detalle_ok").select(key), key, "left_anti")
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new path under the folder that all executors share (spark.checkpoint.dir), or a temporary one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
