@@ -62,10 +62,11 @@ def _panel(obs: DataFrame) -> DataFrame:
     return panel.partial_panel(obs, "user_id", "day", F.col("ord"), "event_type", "error", {"days": F.array(day("day")), "types": F.array("event_type")})
 
 
-_PANEL_COLUMNS = [
-    "user_id", day("first_seen").alias("first_seen"), day("last_seen").alias("last_seen"), n(F.col("n_seen")).alias("n_seen"), "first_state", "last_state", day("down_on").alias("down_on"),
-    n(F.size("days")).alias("n_runs"), F.array_join("types", ",").alias("types"), "duration_quality", n(F.col("days_until_down")).alias("days_until_down"),
-]
+def _panel_columns() -> list[Column | str]:
+    return [
+        "user_id", day("first_seen").alias("first_seen"), day("last_seen").alias("last_seen"), n(F.col("n_seen")).alias("n_seen"), "first_state", "last_state", day("down_on").alias("down_on"),
+        n(F.size("days")).alias("n_runs"), F.array_join("types", ",").alias("types"), "duration_quality", n(F.col("days_until_down")).alias("days_until_down"),
+    ]
 
 _PANEL_SQL = """
 SELECT user_id, strftime(min(ts), '%Y-%m-%d') AS first_seen, strftime(max(ts), '%Y-%m-%d') AS last_seen, count(*) AS n_seen,
@@ -79,7 +80,7 @@ FROM events GROUP BY user_id"""
 
 @query(_PANEL_SQL)
 def panel_states(spark: SparkSession, d: str) -> DataFrame:
-    return panel.finish_panel(_panel(observations(spark, d)), "error").select(*_PANEL_COLUMNS)
+    return panel.finish_panel(_panel(observations(spark, d)), "error").select(*_panel_columns())
 
 
 @query(_PANEL_SQL)
@@ -88,7 +89,7 @@ def panel_merged(spark: SparkSession, d: str) -> DataFrame:
     obs = observations(spark, d).withColumn("batch", F.pmod(F.xxhash64("ord"), F.lit(4)))
     parts = [_panel(obs.where(F.col("batch") == i)) for i in range(4)]
     states = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return panel.finish_panel(panel.merge_panels(states, "user_id", ["days", "types"]), "error").select(*_PANEL_COLUMNS)
+    return panel.finish_panel(panel.merge_panels(states, "user_id", ["days", "types"]), "error").select(*_panel_columns())
 
 
 @query(f"""WITH p AS ({_PANEL_SQL}) SELECT count(*) AS entities, count(*) FILTER (n_seen > 1) AS seen_again, count(*) FILTER (duration_quality = 'censurada') AS censurada,
@@ -670,7 +671,7 @@ def stream_panel_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     stream = _as_observations(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path))
     store = PanelStore(spark, scratch_dir(spark, "states"), "user_id", _panel, lambda s: panel.merge_panels(s, "user_id", ["days", "types"]), buckets=4)
     run_available(stream, store, scratch_dir(spark, "stream"))
-    return panel.finish_panel(store.read(), "error").select(*_PANEL_COLUMNS)
+    return panel.finish_panel(store.read(), "error").select(*_panel_columns())
 
 
 @query("SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags, count(DISTINCT l_partkey) AS items FROM lineitem GROUP BY 1")
