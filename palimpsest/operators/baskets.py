@@ -46,7 +46,11 @@ def pair_counts(sets: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def association(sets: DataFrame) -> DataFrame:
-    """Per pair: n, na, nb, jaccard, lift, Fisher's right tail p, and q after Benjamini and Hochberg. The number of sets is one scalar."""
+    """Per pair: n, na, nb, jaccard, lift, Fisher's right tail p, and q after Benjamini and Hochberg. The number of sets is one scalar.
+
+    Sets and measured pairs are kept, since ranks and margins need several passes over them.
+    """
+    sets = sets.persist()
     total = sets.count()
     freq = degrees(sets)
     pairs = (
@@ -59,7 +63,7 @@ def association(sets: DataFrame) -> DataFrame:
     measured = pairs.select(
         "a", "b", "n", "na", "nb", jaccard(n, na, nb).alias("jaccard"), lift(n, na, nb, all_).alias("lift"), fisher_right(n, na - n, nb - n, all_ - na - nb + n).alias("p")
     )
-    return benjamini_hochberg(measured)
+    return benjamini_hochberg(measured.persist())
 
 
 def never_together(items: DataFrame, pairs: DataFrame, item: str, freq: str, group: str, least: int = 3) -> DataFrame:

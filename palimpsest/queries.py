@@ -418,11 +418,11 @@ def never_together(spark: SparkSession, d: str) -> DataFrame:
     return baskets.never_together(items, baskets.pair_counts(sets), "item", "degree", "g").select("group", "a", "b", "na", "nb")
 
 
-@query(f"""WITH {_MEASURED}, g AS (SELECT DISTINCT item, noun FROM d) SELECT a, b, x.noun AS group_a, y.noun AS group_b, n FROM q2 JOIN g x ON x.item = a JOIN g y ON y.item = b WHERE q < 0.9999 AND x.noun <> y.noun""")
+@query(f"""WITH {_MEASURED}, g AS (SELECT DISTINCT item, noun FROM d) SELECT a, b, x.noun AS group_a, y.noun AS group_b, n FROM q2 JOIN g x ON x.item = a JOIN g y ON y.item = b WHERE q < 1.01 AND x.noun <> y.noun""")
 def crossing_pairs(spark: SparkSession, d: str) -> DataFrame:
     groups = declared(spark, d).select("item", "noun").distinct()
     pairs = baskets.association(baskets.template_dedup(_sets(spark, d), "owner"))
-    return baskets.crossing(pairs, groups, "item", "noun", 0.9999).select("a", "b", "group_a", "group_b", "n")
+    return baskets.crossing(pairs, groups, "item", "noun", 1.01).select("a", "b", "group_a", "group_b", "n")
 
 
 @query(f"""WITH {_SETS}, x AS (SELECT l_orderkey, unnest(items) AS item FROM s), p AS (SELECT a.item, b.item AS partner, count(*) AS n FROM x a JOIN x b ON a.l_orderkey = b.l_orderkey AND a.item <> b.item GROUP BY 1, 2)
