@@ -134,12 +134,15 @@ def near_duplicate_components(df: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the documents whose component holds a smaller id, and one row for each id that stays."""
-    spots = near_duplicate_components(df, id_col, text_col)
-    stay = spots.where(F.col(id_col) == F.col("component")).select(id_col).distinct()
-    kept = df.join(stay, id_col, "left_semi").select(*df.columns)
-    ids = df.agg(F.count(id_col), F.countDistinct(id_col)).first()
-    return kept if ids[0] == ids[1] else kept.dropDuplicates([id_col])
+    """One row of each component: that of the least id. Rows without an id come after all ids, equal texts among them count as one row."""
+    key = free_name(df, "_key")
+    late = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce(text_col, F.lit(""))), F.lit(1 << 61))
+    keyed = df.withColumn(key, F.coalesce(F.col(id_col).cast("bigint"), late))
+    spots = near_duplicate_components(keyed, key, text_col)
+    stay = spots.where(F.col(key) == F.col("component")).select(key).distinct()
+    kept = keyed.join(stay, key, "left_semi")
+    ids = keyed.agg(F.count("*"), F.countDistinct(key)).first()
+    return (kept if ids[0] == ids[1] else kept.dropDuplicates([key])).select(*df.columns)
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
