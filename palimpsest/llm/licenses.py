@@ -4,9 +4,8 @@ Words are runs of digits, a-z and everything beyond ASCII, after lower-casing A-
 each with its places in the templates, form the index. Document frequencies of all licence words come
 from the whole corpus. In each file that has all words of some template's mandatory phrase, the
 ``rare`` licence words of highest inverse document frequency are looked up, and every posting proposes the place at which
-its template would begin (the file's position less the template's). Where the same place is proposed by two rare
-words or more, and by the share ``agree`` of the template's (or by every word of the template), the
-template is compared there: the mandatory phrase must stand complete, and the share of the template's
+its template would begin (the file's position less the template's). Where ``agree`` different rare words propose the
+same place, the template is compared there word for word: the mandatory phrase must stand complete, and the share of the template's
 words that stand at their places must reach ``coverage``. The score is the best such share.
 
 Plain phrases are counted beside that, word for word. Null texts count as empty. Equal texts get equal results;
@@ -80,7 +79,7 @@ def scan_licenses(
     templates: tuple[tuple[str, str, str], ...] = TEMPLATES,
     phrases: tuple[tuple[str, str], ...] = PHRASES,
     rare: int = 12,
-    agree: float = 0.5,
+    agree: int = 2,
     coverage: float = 0.8,
 ) -> DataFrame:
     """df with n_words long, phrase_places array<struct(at, label)>, template_labels array<string>, score double."""
@@ -93,35 +92,34 @@ def scan_licenses(
     counts = {r[0]: r[1] for r in found.select(F.explode_outer("_present").alias("w")).where("w is not null").groupBy("w").count().collect()}
     order = _array(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))  # rarest first: highest inverse document frequency
     keys = [set(key) for _, _, key in cut]
-    possible = reduce(lambda a, b: a | b, (F.size(F.array_intersect("_present", _array(sorted(k)))) == len(k) for k in keys))
-    lasts = sorted({_cut(p)[-1] for p, _ in phrases})
+    # A look at the raw text comes first: filters are pushed below the columns they use, so what follows would be computed for each template anew.
+    holds = lambda words: F.coalesce(text_col, F.lit("")).rlike(f"(?i){'|'.join(sorted(words))}")
+    possible = holds({max(k, key=len) for k in keys}) & reduce(lambda a, b: a | b, (F.size(F.array_intersect("_present", _array(sorted(k)))) == len(k) for k in keys))
+    lasts = {_cut(p)[-1] for p, _ in phrases}
     none = F.array().cast("array<struct<at:int,label:string>>")
     found = (
-        found.withColumn("phrase_places", F.when(F.arrays_overlap("_present", _array(lasts)) if set(lasts) <= set(vocabulary) else F.arrays_overlap("_words", _array(lasts)), _phrase_places(words, phrases)).otherwise(none))
+        found.withColumn("phrase_places", F.when(holds(lasts), _phrase_places(words, phrases)).otherwise(none))
         .withColumn("_possible", possible)
         .withColumn("_key", F.when(possible, F.md5(text_col)))
     )
-    spots = found.where("_possible").select("_key", F.slice(F.array_intersect(order, "_present"), 1, rare).alias("_rare"), F.posexplode_outer("_words").alias("at", "w")).where(F.col("w").isin(vocabulary))
-    places = []
-    for t, (_, text, key) in enumerate(cut):
-        start = next(i for i in range(len(text)) if text[i : i + len(key)] == key)
-        places += [(w, t, i, start <= i < start + len(key)) for i, w in enumerate(text)]
-    postings = F.broadcast(spark.createDataFrame(places, "w string, template int, place int, needed boolean"))
-    proposed = spots.join(postings, "w").select("_key", "template", (F.col("at") - F.col("place")).alias("begin"), "w", "place", "needed", F.array_contains("_rare", F.col("w")).alias("is_rare"))
-    seen = proposed.groupBy("_key", "template", "begin").agg(
-        F.countDistinct(F.when(F.col("is_rare"), F.col("place"))).alias("rares"),
-        F.countDistinct("place").alias("same"),
-        F.countDistinct(F.when(F.col("needed"), F.col("place"))).alias("needed"),
-        F.collect_set(F.when(F.col("is_rare"), F.col("w"))).alias("rare_words"),
-    )
-    sizes = F.broadcast(spark.createDataFrame([(t, label, len(text), len(key), sorted(set(text))) for t, (label, text, key) in enumerate(cut)], "template int, label string, length int, key int, vocab array<string>"))
-    good = (
-        seen.join(sizes, "template")
-        .where((F.col("rares") >= 2) & (F.size("rare_words") >= agree * F.least(F.lit(rare), F.size("vocab"))) | (F.col("same") == F.col("length")))
-        .where((F.col("needed") == F.col("key")) & (F.col("same") >= coverage * F.col("length")))
-        .groupBy("_key")
-        .agg(F.array_sort(F.collect_set("label")).alias("template_labels"), F.max(F.col("same") / F.col("length")).alias("score"))
-    )
+    rare_words = F.slice(F.array_intersect(order, "_present"), 1, rare)
+    spots = found.where("_possible").select("_key", rare_words.alias("_rare"), F.posexplode_outer("_words").alias("at", "w")).where(F.array_contains("_rare", F.col("w")))
+    postings = F.broadcast(spark.createDataFrame([(w, t, i) for t, (_, text, _) in enumerate(cut) for i, w in enumerate(text)], "w string, template int, place int"))
+    proposed = spots.join(postings, "w").groupBy("_key", "template", (F.col("at") - F.col("place")).alias("begin")).agg(F.collect_set("w").alias("agreed")).where(F.size("agreed") >= agree)
+    per_text = proposed.groupBy("_key").agg(F.collect_list(F.struct("template", "begin")).alias("places"))
+    held = found.where("_possible").select("_key", "_words").dropDuplicates(["_key"]).join(per_text, "_key")
+    texts = F.array(*(_array(text) for _, text, _ in cut))
+    keys_at = F.array(*(F.struct(F.lit(next(i for i in range(len(text)) if text[i : i + len(key)] == key)).alias("from"), F.lit(len(key)).alias("n")) for _, text, key in cut))
+    labels = _array([label for label, _, _ in cut])
+
+    def compared(p: Column) -> Column:
+        template, phrase = F.element_at(texts, p["template"] + 1), F.element_at(keys_at, p["template"] + 1)
+        same = F.transform(template, lambda w, i: F.coalesce(F.get(words, p["begin"] + i) == w, F.lit(False)))
+        share = F.size(F.filter(same, lambda x: x)) / F.size(template)
+        return F.struct(F.element_at(labels, p["template"] + 1).alias("label"), share.alias("share"), F.forall(F.slice(same, phrase["from"] + 1, phrase["n"]), lambda x: x).alias("stands"))
+
+    verified = held.withColumn("checked", F.filter(F.transform("places", compared), lambda c: c["stands"] & (c["share"] >= coverage)))
+    good = verified.where(F.size("checked") > 0).select("_key", F.array_sort(F.array_distinct(F.transform("checked", lambda c: c["label"]))).alias("template_labels"), F.array_max(F.transform("checked", lambda c: c["share"])).alias("score"))
     light = found.select(*columns, F.size("_words").cast("long").alias("n_words"), "phrase_places", "_key")
     return light.join(good, "_key", "left").select(
         *columns, "n_words", "phrase_places", F.coalesce("template_labels", F.array().cast("array<string>")).alias("template_labels"), F.coalesce("score", F.lit(0.0)).alias("score")
