@@ -6,13 +6,15 @@ A byte goes if a string of ``length`` bytes that covers it also starts elsewhere
    content key, so that the two later joins don't move the texts again.
 2. Of every window of ``length`` bytes, the leftmost ``GRAM`` bytes of least hash are its anchor. Equal windows
    have their anchor at the same place, so only the suffixes that start at anchors are compared: about
-   one for every 180 bytes. Anchors whose bytes occur once in the corpus drop out by a count.
+   one for every 180 bytes. Anchors whose windows have the same bytes throughout are counted together: they repeat,
+   and one stands for all from here on. Those whose own bytes then occur once drop out.
 3. Each task sorts the suffixes it holds (the bytes from the anchor on as far as its windows reach, then those before it, backwards) and
    sends them front-coded, a run for each range of anchor hashes. The receiver merges the runs with a loser tree that keeps
    each player's common prefix with the last winner: of two players the one with the longer common prefix wins unseen,
    and equal ones are compared from there on. Equal suffixes of several places fall together.
 4. In a merged range, equal windows are found by two 64-bit rolling hashes over all distinct suffixes.
-   A range holds a bounded number of bytes on average. Anchors that occur more than ``hot`` times don't enter it: their
+   A range holds a bounded number of bytes on average. Anchors with more than ``hot`` different surroundings (each takes some
+   12 KB of working memory) don't enter it: their
    windows become rows, each with its hash, which Spark counts with map-side sums.
 5. Runs of repeated window starts go back to the texts, bucket to bucket.
 
@@ -26,6 +28,7 @@ import hashlib
 import math
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import lookup_join, materialize
 
 GRAM = 48
-_BLOCK = 4 << 20  # bytes that are hashed together
+_BLOCK = 2 << 20  # bytes that are hashed together
 _POSITION = (1 << 24) - 1
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _TABLES = tuple(np.random.default_rng(s).integers(0, 1 << 64, 256, dtype=np.uint64) for s in (1, 2))
@@ -58,8 +61,22 @@ def rolling(data: np.ndarray, width: int, which: int = 0) -> np.ndarray:
         k *= 2
 
 
+@lru_cache(4)
+def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse, modulo 2**64."""
+    base = int(_BASES[which])
+    return tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, b, dtype=np.uint64))]) for b in (base, pow(base, -1, 1 << 64)))
+
+
+def substring_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
+    """Hash of each data[start:end], from prefix sums."""
+    power, inverse = _powers(which, max(len(data), _BLOCK + 4096))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_TABLES[which][data] * inverse[: len(data)], dtype=np.uint64)])
+    return ((sums[ends] - sums[starts]) * power[starts]).view(np.int64)
+
+
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """For texts at [starts, ends): text number, first window, anchor, last window (in data), and the anchor's hash."""
+    """For texts at [starts, ends): text number, first window, anchor, last window (in data), the anchor's hash, and two of all bytes of its windows."""
     grams = rolling(data, GRAM)
     key = (grams * np.uint64(0xC2B2AE3D27D4EB4F)) & ~np.uint64(_POSITION) | np.arange(len(grams), dtype=np.uint64)
     span, k = length - GRAM + 1, 1
@@ -75,7 +92,8 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int)
     a = at[p]
     first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, dtype=np.int64)
     last = np.concatenate([first[1:], [len(a)]])[: len(first)] - 1
-    return np.repeat(long, counts)[first], p[first], a[first], p[last], grams[a[first]].view(np.int64)
+    whole = (substring_hashes(data, p[first], p[last] + length, w) for w in (0, 1))
+    return np.repeat(long, counts)[first], p[first], a[first], p[last], grams[a[first]].view(np.int64), *whole
 
 
 def _blocks(texts: list[bytes], length: int) -> Iterator[tuple[list[tuple[int, int]], list[bytes]]]:
@@ -105,13 +123,13 @@ def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
             for names, pieces in _blocks(batch.column("data").to_pylist(), length):
                 sizes = np.array([len(x) for x in pieces])
                 ends = np.cumsum(sizes)
-                which, lo, a, hi, gram = anchors(np.frombuffer(b"".join(pieces), dtype=np.uint8), ends - sizes, ends, length)
+                which, lo, a, hi, *hashes = anchors(np.frombuffer(b"".join(pieces), dtype=np.uint8), ends - sizes, ends, length)
                 shift = np.array([at for _, at in names])[which] - (ends - sizes)[which]
                 owner = [keys[i] for i, _ in names]
-                columns = [pa.array([owner[w] for w in which.tolist()], pa.binary()), *(pa.array((x + shift).astype(np.int32)) for x in (lo, a, hi)), pa.array(gram)]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "lo", "a", "hi", "gram"])
+                columns = [pa.array([owner[w] for w in which.tolist()], pa.binary()), *(pa.array((x + shift).astype(np.int32)) for x in (lo, a, hi)), *map(pa.array, hashes)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "lo", "a", "hi", "gram", "one", "two"])
 
-    return texts.select("key", "data").mapInArrow(run, "key binary, lo int, a int, hi int, gram long")
+    return texts.select("key", "data").mapInArrow(run, "key binary, lo int, a int, hi int, gram long, one long, two long")
 
 
 # A suffix in a run: its text, the number of its bytes from the anchor on, and its owner (key, first window).
@@ -215,7 +233,7 @@ def _stretches(hit: np.ndarray) -> np.ndarray:
     return np.stack([edge[::2], edge[1::2] - 1], axis=1)
 
 
-def find_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, hot: int = 2_000, range_bytes: int = 2 << 20) -> DataFrame:
+def find_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, hot: int = 10_000, range_bytes: int = 2 << 20) -> DataFrame:
     """One row per distinct text: key (MD5 of its UTF-8 bytes), n (rows that have it), data (its bytes), spans (array of first and last repeated window starts)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -225,8 +243,14 @@ def find_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, hot
     texts = spark.table(table).select("key", "n", F.encode("t", "utf-8").alias("data"))
 
     found = materialize(_anchor_rows(texts, length), "anchors")
-    again = found.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1")
-    shared = materialize(found.join(again, "gram").select("key", "lo", "a", "hi", "gram", "times"), "shared-anchors")
+    found = found.withColumn("context", F.struct("gram", "one", "two", (F.col("a") - F.col("lo")).alias("before"), (F.col("hi") - F.col("lo")).alias("more")))
+    # Anchors with the same bytes all around: their windows repeat as a whole, and one of them stands for all in what follows.
+    contexts = materialize(found.groupBy("context").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "a", "hi")).alias("first")), "contexts")
+    twins = contexts.where("n > 1").select("context", F.lit(True).alias("twin"))
+    spans = lookup_join(found, twins, "context", F.lit(40), 8 << 20).where("twin").select("key", F.col("lo").alias("first"), F.col("hi").alias("last"))
+    several = contexts.groupBy("context.gram").agg(F.count("*").alias("times")).where("times > 1")
+    shared = contexts.select("context.gram", "n", "first.*").join(several, "gram").select("key", "lo", "a", "hi", "gram", "times")
+    shared = materialize(shared, "shared-anchors")
     cold, warm = shared.where(F.col("times") <= hot), shared.where(F.col("times") > hot)
     total, rows_hot = shared.agg(F.sum(F.when(F.col("times") <= hot, F.col("hi") - F.col("lo") + length)), F.count(F.when(F.col("times") > hot, 1))).first()
     ranges = max(1, math.ceil((total or 0) / range_bytes))
@@ -272,7 +296,8 @@ def find_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, hot
         of_text = rows.groupBy("key").agg(F.collect_list(F.struct("lo", "a", "hi", "gram")).alias("anchors"))
         return texts.select("key", "data").join(of_text, "key")
 
-    spans = held(cold).select("key", "data", "anchors").mapInArrow(send, "range int, numbers binary, tails binary, keys binary").groupBy("range").applyInArrow(receive, "key binary, first int, last int")
+    runs = held(cold).select("key", "data", "anchors").mapInArrow(send, "range int, numbers binary, tails binary, keys binary")
+    spans = spans.union(runs.groupBy("range").applyInArrow(receive, "key binary, first int, last int"))
     if rows_hot:
 
         def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,8 +310,8 @@ def find_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, hot
                         yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.binary()), pa.array(at), pa.array(one), pa.array(two)], names=["key", "at", "one", "two"])
 
         rows = materialize(held(warm).mapInArrow(windows, "key binary, at int, one long, two long"), "hot-windows")
-        several = rows.groupBy("one", "two").agg(F.count("*").alias("times")).where("times > 1").select(F.struct("one", "two").alias("window"), F.lit(True).alias("several"))
-        hits = lookup_join(rows.withColumn("window", F.struct("one", "two")), several, "window", F.lit(24), 8 << 20).where("several")
+        again = rows.groupBy("one", "two").agg(F.count("*").alias("times")).where("times > 1").select(F.struct("one", "two").alias("window"), F.lit(True).alias("again"))
+        hits = lookup_join(rows.withColumn("window", F.struct("one", "two")), again, "window", F.lit(24), 8 << 20).where("again")
         spans = spans.union(hits.select("key", F.col("at").alias("first"), F.col("at").alias("last")))
     of_text = spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
     return texts.join(of_text, "key", "left")
