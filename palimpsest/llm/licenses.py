@@ -2,11 +2,12 @@
 
 Words are runs of digits, a-z and everything beyond ASCII, after lower-casing A-Z. The templates' words,
 each with its places in the templates, form the index. Document frequencies of all licence words come
-from the whole corpus. In each file that has all words of some template's mandatory phrase, the
-``rare`` licence words of highest inverse document frequency are looked up, and every posting proposes the place at which
-its template would begin (the file's position less the template's). Where ``agree`` different rare words propose the
+from the whole corpus. For each template whose mandatory words a file has, the ``agree`` words of the mandatory phrase
+with the highest inverse document frequency are looked up (all of a phrase with fewer), and every posting proposes the place at which
+its template would begin (the file's position less the template's). Where they all propose the
 same place, the template is compared there word for word: the mandatory phrase must stand complete, and the share of the template's
-words that stand at their places must reach ``coverage``. The score is the best such share.
+words that stand at their places must reach ``coverage``. The score is the best such share. As the mandatory phrase must stand complete,
+every place where a template can stand is proposed, whatever else the file holds.
 
 Plain phrases are counted beside that, word for word. Null texts count as empty. Equal texts get equal results;
 places are counted from word 0, and ties between templates don't matter since all that match are listed.
@@ -78,7 +79,6 @@ def scan_licenses(
     text_col: str = "text",
     templates: tuple[tuple[str, str, str], ...] = TEMPLATES,
     phrases: tuple[tuple[str, str], ...] = PHRASES,
-    rare: int = 12,
     agree: int = 2,
     coverage: float = 0.8,
 ) -> DataFrame:
@@ -90,11 +90,13 @@ def scan_licenses(
     found = df.select(*columns).withColumn("_words", words_of(F.col(text_col))).withColumn("_present", F.array_intersect(words, _array(vocabulary)))
     # Document frequencies: a row for each licence word, so of a fixed number.
     counts = {r[0]: r[1] for r in found.select(F.explode_outer("_present").alias("w")).where("w is not null").groupBy("w").count().collect()}
-    order = _array(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))  # rarest first: highest inverse document frequency
     keys = [set(key) for _, _, key in cut]
+    # Rarest first: highest inverse document frequency. A place where a template can stand has all its mandatory words, so these among them.
+    rare = [sorted(k, key=lambda w: (counts.get(w, 0), w))[:agree] for k in keys]
     # A look at the raw text comes first: filters are pushed below the columns they use, so what follows would be computed for each template anew.
     holds = lambda words: F.coalesce(text_col, F.lit("")).rlike(f"(?i){'|'.join(sorted(words))}")
-    possible = holds({max(k, key=len) for k in keys}) & reduce(lambda a, b: a | b, (F.size(F.array_intersect("_present", _array(sorted(k)))) == len(k) for k in keys))
+    complete = [F.size(F.array_intersect("_present", _array(sorted(k)))) == len(k) for k in keys]
+    possible = holds({max(k, key=len) for k in keys}) & reduce(lambda a, b: a | b, complete)
     lasts = {_cut(p)[-1] for p, _ in phrases}
     none = F.array().cast("array<struct<at:int,label:string>>")
     found = (
@@ -102,14 +104,15 @@ def scan_licenses(
         .withColumn("_possible", possible)
         .withColumn("_key", F.when(possible, F.md5(text_col)))
     )
-    rare_words = F.slice(F.array_intersect(order, "_present"), 1, rare)
+    starts = [next(i for i in range(len(text)) if text[i : i + len(key)] == key) for _, text, key in cut]
+    rare_words = F.array_distinct(F.flatten(F.array(*(F.when(c, _array(r)).otherwise(F.array().cast("array<string>")) for c, r in zip(complete, rare, strict=True)))))
     spots = found.where("_possible").select("_key", rare_words.alias("_rare"), F.posexplode_outer("_words").alias("at", "w")).where(F.array_contains("_rare", F.col("w")))
-    postings = F.broadcast(spark.createDataFrame([(w, t, i) for t, (_, text, _) in enumerate(cut) for i, w in enumerate(text)], "w string, template int, place int"))
-    proposed = spots.join(postings, "w").groupBy("_key", "template", (F.col("at") - F.col("place")).alias("begin")).agg(F.collect_set("w").alias("agreed")).where(F.size("agreed") >= agree)
+    postings = F.broadcast(spark.createDataFrame([(w, t, starts[t] + cut[t][2].index(w), len(r)) for t, r in enumerate(rare) for w in r], "w string, template int, place int, needed int"))
+    proposed = spots.join(postings, "w").groupBy("_key", "template", "needed", (F.col("at") - F.col("place")).alias("begin")).agg(F.collect_set("w").alias("agreed")).where(F.size("agreed") == F.col("needed"))
     per_text = proposed.groupBy("_key").agg(F.collect_list(F.struct("template", "begin")).alias("places"))
     held = found.where("_possible").select("_key", "_words").dropDuplicates(["_key"]).join(per_text, "_key")
     texts = F.array(*(_array(text) for _, text, _ in cut))
-    keys_at = F.array(*(F.struct(F.lit(next(i for i in range(len(text)) if text[i : i + len(key)] == key)).alias("from"), F.lit(len(key)).alias("n")) for _, text, key in cut))
+    keys_at = F.array(*(F.struct(F.lit(start).alias("from"), F.lit(len(key)).alias("n")) for start, (_, _, key) in zip(starts, cut, strict=True)))
     labels = _array([label for label, _, _ in cut])
 
     def compared(p: Column) -> Column:

@@ -178,6 +178,32 @@ def test_licenses(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def brute_licenses(text):
+    words = re.findall("[0-9a-z]+", text.lower())
+    best = {}
+    for label, wording, phrase in licenses.TEMPLATES:
+        want, key = (re.findall("[0-9a-z]+", x.lower()) for x in (wording, phrase))
+        start = next(i for i in range(len(want)) if want[i : i + len(key)] == key)
+        for at in range(-len(want), len(words)):
+            same = [0 <= at + i < len(words) and words[at + i] == w for i, w in enumerate(want)]
+            if all(same[start : start + len(key)]) and sum(same) >= 0.8 * len(same):
+                best[label] = max(best.get(label, 0), sum(same) / len(same))
+    return sorted(best), max(best.values(), default=0.0)
+
+
+def test_licenses_among_others(spark):
+    bsd, mit, apache, gpl = (next(t for label, t, _ in licenses.TEMPLATES if label == x) for x in ("bsd", "mit", "apache-2.0", "gpl-3.0"))
+    everything = [t for _, t, _ in licenses.TEMPLATES]
+    texts = [f"{bsd}. {apache}", f"{bsd}. {gpl}", f"{everything[1]}. {apache}", ". ".join(everything), ". ".join(everything[::-1]), "license mit " * 50 + mit, *everything]
+    texts += [" ".join(w for k, w in enumerate(t.split()) if k != 2) for t in everything] + [" ".join("other" if k == 1 else w for k, w in enumerate(t.split())) for t in everything]
+    texts += [" ".join(sorted(set(" ".join(everything).split()))) + " " + t for t in everything]  # every licence word once, then one licence
+    out = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        labels, score = brute_licenses(t)
+        assert out[i].template_labels == labels and out[i].score == pytest.approx(score), t
+    assert out[0].template_labels == ["apache-2.0", "bsd"] and len(out[3].template_labels) == 13
+
+
 # ── Benchmark items ──
 
 
