@@ -95,7 +95,8 @@ def wrong_code_name(x: DataFrame, codes: DataFrame) -> DataFrame:
 
 def against_master(x: DataFrame, master: DataFrame) -> DataFrame:
     """V-08 to V-10: spellings that differ only in case or spaces, names that the master lacks, names that the crosswalk lacks."""
-    ours = _keyed(x).groupBy("_key").agg(F.min_by("item", "ord").alias("ours"), F.min_by("weight", "ord").alias("w"))
+    first = F.when(F.col("ord").isNotNull(), F.struct("ord", "item", "weight"))  # spellings of the same order: the least
+    ours = _keyed(x).groupBy("_key").agg(F.min_by("item", first).alias("ours"), F.min_by("weight", first).alias("w"))
     theirs = master.where(F.col("item").isNotNull()).groupBy(join_key(F.col("item")).alias("_key")).agg(F.array_sort(F.collect_set("item")).alias("theirs"))
     both = ours.join(theirs, "_key", "full_outer")
     cosmetic = both.where(F.col("ours").isNotNull() & F.col("theirs").isNotNull() & ~F.array_contains("theirs", F.col("ours")))

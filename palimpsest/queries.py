@@ -341,6 +341,17 @@ def suggest_matches(spark: SparkSession, d: str) -> DataFrame:
     return xwalk.suggest(names, canon, "name", "canon", "ord", floor=0.2)
 
 
+@query(f"""WITH a AS (SELECT DISTINCT c_name || ' ' || c_mktsegment || ' ' || c_nationkey AS name FROM customer), b AS (SELECT min(p_partkey) AS ord, p_type || ' ' || p_name || ' household' AS canon FROM part GROUP BY 2),
+t AS (SELECT name, {_TOKENS.format('name')} AS t FROM a), u AS (SELECT canon, ord, {_TOKENS.format('canon')} AS u FROM b),
+j AS (SELECT name, canon, ord, len(list_intersect(t, u)) / len(list_distinct(list_concat(t, u))) AS s FROM t, u WHERE len(list_intersect(t, u)) > 0)
+SELECT name, first(canon ORDER BY s DESC, ord) AS suggestion, round_even(max(s), 2) AS score FROM j GROUP BY 1 HAVING max(s) >= 0.2""")
+def suggest_matches_whole(spark: SparkSession, d: str) -> DataFrame:
+    """suggest_matches with every row of the catalog."""
+    names = _t(spark, d, "customer").select(F.concat_ws(" ", "c_name", "c_mktsegment", "c_nationkey").alias("name"))
+    canon = _t(spark, d, "part").groupBy(F.concat_ws(" ", "p_type", "p_name", F.lit("household")).alias("canon")).agg(F.min("p_partkey").alias("ord"))
+    return xwalk.suggest(names, canon, "name", "canon", "ord", floor=0.2)
+
+
 @query("""WITH o AS (SELECT p_name AS name, count(*) AS weight FROM part GROUP BY 1), c AS (SELECT DISTINCT upper(p_name) AS canon FROM part WHERE p_size = 7), pv AS (SELECT p_name || CASE WHEN p_size = 3 THEN ' old' ELSE '' END AS name, min(p_type) AS decision, min(p_brand) AS note FROM part WHERE p_size IN (2, 3) GROUP BY 1)
 SELECT coalesce(o.name, pv.name) AS name, o.weight, coalesce(pv.decision, c.canon) AS decision, pv.note, o.name IS NULL AS kept, pv.decision IS NULL AND c.canon IS NOT NULL AS auto
 FROM o FULL JOIN pv ON o.name = pv.name LEFT JOIN c ON lower(c.canon) = o.name""")
@@ -582,6 +593,14 @@ def validate_master(spark: SparkSession, d: str) -> DataFrame:
     return rules.report(found).select("rule", "n")
 
 
+@query(f"""WITH {_DEFECTIVE}, ours AS (SELECT k, first(item ORDER BY ord, item, weight) AS item, first(weight ORDER BY ord, item, weight) AS weight FROM k GROUP BY 1), t AS (SELECT lower(item) AS k, list(item) AS items, min(item) AS item FROM ms GROUP BY 1)
+SELECT 'V-08' AS rule, ours.item AS key, t.item AS detail, weight FROM ours JOIN t ON t.k = ours.k WHERE NOT list_contains(items, ours.item)""")
+def validate_spellings(spark: SparkSession, d: str) -> DataFrame:
+    """The rule that validate_master leaves out."""
+    x, _, _, master = _defective(spark, d)
+    return rules.against_master(x, master).where("rule = 'V-08'").select("rule", "key", "detail", "weight")
+
+
 # ── Profiles and lookups ───────────────────────────────────────────────────
 
 

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest import queries
 from palimpsest.functions import stats
 from palimpsest.operators import baskets, cluster, dims, explore, panel, profile, quality, rules, xwalk
 from palimpsest.plans import consolidate as plan
@@ -138,6 +139,21 @@ def test_suggestions(spark):
     assert [tuple(r) for r in xwalk.suggest(names, canon, "name", "canon", "ord").collect()] == [("Ingeniería Minas", "Ingeniería en Minas", 1.0)]
 
 
+def test_suggestions_come_from_the_whole_catalog(spark, tmp_path):
+    parts = [(i, "STANDARD", "cold old plate") for i in range(80)] + [(80, "HOUSEHOLD", "customer")]
+    spark.createDataFrame(parts, "p_partkey long, p_type string, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([("Customer#1", "HOUSEHOLD", 3)], "c_name string, c_mktsegment string, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    assert [tuple(r) for r in queries.suggest_matches_whole(spark, str(tmp_path)).collect()] == [("Customer#1 HOUSEHOLD 3", "HOUSEHOLD customer household", 1.0)]
+
+
+def test_spelling_of_equal_order_does_not_depend_on_row_order(spark):
+    x = [("minas norte", 1, 5), ("MINAS NORTE", 1, 9), ("salud", 1, 2), ("Salud", 2, 1)]
+    master = spark.createDataFrame([("minas norte",), ("Salud",)], "item string")
+    for rows in (x, x[::-1]):
+        found = rules.against_master(spark.createDataFrame(rows, "item string, ord int, weight long").coalesce(1), master).where("rule = 'V-08'")
+        assert sorted((r["key"], r.detail, r.weight) for r in found.collect()) == [("MINAS NORTE", "minas norte", 9), ("salud", "Salud", 2)]
+
+
 def test_rules_are_silent_on_a_clean_crosswalk(spark):
     x = spark.createDataFrame(
         [("Minas", 1, "programa_propio", "Minas", "", "", "exacta", "", "validado", "alta", 3), ("Salud", 1, "campo_iscedf", "", "09", "Salud y bienestar", "", "", "validado", "alta", 2)],
