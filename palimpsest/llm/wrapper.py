@@ -1,7 +1,7 @@
 """HTML extraction by wrapper induction over the pages of a host.
 
 For each host one page is the reference. Every other page's DOM tree is aligned with the reference's by simple tree
-matching (the greatest order-preserving match of children, level by level). A reference node that
+matching (the greatest order-preserving match of children, level by level, exact for lists of every length). A reference node that
 most pages have with the same text is template; where texts vary, it is a content slot, as are nodes without a
 partner. What the host's pages have in an article or main element is content from the start, since a page's only
 paragraph may well stand on all its host's pages: template nodes there are left out only if the host's other
@@ -17,9 +17,11 @@ the reference is broadcast if all references are small, and else joined with dea
 from __future__ import annotations
 
 import html as _html
+import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,16 +47,15 @@ _CLASSES = frozenset(
 )
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
-#: Child lists whose match would need more cells than this are matched from both ends only; what lies between varies.
-_CELLS = 40_000
 ARTICLE, PLAIN, NEVER = 0, 1, 2
 
 
 class Node:
-    __slots__ = ("tag", "key", "zone", "children", "blocks", "index")
+    __slots__ = ("tag", "key", "zone", "children", "blocks", "index", "size", "shape")
 
     def __init__(self, tag: str, key: str, zone: int):
         self.tag, self.key, self.zone, self.children, self.blocks, self.index = tag, key, zone, [], [], -1
+        self.size, self.shape = 1, -1
 
 
 def _zone(tag: str, attributes: str, above: int) -> int:
@@ -152,71 +153,115 @@ def number(node: Node, n: int = 0) -> int:
     return n
 
 
+def measure(root: Node, known: dict) -> None:
+    """Give every node the number of its subtree's nodes and the id of its subtree's shape."""
+    order, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        todo.extend(x.children)
+    for x in reversed(order):
+        x.size = 1 + sum(c.size for c in x.children)
+        x.shape = known.setdefault((x.key, *(c.shape for c in x.children)), len(known))
+
+
+def _common(xs: list[Node], ys: list[Node]) -> int:
+    """Children of equal shape in front: some greatest match pairs them, and it is the one that _partners finds."""
+    return next((i for i, (x, y) in enumerate(zip(xs, ys, strict=False)) if x.shape != y.shape), min(len(xs), len(ys)))
+
+
+def _kinds(ys: list[Node]) -> tuple[list[Node], np.ndarray]:
+    """A node of each shape, and which of them each node is like."""
+    first: dict[int, int] = {}
+    at = np.array([first.setdefault(y.shape, len(first)) for y in ys])
+    return list({y.shape: y for y in ys}.values()), at
+
+
+def _below(above: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The next row of the table of greatest matches of beginnings."""
+    row = above.copy()
+    np.maximum(above[1:], above[:-1] + weights, out=row[1:])
+    return np.maximum.accumulate(row)
+
+
 def _score(a: Node, b: Node, memo: dict) -> int:
     """Size of the greatest match of two trees whose roots match: simple tree matching."""
+    if a.shape == b.shape:
+        return a.size
     if a.key != b.key:
         return 0
     if not a.children or not b.children:
         return 1
-    key = (id(a), id(b))
+    key = (a.shape, b.shape)
     if key not in memo:
-        if len(a.children) * len(b.children) > _CELLS:
-            memo[key] = 1 + sum(_score(x, y, memo) for x, y in _ends(a, b))
-        else:
-            above = [0] * (len(b.children) + 1)
-            for x in a.children:
-                row, left = [0], 0
-                for j, y in enumerate(b.children):
-                    best = above[j + 1] if above[j + 1] > left else left
-                    if x.key == y.key and (w := above[j] + _score(x, y, memo)) > best:
-                        best = w
-                    row.append(best)
-                    left = best
-                above = row
-            memo[key] = 1 + above[-1]
+        k = _common(a.children, b.children)
+        total, xs, ys = 1 + sum(x.size for x in a.children[:k]), a.children[k:], b.children[k:]
+        if xs and ys:
+            kinds, at = _kinds(ys)
+            row, weights = np.zeros(len(ys) + 1, dtype=np.int64), {}
+            for x in xs:
+                if x.shape not in weights:
+                    if len(weights) >= 200:
+                        weights.clear()
+                    weights[x.shape] = np.array([_score(x, y, memo) for y in kinds])[at]
+                row = _below(row, weights[x.shape])
+            total += int(row[-1])
+        memo[key] = total
     return memo[key]
 
 
-def _ends(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Children that match from the front and from the back."""
-    x, y, out = a.children, b.children, []
-    n, i, k = min(len(x), len(y)), 0, 0
-    while i < n and x[i].key == y[i].key:
-        out.append((x[i], y[i]))
-        i += 1
-    while k < n - i and x[-1 - k].key == y[-1 - k].key:
-        out.append((x[-1 - k], y[-1 - k]))
-        k += 1
+def _partners(xs: list[Node], ys: list[Node], memo: dict) -> list[tuple[Node, Node]]:
+    """The pairs of the greatest match of two child lists. Of the table's rows every step-th is kept; those between are made again on the way back."""
+    k = _common(xs, ys)
+    out, xs, ys = list(zip(xs[:k], ys[:k], strict=True)), xs[k:], ys[k:]
+    if not xs or not ys:
+        return out
+    kinds, at = _kinds(ys)
+    weights: dict[int, np.ndarray] = {}
+
+    def below(row: np.ndarray, x: Node) -> np.ndarray:
+        if x.shape not in weights:
+            if len(weights) >= 200:
+                weights.clear()
+            weights[x.shape] = np.array([_score(x, y, memo) for y in kinds])[at]
+        return _below(row, weights[x.shape])
+
+    step = math.isqrt(len(xs)) + 1
+    row = np.zeros(len(ys) + 1, dtype=np.int64)
+    kept = [row]
+    for i, x in enumerate(xs, 1):
+        row = below(row, x)
+        if i % step == 0:
+            kept.append(row)
+    i, j, low, table = len(xs), len(ys), len(xs), []
+    while i and j:
+        if i <= low:
+            low = (i - 1) // step * step
+            table = [kept[low // step]]
+            for x in xs[low:i]:
+                table.append(below(table[-1], x))
+        here, above = table[i - low], table[i - low - 1]
+        if here[j] == above[j]:
+            i -= 1
+        elif here[j] == here[j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((xs[i], ys[j]))
     return out
 
 
 def align(page: Node, reference: Node) -> dict[int, Node]:
     """id of each of the page's nodes that has a partner: the reference's node."""
     memo: dict = {}
+    shapes: dict = {}
+    measure(page, shapes)
+    measure(reference, shapes)
     out, todo = {}, [(page, reference)]
     while todo:
         a, b = todo.pop()
         out[id(a)] = b
-        if not a.children or not b.children:
-            continue
-        if len(a.children) * len(b.children) > _CELLS:
-            todo += _ends(a, b)
-            continue
-        table = [[0] * (len(b.children) + 1)]
-        for x in a.children:
-            row = [0]
-            for j, y in enumerate(b.children):
-                row.append(max(table[-1][j + 1], row[-1], table[-1][j] + _score(x, y, memo)))
-            table.append(row)
-        i, j = len(a.children), len(b.children)
-        while i and j:
-            if table[i][j] == table[i - 1][j]:
-                i -= 1
-            elif table[i][j] == table[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((a.children[i], b.children[j]))
+        todo += _partners(a.children, b.children, memo)
     return out
 
 

@@ -305,6 +305,56 @@ def test_extraction(spark):
     assert wrapper.extract(df.limit(0)).count() == 0
 
 
+def plain_match(a, b):
+    """Simple tree matching with whole tables: its size and its pairs."""
+    if a.key != b.key:
+        return 0, []
+    xs, ys = a.children, b.children
+    each = [[plain_match(x, y) for y in ys] for x in xs]
+    table = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    for i in range(len(xs)):
+        for j in range(len(ys)):
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + each[i][j][0])
+    i, j, pairs = len(xs), len(ys), [(a, b)]
+    while i and j:
+        if table[i][j] == table[i - 1][j]:
+            i -= 1
+        elif table[i][j] == table[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs += each[i][j][1]
+    return 1 + table[-1][-1], pairs
+
+
+def random_tree(rng, width, depth):
+    node = wrapper.Node("div", rng.choice("pqr") if depth < 3 else "div", wrapper.PLAIN)
+    node.children = [random_tree(rng, rng.choice([0, 0, 1, 2, 4]), depth - 1) for _ in range(width)] if depth else []
+    return node
+
+
+@pytest.mark.parametrize("widths", [(0, 5), (6, 6), (9, 4), (60, 70), (210, 230)])
+def test_alignment_is_the_greatest_match(widths):
+    import random
+
+    for seed in range(40 if max(widths) < 50 else 2):
+        rng = random.Random(seed)
+        a, b = (random_tree(rng, w, 3) for w in widths)
+        want = {id(x): id(y) for x, y in plain_match(a, b)[1]}
+        assert {x: id(y) for x, y in wrapper.align(a, b).items()} == want
+
+
+def test_template_amid_many_siblings(spark):
+    def body(i):
+        first, last = ("h2", "h3") if i % 2 else ("h3", "h2")
+        some = "".join(f"<p>Body {i} {k}</p>" for k in range(105))
+        return f"<{first}>A{i}</{first}>{some}<div>Same words on every page</div>{some}<{last}>Z{i}</{last}>"
+
+    df = spark.createDataFrame([(i, "http://d.example/", page(body(i))) for i in range(12)], "page_id long, url string, html string")
+    for r in wrapper.extract(df).collect():
+        assert "Same words" not in r.text and r.text.startswith(f"A{r.page_id}") and r.text.endswith(f"Z{r.page_id}")
+
+
 def test_queries_are_registered():
     import __spark_entry__ as e
 
