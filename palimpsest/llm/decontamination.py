@@ -1,4 +1,4 @@
-"""Benchmark decontamination: SimHash of item-sized windows, a multi-index over Hamming blocks, exact verification.
+"""Benchmark decontamination: item-sized windows where shingles are shared, exact verification, SimHash distances.
 
 Words are runs of letters and digits, lower-cased; a shingle is five words (an item with fewer is one
 shingle of its own length). Windows have an item's number of words. A window can only reach the
@@ -6,12 +6,11 @@ similarity that is asked for if it shares a shingle with the item, so windows ar
 of an item's shingles, aligned with the item (the first shingle of every stretch that runs along the item is enough). Nothing that could
 be verified is left out by that.
 
-Every window and item gets a 64-bit SimHash of its shingles. The fingerprints are cut into blocks such
-that two within ``radius`` must agree in some block up to radius // blocks bits; the items' side lists all such
-neighbours of each block value, the windows' side looks up its own value, and the whole fingerprints are compared. What is
-within the radius is verified by the exact weighted similarity: the sum of the weights of the shared
-shingles over that of all (as multisets). A shingle weighs log(1 + items / items that have it);
-shingles of no other item weigh most.
+Every window is verified against the item that it was laid for, by the exact weighted similarity: the sum of the weights
+of the shared shingles over that of all (as multisets). A shingle weighs log(1 + items / items that have it);
+shingles of no other item weigh most. Windows whose shingles that the item has, all counted as shared, don't reach the similarity are
+left out before that. A Hamming radius decides nothing, since windows of similarity 0.8 can lie at any distance; the
+distance of the 64-bit SimHashes is reported beside the similarity.
 
 Null or empty texts match nothing. Of equal windows the first counts; for each document and item the best
 window is reported. Repeated ids are reported once. Extra columns don't matter. DataFrame expressions only.
@@ -19,8 +18,6 @@ window is reported. Repeated ids are reported once. Extra columns don't matter.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +26,6 @@ from palimpsest.llm.common import materialize
 #: The benchmark's shingles are broadcast up to this many; beyond it they are joined by a shuffle.
 BROADCAST_SHINGLES = 500_000
 NOT_WORDS = r"[^\p{L}\p{N}]+"
-_BLOCKS = 6
 
 
 def _words(text: Column) -> Column:
@@ -50,26 +46,6 @@ def simhash(grams: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("bigint"), lambda s, x: F.when(x["on"], s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x["b"]))).otherwise(s))
 
 
-def _blocks(blocks: int) -> list[tuple[int, int]]:
-    """(shift, width) of each block."""
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
-def _block_values(fp: Column, blocks: int) -> list[Column]:
-    return [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << w) - 1)) for a, w in _blocks(blocks)]
-
-
-def _item_keys(fp: Column, blocks: int, radius: int) -> Column:
-    """array<struct(block, value)>: all block values within radius // blocks bits of the item's."""
-    def neighbours(k: int, width: int, value: Column) -> Column:
-        masks = [sum(1 << i for i in c) for r in range(radius // blocks + 1) for c in combinations(range(width), r)]
-        return F.transform(F.array(*(F.lit(m).cast("bigint") for m in masks)), lambda m: F.struct(F.lit(k).alias("block"), value.bitwiseXOR(m).alias("value")))
-
-    values = _block_values(fp, blocks)
-    return F.concat(*(neighbours(k, width, values[k]) for k, (_, width) in enumerate(_blocks(blocks))))
-
-
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -79,8 +55,6 @@ def find_leaks(
     item_text_col: str = "text",
     similarity: float = 0.8,
     shingle: int = 5,
-    radius: int = 16,
-    blocks: int = _BLOCKS,
 ) -> DataFrame:
     """One row per (document, item) that match: id, item, first_word, n_words, hamming, similarity."""
     items = (
@@ -99,8 +73,11 @@ def find_leaks(
         .groupBy("item")
         .agg(F.map_from_entries(F.collect_list(F.struct("gram", F.log(1 + n_items / F.col("count"))))).alias("weights"))
     )
-    items = items.join(weights, "item").withColumn("item_fp", simhash(F.col("item_grams")))
-    seeds = F.broadcast(seeds) if seeds.count() <= BROADCAST_SHINGLES else seeds
+    most = F.log(F.lit(1.0 + n_items))
+    weigh = lambda a, other: F.aggregate(a, F.lit(0.0), lambda s, x: s + F.coalesce(F.element_at("weights", x), other))
+    items = items.join(weights, "item").withColumn("item_fp", simhash(F.col("item_grams"))).withColumn("item_weight", weigh(F.col("item_grams"), most))
+    if seeds.count() <= BROADCAST_SHINGLES:
+        seeds, items = F.broadcast(seeds), F.broadcast(items)
 
     # The outer forms of explode, because a filter on the array's size would be pushed below it and compute everything twice.
     base = docs.select(F.col(id_col).alias("doc"), _words(F.col(text_col)).alias("words"))
@@ -111,29 +88,22 @@ def find_leaks(
         first = hit.where(~F.coalesce(F.get("grams", F.col("p") - 1) == F.col("before"), F.lit(False)))
         begin = F.col("p") - F.col("at")
         part = F.slice("words", F.greatest(begin, F.lit(0)) + 1, F.least(F.col("length"), F.col("length") + begin))
-        part = first.select("doc", F.greatest(begin, F.lit(0)).alias("first_word"), "length", part.alias("part"))
-        part = part.select("doc", "first_word", "length", F.size("part").alias("n_words"), F.lit(size).alias("size"), _grams(F.col("part"), size).alias("grams"))
+        part = first.select("doc", "item", F.greatest(begin, F.lit(0)).alias("first_word"), part.alias("part"))
+        part = part.select("doc", "item", "first_word", F.size("part").alias("n_words"), _grams(F.col("part"), size).alias("grams"))
         windows = part if windows is None else windows.union(part)
     if windows is None:
-        windows = base.where("false").select("doc", F.lit(0).alias("first_word"), F.lit(0).alias("length"), F.lit(0).alias("n_words"), F.lit(0).alias("size"), F.array(F.lit(0).cast("bigint")).alias("grams"))
-    windows = windows.dropDuplicates(["doc", "first_word", "length", "n_words", "grams"]).withColumn("fp", simhash(F.col("grams")))
-    windows = materialize(windows, "windows")
-
-    keyed = windows.withColumn("key", F.explode(F.array(*(F.struct(F.lit(k).alias("block"), v.alias("value")) for k, v in enumerate(_block_values(F.col("fp"), blocks))))))
-    index = items.withColumn("key", F.explode(_item_keys(F.col("item_fp"), blocks, radius)))
-    near = (
-        keyed.join(index.select("key", "item", "size", "length", "item_fp"), ["key", "size", "length"])
-        .withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
-        .where(F.col("hamming") <= radius)
-        .select("doc", "first_word", "n_words", "grams", "item", "hamming")
-        .join(items.select("item", "item_grams", "weights"), "item")
-    )
+        windows = base.where("false").select("doc", F.lit(None).cast(items.schema["item"].dataType).alias("item"), F.lit(0).alias("first_word"), F.lit(0).alias("n_words"), F.array(F.lit(0).cast("bigint")).alias("grams"))
+    shared = weigh(F.col("grams"), F.lit(0.0))  # at least the weight of what is shared
+    may = shared >= (similarity - 1e-9) * (weigh(F.col("grams"), most) + F.col("item_weight") - shared)
+    windows = windows.join(items.select("item", "weights", "item_weight"), "item").where(may).select("doc", "item", "first_word", "n_words", "grams")
+    windows = materialize(windows.dropDuplicates(["doc", "item", "first_word", "n_words", "grams"]), "windows")
+    near = windows.join(items.select("item", "item_grams", "item_fp", "weights"), "item")
     # As multisets: the k-th copy of a shingle is a shingle of its own.
-    most = F.log(F.lit(1.0 + n_items))
     numbered = lambda a: F.transform(a, lambda g, i: F.struct(g.alias("g"), F.size(F.filter(F.slice(a, F.lit(1), i), lambda x: x == g)).alias("k")))
-    weigh = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + F.coalesce(F.element_at("weights", x["g"]), most))
+    weight = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + F.coalesce(F.element_at("weights", x["g"]), most))
     near = near.withColumn("a", numbered(F.col("grams"))).withColumn("b", numbered(F.col("item_grams")))
-    near = near.withColumn("similarity", weigh(F.array_intersect("a", "b")) / weigh(F.array_union("a", "b"))).where(F.col("similarity") >= similarity)
+    near = near.withColumn("similarity", weight(F.array_intersect("a", "b")) / weight(F.array_union("a", "b"))).where(F.col("similarity") >= similarity)
+    near = near.withColumn("hamming", F.bit_count(simhash(F.col("grams")).bitwiseXOR(F.col("item_fp"))))
     best = F.max_by(F.struct("first_word", "n_words", "hamming", "similarity"), F.struct("similarity", -F.col("first_word")))
     return near.groupBy("doc", "item").agg(best.alias("best")).select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "best.*")
 

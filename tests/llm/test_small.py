@@ -223,6 +223,14 @@ def test_leaks(spark, empty):
     assert decontamination.find_leaks(docs.drop("item_id"), bench.limit(0)).count() == 0
 
 
+def test_leaks_beyond_a_hamming_radius(spark):
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(14))) for i in range(3000)]
+    docs = spark.createDataFrame([(i, f"before {t.rsplit(' ', 1)[0]} other{i} after") for i, t in items], "doc_id long, text string")
+    out = decontamination.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in out) == [(i, i) for i in range(3000)]
+    assert all(r.similarity == pytest.approx(9 / 11) for r in out) and max(r.hamming for r in out) > 16
+
+
 # ── Byte pairs ──
 
 
