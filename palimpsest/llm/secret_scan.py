@@ -4,14 +4,15 @@ Rules (leftmost, non-overlapping for each kind; matches that are too short are d
 ``assign`` (a credential word, ``:`` or ``=``, a value of 12 or more), ``access`` (``AKIA`` keys of 18
 or more) and ``hex`` (16 or more). The span of an ``assign`` is the whole match.
 
-The battery looks at every other run of 20 or more characters of ``[A-Za-z0-9+/_-]`` with a letter and a
-digit in it. The encoding is the smallest alphabet that holds the token (digits with hex letters, base
-32, alphanumeric, base 64). Three tests ask whether its symbols could be drawn at random: chi-squared for the alphabet's
-uniformity, the number of runs above and below the alphabet's middle, and the correlation of successive
-symbols. The least of the three p-values, times three, is the token's. Among the tokens of a length band, over
-all documents, a Benjamini-Hochberg step at level ``fdr`` settles which are structured: of those thrown
-out, no more than that share is expected to be random. Bands, so that short tokens, on which the tests
-have little power, don't set the threshold for long ones. What isn't thrown out is a ``random`` span.
+The battery tests every run of ``[A-Za-z0-9+/_-]``, inside the rules' spans and outside: those of 16 or more with a
+letter and a digit, and those of 20 or more with a small letter before a capital. The encoding is the smallest
+alphabet that holds the token (hex, base 32, base 36, alphanumeric, base 64). Three tests ask whether its symbols could be
+drawn at random: chi-squared for the alphabet's uniformity, the number of runs above and below the alphabet's
+middle, and the correlation of successive symbols. The least of the three p-values, times three, is the token's.
+Among the tokens of a length band, over all documents, a Benjamini-Hochberg step at level ``fdr`` settles
+which are structured: of those thrown out, no more than that share is expected to be random. Bands, so that short tokens, on
+which the tests have little power, don't set the threshold for long ones. What isn't thrown out is a ``random``
+span, so the level bounds the random tokens that are lost, and the tests' power decides how many structured ones stay.
 p-values are counted on a fixed grid, rounded up, so that the step needs one small table of counts.
 
 Null texts count as empty, positions are code points (end exclusive), repeated rows are scanned alike,
@@ -31,111 +32,126 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
-TOKEN = "[A-Za-z0-9+/_-]{20,}"
+TOKEN = "[A-Za-z0-9+/_-]{16,}"
+#: Where the battery has candidates: letter and digit, or 20 and more with a small letter before a capital.
+MIXED, LONG_MIXED, LONG = "[A-Za-z][^A-Za-z0-9]*[0-9]|[0-9][^A-Za-z0-9]*[A-Za-z]", "[a-z][^A-Za-z]*[A-Z]", 20
 #: Upper ends of the length bands, exclusive.
 BANDS = (28, 40, 56, 80, 128, 256)
 #: Grid of -log10 p: steps and the last one.
 _STEP, _LAST = 0.05, 800
 
 _SPAN = "array<struct<start:int,end:int,kind:int,token:string>>"
+#: Matches that are walked together: appending to an array copies it, so a text's matches are cut into blocks.
+_BLOCK = 128
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _spans(text: Column, pattern: str, kind: int) -> Column:
     """All matches with their places: what lies between them is measured, too."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
     none = F.array().cast(_SPAN)
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.char_length(x["gap"]) + F.char_length(x["hit"])).alias("at"),
-        F.concat(
-            acc["out"],
-            F.array(
-                F.struct(
-                    (acc["at"] + F.char_length(x["gap"])).alias("start"),
-                    (acc["at"] + F.char_length(x["gap"]) + F.char_length(x["hit"])).alias("end"),
-                    F.lit(kind).alias("kind"),
-                    x["hit"].alias("token"),
-                )
-            ),
-        ).cast(_SPAN).alias("out"),
-    )
-    both = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    walked = F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.zip_with(found, F.split(text, pattern, -1), lambda h, g: F.struct(F.char_length(g).alias("gap"), h.alias("hit"), F.char_length(h).alias("n")))
+    size = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x["gap"] + x["n"])
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        span = F.struct(start.alias("start"), (start + x["n"]).alias("end"), F.lit(kind).alias("kind"), x["hit"].alias("token"))
+        return F.struct((start + x["n"]).alias("at"), F.array_append(acc["out"], span).alias("out"))
+
+    def walk(blocks: Column) -> Column:
+        sizes = F.transform(blocks, size)
+        begin = lambda sums, i: F.aggregate(F.slice(sums, F.lit(1), i), F.lit(0), lambda s, x: s + x)
+        each = lambda sums: F.transform(blocks, lambda b, i: F.aggregate(b, F.struct(begin(sums, i).alias("at"), none.alias("out")), step)["out"])
+        return F.flatten(_let(sizes, each))
+
+    def cut(xs: Column) -> Column:
+        """The matches (the piece after the last match has none) in blocks."""
+        n = F.size(F.filter(xs, lambda x: x["hit"].isNotNull()))
+        return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int")), lambda b: F.slice(xs, b * _BLOCK + 1, F.least(F.lit(_BLOCK), n - b * _BLOCK)))
+
+    return F.when(text.rlike(pattern), _let(_let(pairs, cut), walk)).otherwise(none)
 
 
 def _upper_tail(z: Column) -> Column:
     """P(Z > z) for a normal variable; relative error about 1e-7 on the right (Abramowitz and Stegun 7.1.26 within, Mills' ratio beyond)."""
-    a = F.abs(z) / math.sqrt(2)
-    t = 1 / (1 + 0.3275911 * a)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    far = F.exp(-a * a) / (a * math.sqrt(math.pi)) * (1 - 1 / (2 * a * a))
-    tail = 0.5 * F.when(a < 2.5, poly * F.exp(-a * a)).otherwise(far)
-    return F.when(z >= 0, tail).otherwise(1 - tail)
 
+    def tail(x: Column) -> Column:
+        a, t, e = x["a"], x["t"], F.exp(-x["a"] * x["a"])
+        poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+        far = e / (a * math.sqrt(math.pi)) * (1 - 1 / (2 * a * a))
+        return _let(0.5 * F.when(a < 2.5, poly * e).otherwise(far), lambda p: F.when(x["z"] >= 0, p).otherwise(1 - p))
 
-_HEX, _B32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    scaled = lambda v: F.struct(v.alias("z"), (F.abs(v) / math.sqrt(2)).alias("a"), (1 / (1 + 0.3275911 / math.sqrt(2) * F.abs(v))).alias("t"))
+    return _let(_let(z, scaled), tail)
+
+
+_HEX, _B32, _B36 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789"
 _ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
 
 def randomness_p(token: Column) -> Column:
     """Combined p-value of the three tests under the token's inferred encoding."""
     is_hex = token.rlike("^([0-9a-f]+|[0-9A-F]+)$")
-    symbols = F.when(is_hex, F.lit(_HEX)).when(token.rlike("^[A-Z2-7]+$"), F.lit(_B32)).when(token.rlike("^[A-Za-z0-9]+$"), F.lit(_ALNUM)).otherwise(F.lit(_ALNUM + "+/"))
+    symbols = F.when(is_hex, F.lit(_HEX)).when(token.rlike("^[A-Z2-7]+$"), F.lit(_B32)).when(token.rlike("^[a-z0-9]+$"), F.lit(_B36)).when(token.rlike("^[A-Za-z0-9]+$"), F.lit(_ALNUM)).otherwise(F.lit(_ALNUM + "+/"))
     plain = F.when(is_hex, F.lower(token)).otherwise(F.translate(token, "-_", "+/"))
+    total = lambda xs, zero: F.aggregate(xs, F.lit(zero), lambda s, v: s + v)
+    successive = lambda xs, n, f: F.zip_with(F.slice(xs, F.lit(1), n - 1), F.slice(xs, F.lit(2), n - 1), f)
 
-    def tests(x: Column) -> Column:
+    def uniform(x: Column) -> Column:
+        """Chi-squared over the alphabet (Wilson and Hilferty's cube root)."""
         chars, size, n = F.split(x["plain"], ""), F.char_length(x["symbols"]), F.char_length(x["plain"])
-        squares = F.aggregate(
-            F.transform(F.array_distinct(chars), lambda c: n - F.char_length(F.replace(x["plain"], c, F.lit("")))), F.lit(0), lambda s, c: s + c * c
-        )
+        squares = total(F.transform(F.array_distinct(chars), lambda c: F.pow(n - F.char_length(F.replace(x["plain"], c, F.lit(""))), F.lit(2))), 0.0)
         chi, df = size / n * squares - n, size - 1
-        p_chi = _upper_tail((F.pow(F.greatest(chi, F.lit(1e-9)) / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
+        p = _upper_tail((F.pow(F.greatest(chi, F.lit(1e-9)) / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
         at = F.transform(chars, lambda c: F.instr(x["symbols"], c) - 1)
-        return F.struct(at.alias("at"), n.alias("n"), size.alias("size"), p_chi.alias("p_chi"))
-
-    def more(y: Column) -> Column:
-        n, high = y["n"], F.transform(y["at"], lambda v: (v * 2 >= y["size"]).cast("int"))
-        ones = F.aggregate(high, F.lit(0), lambda s, v: s + v)
-        zeros = n - ones
-        pairs = F.zip_with(F.slice(high, F.lit(1), n - 1), F.slice(high, F.lit(2), n - 1), lambda a, b: (a != b).cast("int"))
-        runs = 1 + F.aggregate(pairs, F.lit(0), lambda s, v: s + v)
-        mean = 2 * ones * zeros / n + 1
-        p_runs = F.when((ones > 0) & (zeros > 0), 2 * _upper_tail(F.abs(runs - mean) / F.sqrt((mean - 1) * (mean - 2) / (n - 1)))).otherwise(F.pow(F.lit(0.5), n - 1))
-        centre = F.aggregate(y["at"], F.lit(0.0), lambda s, v: s + v) / n
-        off = F.transform(y["at"], lambda v: v - centre)
-        own = F.aggregate(off, F.lit(0.0), lambda s, v: s + v * v)
-        lagged = F.zip_with(F.slice(off, F.lit(1), n - 1), F.slice(off, F.lit(2), n - 1), lambda a, b: a * b)
-        p_serial = F.when(own > 0, 2 * _upper_tail(F.abs(F.aggregate(lagged, F.lit(0.0), lambda s, v: s + v) / own * F.sqrt(n)))).otherwise(0.0)
-        return F.least(F.lit(1.0), 3 * F.least(y["p_chi"], F.coalesce(p_runs, F.lit(1.0)), p_serial))
-
-    first = F.transform(F.array(F.struct(plain.alias("plain"), symbols.alias("symbols"))), tests)
-    return F.element_at(F.transform(first, more), 1)
+        return F.struct(at.alias("at"), F.transform(at, lambda v: (v * 2 >= size).cast("int")).alias("high"), n.alias("n"), p.alias("p"))
+
+    def sums(y: Column) -> Column:
+        n, high = y["n"], y["high"]
+        runs = 1 + total(successive(high, n, lambda a, b: (a != b).cast("int")), 0)
+        off = _let(total(y["at"], 0) / n, lambda centre: F.transform(y["at"], lambda v: v - centre))
+        serial = lambda d: F.struct(total(F.transform(d, lambda v: v * v), 0.0).alias("own"), total(successive(d, n, lambda a, b: a * b), 0.0).alias("lagged"))
+        return F.struct(n.alias("n"), y["p"].alias("p"), total(high, 0).alias("ones"), runs.alias("runs"), _let(off, serial).alias("s"))
+
+    def combined(y: Column) -> Column:
+        n, ones = y["n"], y["ones"]
+        mean = 2 * ones * (n - ones) / n + 1
+        z = lambda m: F.abs(y["runs"] - m) / F.sqrt((m - 1) * (m - 2) / (n - 1))
+        p_runs = F.when((ones > 0) & (ones < n), 2 * _upper_tail(_let(mean, z))).otherwise(F.pow(F.lit(0.5), n - 1))
+        p_serial = F.when(y["s"]["own"] > 0, 2 * _upper_tail(F.abs(y["s"]["lagged"] / y["s"]["own"] * F.sqrt(n)))).otherwise(0.0)
+        return F.least(F.lit(1.0), 3 * F.least(y["p"], F.coalesce(p_runs, F.lit(1.0)), p_serial))
+
+    return _let(_let(_let(F.struct(plain.alias("plain"), symbols.alias("symbols")), uniform), sums), combined)
 
 
 def _band(length: Column) -> Column:
     return sum(((length >= b).cast("int") for b in BANDS), F.lit(0))
 
 
-def _with_spans(df: DataFrame, text_col: str) -> DataFrame:
-    """df with _base (rule spans) and _tokens (candidates of the battery: span, band, grid cell of p)."""
-    text = F.coalesce(text_col, F.lit(""))
+def _base(text: Column) -> Column:
+    """The rules' spans."""
     assign = F.filter(_spans(text, ASSIGN, 0), lambda s: F.char_length(F.regexp_extract(s["token"], ASSIGN, 2)) >= 12)
-    base = F.array_sort(F.concat(assign, _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
-    df = df.withColumn("_base", base)
-    mixed = F.filter(_spans(text, TOKEN, 3), lambda s: s["token"].rlike("[0-9]") & s["token"].rlike("[A-Za-z]"))
-    alone = F.filter(mixed, lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return F.concat(assign, _spans(text, ACCESS, 1), _spans(text, HEX, 2))
+
+
+def _tokens(text: Column) -> Column:
+    """The battery's tokens: span, length band, grid cell of p."""
+    mixed = F.filter(_spans(text, TOKEN, 3), lambda s: s["token"].rlike(MIXED) | ((F.char_length(s["token"]) >= LONG) & s["token"].rlike(LONG_MIXED)))
     cell = lambda t: F.least(F.lit(_LAST), F.floor(-F.log10(F.greatest(randomness_p(t), F.lit(1e-300))) / _STEP)).cast("int")
-    tokens = F.transform(
-        alone,
+    return F.transform(
+        mixed,
         lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), _band(F.char_length(s["token"])).alias("band"), cell(s["token"]).alias("cell")),
     )
-    return df.withColumn("_tokens", tokens)
 
 
 def structured_from(df: DataFrame, text_col: str = "text", fdr: float = 0.05) -> dict[int, int]:
     """For each length band the grid cell from which on tokens are structured; a count for each (band, cell) reaches the driver."""
-    tokens = _with_spans(df.select(text_col), text_col).select(F.explode("_tokens").alias("t"))
+    # The outer form of explode: a filter on the array would be pushed below it and scan every text twice.
+    tokens = df.select(F.explode_outer(_tokens(F.coalesce(text_col, F.lit("")))).alias("t")).where("t is not null")
     counts: dict[int, dict[int, int]] = {}
     for r in tokens.groupBy("t.band", "t.cell").count().collect():
         counts.setdefault(r["band"], {})[r["cell"]] = r["count"]
@@ -149,23 +165,28 @@ def structured_from(df: DataFrame, text_col: str = "text", fdr: float = 0.05) ->
     return out
 
 
-def scan_secrets(df: DataFrame, text_col: str = "text", fdr: float = 0.05, thresholds: dict[int, int] | None = None) -> DataFrame:
-    """df with base_spans and spans: arrays of struct(start, end, kind) by start, then kind as listed."""
+def _scanned(df: DataFrame, text_col: str, fdr: float, thresholds: dict[int, int] | None) -> tuple[DataFrame, str, str, str]:
+    """df with the rules' spans, all spans, and the number of tokens tested, and the names of these columns."""
     thresholds = structured_from(df, text_col, fdr) if thresholds is None else thresholds
     limit = F.array(*(F.lit(thresholds.get(b, _LAST + 1)) for b in range(len(BANDS) + 1)))
     names = F.array(*map(F.lit, KINDS))
-    plain = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    plain = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     named = lambda spans: F.transform(
-        F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))),
-        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(names, s["kind"] + 1).alias("kind")),
-    )
-    df = _with_spans(df.drop("base_spans", "spans"), text_col)
-    random = F.filter("_tokens", lambda s: s["cell"] < F.element_at(limit, s["band"] + 1))
-    return (
-        df.withColumn("base_spans", named(plain(F.col("_base"))))
-        .withColumn("spans", named(F.concat(plain(F.col("_base")), plain(random))))
-        .drop("_base", "_tokens")
+        F.array_sort(spans), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(names, s["kind"] + 1).alias("kind"))
     )
+    base, tokens, every, tested = (free_name(df, n) for n in ("_base", "_tokens", "_every", "_tested"))
+    text = F.coalesce(text_col, F.lit(""))
+    df = df.withColumn(base, plain(_base(text))).withColumn(tokens, _tokens(text))
+    random = F.filter(tokens, lambda s: s["cell"] < F.element_at(limit, s["band"] + 1))
+    df = df.withColumn(every, named(F.concat(base, plain(random)))).withColumn(tested, F.size(tokens)).withColumn(base, named(F.col(base)))
+    return df.drop(tokens), base, every, tested
+
+
+def scan_secrets(df: DataFrame, text_col: str = "text", fdr: float = 0.05, thresholds: dict[int, int] | None = None) -> DataFrame:
+    """df with base_spans and spans: arrays of struct(start, end, kind) by start, then kind as listed; n_tested: tokens that the battery tested."""
+    df = df.drop(*(c for c in ("base_spans", "spans", "n_tested") if c != text_col))
+    found, base, every, tested = _scanned(df, text_col, fdr, thresholds)
+    return found.select(*df.columns, F.col(base).alias("base_spans"), F.col(every).alias("spans"), F.col(tested).alias("n_tested"))
 
 
 def span_text(spans: Column) -> Column:
@@ -175,16 +196,16 @@ def span_text(spans: Column) -> Column:
 
 def redact(df: DataFrame, text_col: str = "text", mask: str = "[secret]", fdr: float = 0.05) -> DataFrame:
     """df with every span of the text replaced by the mask; overlapping spans are one. Null texts stay null."""
-    cols = df.columns
-    found = scan_secrets(df.withColumn(text := free_name(df, "_whole"), F.col(text_col)), text, fdr)
-    init = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    found, _, every, _ = _scanned(df, text_col, fdr, None)
+    text = F.col(text_col)
+    # Where spans begin anew, and where each such stretch ends: spans come by start, so a running maximum of the ends tells.
+    init = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     step = lambda acc, s: F.struct(
         F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"]).alias("out"),
+        F.when(s["start"] >= acc["at"], F.array_append(acc["out"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))).otherwise(acc["out"]).alias("out"),
     )
-    done = F.aggregate("spans", init, step)
-    clean = F.concat(done["out"], F.substring(F.col(text), done["at"] + 1, F.char_length(text)))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(F.col(text))).select(*cols)
+    clean = _let(F.aggregate(every, init, step), lambda done: F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.char_length(text))))
+    return found.withColumn(text_col, F.when(F.size(every) > 0, clean).otherwise(text)).select(*df.columns)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,4 +218,6 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind("hex").alias("n_hex"),
         F.sha2(span_text(F.col("base_spans")), 256).alias("base_sha256"),
         span_text(F.col("spans")).alias("spans"),
+        F.col("n_tested").cast("long").alias("n_tested"),
+        F.size(F.filter("spans", lambda s: s["kind"] == "random")).cast("long").alias("n_random"),
     )
