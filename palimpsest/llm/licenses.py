@@ -4,14 +4,15 @@ Words are runs of digits, a-z and everything beyond ASCII, after lower-casing A-
 each with its places in the templates, form the index. Document frequencies of all licence words come
 from the whole corpus. For each template whose mandatory words a file has, the ``agree`` words of the mandatory phrase
 with the highest inverse document frequency are looked up (all of a phrase with fewer), and every posting proposes the place at which
-its template would begin (the file's position less the template's). Where they all propose the
-same place, the template is compared there word for word: the mandatory phrase must stand complete, and the share of the template's
-words that stand at their places must reach ``coverage``. The score is the best such share. As the mandatory phrase must stand complete,
-every place where a template can stand is proposed, whatever else the file holds.
+its template would begin (the file's position less the template's). The proposals of the words are intersected; where all
+propose the same place, the template is compared there word for word: the mandatory phrase must stand complete, and the share of the
+template's words that stand at their places must reach ``coverage``. The score is the best such share. As the mandatory phrase must stand
+complete, every place where a template can stand is proposed, whatever else the file holds.
 
 Plain phrases are counted beside that, word for word. Null texts count as empty. Equal texts get equal results;
-places are counted from word 0, and ties between templates don't matter since all that match are listed.
-DataFrame expressions only; the index has a fixed size, that of the templates.
+places are counted from word 0, and ties between templates don't matter since all that match are listed. Columns of the input stay
+unless they are named like a new one. DataFrame expressions only: after the counts of the licence words, of a fixed number, each
+file is looked at by itself, so that nothing is shuffled. The index has a fixed size, that of the templates.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ascii_lower
+from palimpsest.llm.common import ascii_lower, free_name
 
 NOT_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -83,49 +84,48 @@ def scan_licenses(
     coverage: float = 0.8,
 ) -> DataFrame:
     """df with n_words long, phrase_places array<struct(at, label)>, template_labels array<string>, score double."""
-    spark, columns = df.sparkSession, [c for c in df.columns if c not in ("n_words", "phrase_places", "template_labels", "score")]
+    columns = [c for c in df.columns if c not in ("n_words", "phrase_places", "template_labels", "score")]
     cut = [(label, _cut(text), _cut(key)) for label, text, key in templates]
     vocabulary = sorted({w for _, text, _ in cut for w in text})
-    words = F.col("_words")
-    found = df.select(*columns).withColumn("_words", words_of(F.col(text_col))).withColumn("_present", F.array_intersect(words, _array(vocabulary)))
     # Document frequencies: a row for each licence word, so of a fixed number.
-    counts = {r[0]: r[1] for r in found.select(F.explode_outer("_present").alias("w")).where("w is not null").groupBy("w").count().collect()}
-    keys = [set(key) for _, _, key in cut]
-    # Rarest first: highest inverse document frequency. A place where a template can stand has all its mandatory words, so these among them.
-    rare = [sorted(k, key=lambda w: (counts.get(w, 0), w))[:agree] for k in keys]
-    # A look at the raw text comes first: filters are pushed below the columns they use, so what follows would be computed for each template anew.
-    holds = lambda words: F.coalesce(text_col, F.lit("")).rlike(f"(?i){'|'.join(sorted(words))}")
-    complete = [F.size(F.array_intersect("_present", _array(sorted(k)))) == len(k) for k in keys]
-    possible = holds({max(k, key=len) for k in keys}) & reduce(lambda a, b: a | b, complete)
-    lasts = {_cut(p)[-1] for p, _ in phrases}
+    present = df.select(F.explode_outer(F.array_intersect(words_of(F.col(text_col)), _array(vocabulary))).alias("w"))
+    counts = {r[0]: r[1] for r in present.where("w is not null").groupBy("w").count().collect()}
+    # A look at the raw text comes first, since few files hold any of these words.
+    holds = lambda some: F.coalesce(text_col, F.lit("")).rlike(f"(?i){'|'.join(sorted(some))}")
+    words, checked = free_name(df, "_words"), free_name(df, "_checked")
     none = F.array().cast("array<struct<at:int,label:string>>")
-    found = (
-        found.withColumn("phrase_places", F.when(holds(lasts), _phrase_places(words, phrases)).otherwise(none))
-        .withColumn("_possible", possible)
-        .withColumn("_key", F.when(possible, F.md5(text_col)))
-    )
-    starts = [next(i for i in range(len(text)) if text[i : i + len(key)] == key) for _, text, key in cut]
-    rare_words = F.array_distinct(F.flatten(F.array(*(F.when(c, _array(r)).otherwise(F.array().cast("array<string>")) for c, r in zip(complete, rare, strict=True)))))
-    spots = found.where("_possible").select("_key", rare_words.alias("_rare"), F.posexplode_outer("_words").alias("at", "w")).where(F.array_contains("_rare", F.col("w")))
-    postings = F.broadcast(spark.createDataFrame([(w, t, starts[t] + cut[t][2].index(w), len(r)) for t, r in enumerate(rare) for w in r], "w string, template int, place int, needed int"))
-    proposed = spots.join(postings, "w").groupBy("_key", "template", "needed", (F.col("at") - F.col("place")).alias("begin")).agg(F.collect_set("w").alias("agreed")).where(F.size("agreed") == F.col("needed"))
-    per_text = proposed.groupBy("_key").agg(F.collect_list(F.struct("template", "begin")).alias("places"))
-    held = found.where("_possible").select("_key", "_words").dropDuplicates(["_key"]).join(per_text, "_key")
-    texts = F.array(*(_array(text) for _, text, _ in cut))
-    keys_at = F.array(*(F.struct(F.lit(start).alias("from"), F.lit(len(key)).alias("n")) for start, (_, _, key) in zip(starts, cut, strict=True)))
-    labels = _array([label for label, _, _ in cut])
-
-    def compared(p: Column) -> Column:
-        template, phrase = F.element_at(texts, p["template"] + 1), F.element_at(keys_at, p["template"] + 1)
-        same = F.transform(template, lambda w, i: F.coalesce(F.get(words, p["begin"] + i) == w, F.lit(False)))
-        share = F.size(F.filter(same, lambda x: x)) / F.size(template)
-        return F.struct(F.element_at(labels, p["template"] + 1).alias("label"), share.alias("share"), F.forall(F.slice(same, phrase["from"] + 1, phrase["n"]), lambda x: x).alias("stands"))
-
-    verified = held.withColumn("checked", F.filter(F.transform("places", compared), lambda c: c["stands"] & (c["share"] >= coverage)))
-    good = verified.where(F.size("checked") > 0).select("_key", F.array_sort(F.array_distinct(F.transform("checked", lambda c: c["label"]))).alias("template_labels"), F.array_max(F.transform("checked", lambda c: c["share"])).alias("score"))
-    light = found.select(*columns, F.size("_words").cast("long").alias("n_words"), "phrase_places", "_key")
-    return light.join(good, "_key", "left").select(
-        *columns, "n_words", "phrase_places", F.coalesce("template_labels", F.array().cast("array<string>")).alias("template_labels"), F.coalesce("score", F.lit(0.0)).alias("score")
+
+    def compared(file: Column, begin: Column, label: str, text: list[str], start: int, end: int) -> Column:
+        same = F.transform(_array(text), lambda w, i: F.coalesce(F.get(file, begin + i) == w, F.lit(False)))
+        whole = F.forall(F.slice(same, start + 1, end - start), lambda x: x)
+        return F.struct(F.lit(label).alias("label"), F.when(whole, F.size(F.filter(same, lambda x: x)) / len(text)).alias("share"))
+
+    def standing(file: Column) -> Column:
+        """array<struct(label, share)>: the templates that stand in a file."""
+        found = []
+        for label, text, key in cut:
+            start = next(i for i in range(len(text)) if text[i : i + len(key)] == key)
+            # Rarest first: highest inverse document frequency. A place where the template can stand has all its mandatory words, so these among them.
+            rare = sorted(set(key), key=lambda w: (counts.get(w, 0), w))[:agree]
+            proposals = lambda w: F.transform(
+                F.filter(F.transform(file, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()), lambda i: i - (start + key.index(w))  # noqa: B023
+            )
+            places = reduce(F.array_intersect, map(proposals, rare))
+            complete = F.size(F.array_intersect(file, _array(sorted(set(key))))) == len(set(key))
+            shares = F.transform(places, lambda b: compared(file, b, label, text, start, start + len(key)))  # noqa: B023
+            found.append(F.when(holds({max(key, key=len)}) & complete, shares).otherwise(F.array().cast("array<struct<label:string,share:double>>")))
+        return F.filter(F.flatten(F.array(*found)), lambda c: c["share"] >= coverage)
+
+    keys, lasts = {max(key, key=len) for _, _, key in cut}, {_cut(p)[-1] for p, _ in phrases}
+    nothing = F.array().cast("array<struct<label:string,share:double>>")
+    found = df.select(*columns, *([] if text_col in columns else [text_col]), words_of(F.col(text_col)).alias(words))
+    found = found.withColumn(checked, F.when(holds(keys), standing(F.col(words))).otherwise(nothing))
+    return found.select(
+        *columns,
+        F.size(words).cast("long").alias("n_words"),
+        F.when(holds(lasts), _phrase_places(F.col(words), phrases)).otherwise(none).alias("phrase_places"),
+        F.array_sort(F.array_distinct(F.transform(checked, lambda c: c["label"]))).alias("template_labels"),
+        F.coalesce(F.array_max(F.transform(checked, lambda c: c["share"])), F.lit(0.0)).alias("score"),
     )
 
 
