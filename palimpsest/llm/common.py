@@ -9,13 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share. Where the session names none, a temporary one, but only if everything runs in one machine's memory (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="spark-shared-"))
     return _own_dir[0]
@@ -25,9 +29,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that materialize wrote. Only for those that no DataFrame still in use reads."""
+    for path in paths:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+        if path in _written:
+            _written.remove(path)
+
+
+def written() -> list[str]:
+    """The folders of all tables that materialize has written and that are still there; a caller that has stored its results may discard them."""
+    return list(_written)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df doesn't use yet (case ignored)."""
     taken, name = {c.lower() for c in df.columns}, stem
@@ -55,6 +74,7 @@ def components(edges: DataFrame, salts: int = 8, max_rounds: int = 200) -> DataF
         .distinct(),
         "edges",
     )
+    first = len(_written)
     labels = materialize(both.groupBy("src").agg(F.least("src", F.min("dst")).alias("root")).withColumnRenamed("src", "v"), "labels")
     for _ in range(max_rounds):
         near = (
@@ -78,6 +98,7 @@ def components(edges: DataFrame, salts: int = 8, max_rounds: int = 200) -> DataF
         jumped = materialize(jumped, "labels")
         changed = jumped.select("v", F.col("root").alias("new")).join(labels, "v").where("new <> root").limit(1).count()
         labels = jumped
+        discard(both.sparkSession, _written[first:-1])  # the labels before
         if not changed:
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -76,10 +76,11 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 42, rows_per_gro
     The rows are first written to the shared folder, so that the count and the dealing see the same
     partitions, also when executors are lost. The driver holds one count per (partition, shard).
     """
-    spark = df.sparkSession
-    df = materialize(df.drop("shard", "slot", "_pid", "_mix"), "shard-input")
-    placed = df.withColumn("_pid", F.spark_partition_id())
-    sizes = {r["_pid"]: r["count"] for r in placed.groupBy("_pid").count().collect()}
+    spark, columns = df.sparkSession, [c for c in df.columns if c not in ("shard", "slot")]
+    # The columns travel as one struct, so that their names can't clash with those used here.
+    rows = materialize(df.select((F.struct(*columns) if columns else F.lit(0)).alias("row")), "shard-input")
+    placed = rows.withColumn("pid", F.spark_partition_id())
+    sizes = {r["pid"]: r["count"] for r in placed.groupBy("pid").count().collect()}
     order = sorted(sizes)
     matrix = communication_matrix([sizes[p] for p in order], shards, seed)
     shares = spark.sparkContext.broadcast({p: matrix[i] for i, p in enumerate(order)})
@@ -91,30 +92,29 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 42, rows_per_gro
             if not n:
                 continue
             if labels is None:
-                pid = batch.column("_pid")[0].as_py()
+                pid = batch.column("pid")[0].as_py()
                 rng = np.random.default_rng([seed, pid])
                 labels = np.repeat(np.arange(shards, dtype=np.int32), shares.value[pid])
                 rng.shuffle(labels)
-            kept = batch.drop_columns(["_pid"])
             new = [pa.array(labels[at : at + n]), pa.array(rng.integers(0, 1 << 62, n))]
-            yield pa.RecordBatch.from_arrays([*kept.columns, *new], names=[*kept.schema.names, "shard", "_mix"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *new], names=["row", "shard", "mix"])
             at += n
 
-    schema = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("_mix", T.LongType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("mix", T.LongType())])
     dealt = placed.mapInArrow(deal, schema)
     groups = max(1, math.ceil(sum(sizes.values()) / shards / rows_per_group))
-    dealt = dealt.withColumn("_group", F.pmod("_mix", F.lit(groups)))
+    dealt = dealt.withColumn("group", F.pmod("mix", F.lit(groups)))
     before = (
-        dealt.groupBy("shard", "_group")
+        dealt.groupBy("shard", "group")
         .count()
-        .withColumn("_before", F.sum("count").over(Window.partitionBy("shard").orderBy("_group")) - F.col("count"))
+        .withColumn("before", F.sum("count").over(Window.partitionBy("shard").orderBy("group")) - F.col("count"))
         .drop("count")
     )
-    within = F.row_number().over(Window.partitionBy("shard", "_group").orderBy("_mix"))
+    within = F.row_number().over(Window.partitionBy("shard", "group").orderBy("mix"))
     return (
-        dealt.withColumn("_rank", within)
-        .join(before, ["shard", "_group"])
-        .select(*df.columns, "shard", (F.col("_before") + F.col("_rank") - 1).cast("long").alias("slot"))
+        dealt.withColumn("rank", within)
+        .join(before, ["shard", "group"])
+        .select(*(F.col("row")[c].alias(c) for c in columns), "shard", (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"))
     )
 
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,7 +79,16 @@ def _zone(tag: str, attributes: str, above: int) -> int:
 def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The element tree, and the text blocks in page order, each with its node."""
     root = Node("#root", "#root", PLAIN)
-    stack, blocks, parts = [root], [], []
+    stack, blocks, parts, opened = [root], [], [], Counter()
+
+    def close(k: int) -> None:
+        """Leave the elements from the k-th on."""
+        opened.subtract(n.tag for n in stack[k:])
+        del stack[k:]
+
+    def innermost(tag: str) -> int:
+        """Place of the last open element of this tag, 0 if there is none."""
+        return next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag) if opened[tag] else 0
 
     def flush() -> None:
         if parts:
@@ -102,26 +112,25 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             continue
         tag = name[1].lower()
         if token[1] == "/":
-            if tag == "p" and all(n.tag != "p" for n in stack):
+            if tag == "p" and not opened["p"]:
                 flush()
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if k:
+            if k := innermost(tag):
                 if any(n.tag in _BLOCK or n.zone != stack[k - 1].zone for n in stack[k:]):
                     flush()
-                del stack[k:]
+                close(k)
             continue
         if tag == "br":
             parts.append(" ")
             continue
         if tag in _BLOCK:
             flush()
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p"), 0)
+            k = innermost("p")
             if k and all(n.tag not in ("td", "th", "button") for n in stack[k:]):  # a block ends an open paragraph
-                del stack[k:]
-            if tag in _CLOSES:
+                close(k)
+            if tag in _CLOSES and any(opened[t] for t in _CLOSES[tag]):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag in _CLOSES[tag]:
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i].tag in _SCOPES.get(tag, ()):
                         break
@@ -138,6 +147,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             position = end.end() if end else size
             continue
         stack.append(node)
+        opened[tag] += 1
     flush()
     return root, blocks
 
@@ -184,30 +194,43 @@ def _below(above: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(row)
 
 
-def _score(a: Node, b: Node, memo: dict) -> int:
-    """Size of the greatest match of two trees whose roots match: simple tree matching."""
+def _known(a: Node, b: Node, memo: dict) -> int | None:
+    """Size of the greatest match of two trees, as far as it needs no table of children."""
     if a.shape == b.shape:
         return a.size
     if a.key != b.key:
         return 0
     if not a.children or not b.children:
         return 1
-    key = (a.shape, b.shape)
-    if key not in memo:
-        k = _common(a.children, b.children)
-        total, xs, ys = 1 + sum(x.size for x in a.children[:k]), a.children[k:], b.children[k:]
+    return memo.get((a.shape, b.shape))
+
+
+def _score(a: Node, b: Node, memo: dict) -> int:
+    """Size of the greatest match of two trees: simple tree matching, from the leaves up, without recursion."""
+    todo = [(a, b)]
+    while todo:
+        x, y = todo[-1]
+        if _known(x, y, memo) is not None:
+            todo.pop()
+            continue
+        k = _common(x.children, y.children)
+        total, xs, ys = 1 + sum(c.size for c in x.children[:k]), x.children[k:], y.children[k:]
         if xs and ys:
             kinds, at = _kinds(ys)
+            first = list({c.shape: c for c in xs}.values())
+            if missing := [(p, q) for p in first for q in kinds if _known(p, q, memo) is None]:
+                todo += missing
+                continue
             row, weights = np.zeros(len(ys) + 1, dtype=np.int64), {}
-            for x in xs:
-                if x.shape not in weights:
+            for c in xs:
+                if c.shape not in weights:
                     if len(weights) >= 200:
                         weights.clear()
-                    weights[x.shape] = np.array([_score(x, y, memo) for y in kinds])[at]
-                row = _below(row, weights[x.shape])
+                    weights[c.shape] = np.array([_known(c, q, memo) for q in kinds])[at]
+                row = _below(row, weights[c.shape])
             total += int(row[-1])
-        memo[key] = total
-    return memo[key]
+        memo[x.shape, y.shape] = total
+    return _known(a, b, memo)
 
 
 def _partners(xs: list[Node], ys: list[Node], memo: dict) -> list[tuple[Node, Node]]:
@@ -300,12 +323,13 @@ def _aligned(df: DataFrame) -> DataFrame:
 
 
 def extract(
-    pages: DataFrame, html_col: str = "html", url_col: str = "url", out: str = "text", constant: float = 0.8, least_pages: int = 5, reference_bytes: int = 32 << 20
+    pages: DataFrame, html_col: str = "html", url_col: str = "url", out: str = "text", constant: float = 0.8, least_pages: int = 3, reference_bytes: int = 32 << 20
 ) -> DataFrame:
     """pages without the html column, with the main text."""
     kept = [c for c in pages.columns if c not in (html_col, out)]
     host = F.regexp_extract(F.lower(F.coalesce(url_col, F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
-    rows = pages.select(*kept, F.col(html_col).alias("_html"), host.alias("_host"))
+    # The other columns travel as one struct, so that their names can't clash with those used here.
+    rows = pages.select((F.struct(*kept) if kept else F.lit(0)).alias("_kept"), F.col(html_col).alias("_html"), host.alias("_host"))
     # The reference: of a middling length, then by hash, so that it doesn't depend on the order of the rows.
     rank = F.struct(F.abs(F.log2(F.length("_html") + 1.0) - 12).cast("int"), F.xxhash64("_html"))
     references = materialize(rows.where("_html is not null").groupBy("_host").agg(F.min_by("_html", rank).alias("_reference"), F.count("*").alias("_pages")), "references")
@@ -317,7 +341,7 @@ def extract(
         .groupBy("_host", F.col("v._nodes").alias("node"), F.col("v._zones").alias("zone"))
         .agg(F.count("*").alias("n"), F.sum(F.col("v._same").cast("int")).alias("same"))
     )
-    fixed = (F.col("n") > least_pages) & (F.col("same") >= constant * F.col("n"))
+    fixed = (F.col("n") >= least_pages) & (F.col("same") >= constant * F.col("n"))
     wrappers = votes.groupBy("_host").agg(
         F.collect_set(F.when(fixed, F.col("node"))).alias("_template"),
         (F.sum(F.when((F.col("zone") == ARTICLE) & fixed, F.col("n")).otherwise(0)) * 2 < F.sum(F.when(F.col("zone") == ARTICLE, F.col("n")).otherwise(0))).alias("_varies"),
@@ -329,7 +353,7 @@ def extract(
     content = F.when(
         F.array_contains("_zones", ARTICLE), F.filter(block, lambda b: (b["zone"] == ARTICLE) & ~(F.coalesce("_varies", F.lit(False)) & is_fixed(b)))
     ).otherwise(F.filter(block, lambda b: (b["zone"] == PLAIN) & ~is_fixed(b)))
-    return joined.select(*kept, F.array_join(F.transform(content, lambda b: b["text"]), "\n\n").alias(out))
+    return joined.select(*(F.col("_kept")[c].alias(c) for c in kept), F.array_join(F.transform(content, lambda b: b["text"]), "\n\n").alias(out))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
