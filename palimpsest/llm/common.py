@@ -33,17 +33,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, paths: list[str]) -> None:
-    """Delete tables that materialize wrote. Only for those that no DataFrame still in use reads."""
-    for path in paths:
-        there = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
-        if path in _written:
-            _written.remove(path)
+def note_table(name: str) -> None:
+    """Count a table of the catalog among those written."""
+    _written.append(f"table:{name}")
+
+
+def discard(spark: SparkSession, names: list[str]) -> None:
+    """Delete tables that were written. Only for those that no DataFrame still in use reads."""
+    for name in names:
+        if name.startswith("table:"):
+            spark.sql(f"DROP TABLE IF EXISTS {name.removeprefix('table:')}")
+        else:
+            there = spark._jvm.org.apache.hadoop.fs.Path(name)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+        if name in _written:
+            _written.remove(name)
 
 
 def written() -> list[str]:
-    """The folders of all tables that materialize has written and that are still there; a caller that has stored its results may discard them."""
+    """All tables that were written and are still there; a caller that has stored its results may discard them."""
     return list(_written)
 
 

@@ -1,24 +1,27 @@
-"""Exact repeats of long byte strings: sparse suffixes, merged from front-coded sorted runs.
+"""Exact repeats of long strings: sparse suffixes, merged from front-coded sorted runs.
 
-A byte goes if a string of ``length`` bytes that covers it also starts elsewhere, in the same text or another.
+A byte goes if a string of ``length`` bytes that covers it also starts elsewhere, in the same text or another. Beside that,
+the words of passages of 50 or more words that another text has, too, are counted (words are cut at ASCII white space).
+Both come from the same steps, over the bytes of a text or over its words, each a 32-bit number:
 
 1. Texts are brought together by content (equal texts are wholly repeated) and written as a table bucketed by
    content key, so that the two later joins don't move the texts again.
-2. Of every window of ``length`` bytes, the leftmost ``GRAM`` bytes of least hash are its anchor. Equal windows
+2. Of every window of ``length`` symbols, the leftmost ``gram`` symbols of least hash are its anchor. Equal windows
    have their anchor at the same place, so only the suffixes that start at anchors are compared: about
-   one for every 180 bytes. Anchors whose windows have the same bytes throughout are counted together: they repeat,
-   and one stands for all from here on. Those whose own bytes then occur once drop out.
-3. Each task sorts the suffixes it holds (the bytes from the anchor on as far as its windows reach, then those before it, backwards) and
+   one for every 180 bytes. Anchors whose windows have the same symbols throughout (by a 128-bit BLAKE2b digest) are counted together:
+   they repeat, and one stands for all from here on. Those whose own gram then occurs once drop out.
+3. Each task sorts the suffixes it holds (the symbols from the anchor on as far as its windows reach, then those before it, backwards) and
    sends them front-coded, a run for each range of anchor hashes. The receiver merges the runs with a loser tree that keeps
    each player's common prefix with the last winner: of two players the one with the longer common prefix wins unseen,
-   and equal ones are compared from there on. Equal suffixes of several places fall together.
-4. In a merged range, equal windows are found by two 64-bit rolling hashes over all distinct suffixes.
-   A range holds a bounded number of bytes on average. Anchors with more than ``hot`` different surroundings (each takes some
-   12 KB of working memory) don't enter it: their
-   windows become rows, each with its hash, which Spark counts with map-side sums.
+   and equal ones are compared from there on.
+4. The merged order and its common prefixes tell which windows repeat: a window that begins d symbols before its anchor is that of
+   another suffix if both are in one stretch of the order with common prefixes of ``length`` - d or more, and in one stretch of
+   the same kind in the order of the symbols before the anchor, backwards, with d or more. So the symbols themselves are compared, not hashes.
+   A range holds a bounded number of bytes on average. Grams with more than ``hot`` different surroundings (each takes some
+   2 KB of working memory) don't enter it: their windows become rows, each with its digest, which Spark counts with map-side sums.
 5. Runs of repeated window starts go back to the texts, bucket to bucket.
 
-Null texts count as empty, texts shorter than ``length`` bytes have no windows, and repeated rows are repeats.
+Null texts count as empty, texts shorter than ``length`` have no windows, and repeated rows are repeats.
 Matches never cross texts. Extra columns don't matter.
 """
 
@@ -28,58 +31,87 @@ import hashlib
 import math
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import lookup_join, materialize
+from palimpsest.llm.common import discard, lookup_join, materialize, note_table, written
 
-GRAM = 48
-_BLOCK = 2 << 20  # bytes that are hashed together
+_BLOCK = 2 << 20  # symbols that are hashed together
 _POSITION = (1 << 24) - 1
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-_TABLES = tuple(np.random.default_rng(s).integers(0, 1 << 64, 256, dtype=np.uint64) for s in (1, 2))
-
-
-def rolling(data: np.ndarray, width: int, which: int = 0) -> np.ndarray:
-    """Polynomial hash of every ``width`` bytes, by doubling."""
-    base, powers = _BASES[which], {}
-    h, k, out, done = _TABLES[which][data], 1, None, 0
-    power = base
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_TABLE = np.random.default_rng(1).integers(0, 1 << 64, 256, dtype=np.uint64)
+_PLACES = 1 << 12
+_PLACE = np.cumprod(np.full(_PLACES, _BASE, dtype=np.uint64), dtype=np.uint64)
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def words(data: bytes) -> np.ndarray:
+    """A 32-bit hash of each word of a text."""
+    out, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + _BLOCK)
+        while end < len(data) and not _SPACE[data[end]]:
+            end += 1
+        part = np.frombuffer(data[at:end], dtype=np.uint8)
+        full = np.flatnonzero(~_SPACE[part])
+        first = np.flatnonzero(np.diff(full, prepend=-2) > 1)  # in full: where words begin
+        if len(first):
+            within = np.arange(len(full)) - np.repeat(first, np.diff(np.append(first, len(full))))
+            # Long words: places from _PLACES on take the multipliers again, turned.
+            value = _TABLE[part[full]] * _PLACE[within % _PLACES] * ((within // _PLACES).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+            out.append(((np.add.reduceat(value, first) * _BASE) >> np.uint64(32)).astype(np.uint32))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint32)
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What texts are made of: bytes or words; the length of windows and of anchors; whether only other texts count."""
+
+    of_words: bool
+    length: int
+    gram: int
+    across: bool
+
+    @property
+    def size(self) -> int:
+        return 4 if self.of_words else 1
+
+    def symbols(self, data: bytes) -> np.ndarray:
+        return words(data) if self.of_words else np.frombuffer(data, dtype=np.uint8)
+
+    def values(self, symbols: np.ndarray) -> np.ndarray:
+        if not self.of_words:
+            return _TABLE[symbols]
+        mixed = symbols.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def rolling(values: np.ndarray, width: int) -> np.ndarray:
+    """Polynomial hash of every ``width`` values, by doubling."""
+    h, k, out, done, power = values, 1, None, 0, _BASE
     while True:
         if width & k:  # the low bits of width come first in the string
             out = h if out is None else out[: len(h) - done] * power + h[done:] if done else h
             done += k
         if 2 * k > width:
-            return out[: max(0, len(data) - width + 1)]
+            return out[: max(0, len(values) - width + 1)]
         h = h[:-k] * power + h[k:] if len(h) > k else h[:0]
         with np.errstate(over="ignore"):
             power = power * power
         k *= 2
 
 
-@lru_cache(4)
-def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse, modulo 2**64."""
-    base = int(_BASES[which])
-    return tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, b, dtype=np.uint64))]) for b in (base, pow(base, -1, 1 << 64)))
-
-
-def substring_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
-    """Hash of each data[start:end], from prefix sums."""
-    power, inverse = _powers(which, max(len(data), _BLOCK + 4096))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_TABLES[which][data] * inverse[: len(data)], dtype=np.uint64)])
-    return ((sums[ends] - sums[starts]) * power[starts]).view(np.int64)
-
-
-def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """For texts at [starts, ends): text number, first window, anchor, last window (in data), the anchor's hash, and two of all bytes of its windows."""
-    grams = rolling(data, GRAM)
+def anchors(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """For texts at [starts, ends): text number, first window, anchor, last window (in values), and the anchor's hash."""
+    grams = rolling(values, gram)
     key = (grams * np.uint64(0xC2B2AE3D27D4EB4F)) & ~np.uint64(_POSITION) | np.arange(len(grams), dtype=np.uint64)
-    span, k = length - GRAM + 1, 1
+    span, k = length - gram + 1, 1
     low = key
     while 2 * k <= span:
         low = np.minimum(low[:-k], low[k:])
@@ -92,14 +124,13 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int)
     a = at[p]
     first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, dtype=np.int64)
     last = np.concatenate([first[1:], [len(a)]])[: len(first)] - 1
-    whole = (substring_hashes(data, p[first], p[last] + length, w) for w in (0, 1))
-    return np.repeat(long, counts)[first], p[first], a[first], p[last], grams[a[first]].view(np.int64), *whole
+    return np.repeat(long, counts)[first], p[first], a[first], p[last], grams[a[first]].view(np.int64)
 
 
-def _blocks(texts: list[bytes], length: int) -> Iterator[tuple[list[tuple[int, int]], list[bytes]]]:
-    """Pieces of texts to hash together: (text number, offset of the piece) and bytes; pieces of a long text overlap by length - 1."""
+def _blocks(texts: list[np.ndarray], length: int) -> Iterator[tuple[list[tuple[int, int]], list[np.ndarray]]]:
+    """Pieces of texts to hash together: (text number, offset of the piece) and symbols; pieces of a long text overlap by length - 1."""
     names: list[tuple[int, int]] = []
-    pieces: list[bytes] = []
+    pieces: list[np.ndarray] = []
     size = 0
     for i, t in enumerate(texts):
         for at in range(0, max(1, len(t) - length + 1), _BLOCK):
@@ -116,24 +147,30 @@ def _blocks(texts: list[bytes], length: int) -> Iterator[tuple[list[tuple[int, i
         yield names, pieces
 
 
-def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def _anchor_rows(texts: DataFrame, unit: Unit) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("key").to_pylist()
-            for names, pieces in _blocks(batch.column("data").to_pylist(), length):
+            for names, pieces in _blocks([unit.symbols(x) for x in batch.column("data").to_pylist()], unit.length):
                 sizes = np.array([len(x) for x in pieces])
-                ends = np.cumsum(sizes)
-                which, lo, a, hi, *hashes = anchors(np.frombuffer(b"".join(pieces), dtype=np.uint8), ends - sizes, ends, length)
+                ends, joined = np.cumsum(sizes), np.concatenate(pieces)
+                which, lo, a, hi, gram = anchors(unit.values(joined), ends - sizes, ends, unit.length, unit.gram)
+                raw, k = joined.tobytes(), unit.size
+                digests = [_digest(raw[x:y]) for x, y in zip((lo * k).tolist(), ((hi + unit.length) * k).tolist(), strict=True)]
                 shift = np.array([at for _, at in names])[which] - (ends - sizes)[which]
                 owner = [keys[i] for i, _ in names]
-                columns = [pa.array([owner[w] for w in which.tolist()], pa.binary()), *(pa.array((x + shift).astype(np.int32)) for x in (lo, a, hi)), *map(pa.array, hashes)]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "lo", "a", "hi", "gram", "one", "two"])
+                columns = [pa.array([owner[w] for w in which.tolist()], pa.binary()), *(pa.array((x + shift).astype(np.int32)) for x in (lo, a, hi)), pa.array(gram), pa.array(digests, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "lo", "a", "hi", "gram", "context"])
 
-    return texts.select("key", "data").mapInArrow(run, "key binary, lo int, a int, hi int, gram long, one long, two long")
+    return texts.select("key", "data").mapInArrow(run, "key binary, lo int, a int, hi int, gram long, context binary")
 
 
-# A suffix in a run: its text, the number of its bytes from the anchor on, and its owner (key, first window).
-Suffix = tuple[bytes, int, bytes, int]
+# A suffix in a run: its bytes, the number of symbols from the anchor on, its owner (key, first window), and whether other texts have all its windows.
+Suffix = tuple[bytes, int, bytes, int, int]
 
 
 def common_prefix(s: bytes, t: bytes, known: int) -> int:
@@ -152,11 +189,11 @@ def common_prefix(s: bytes, t: bytes, known: int) -> int:
 
 
 def front_code(run: list[Suffix]) -> tuple[bytes, bytes, bytes]:
-    """A sorted run as numbers (common prefix with the one before, length, bytes from the anchor on, first window), tails, and keys."""
-    numbers, tails, before = np.zeros((len(run), 4), dtype="<i4"), [], b""
-    for i, (s, right, _, lo) in enumerate(run):
+    """A sorted run as numbers (common prefix with the one before, length, symbols from the anchor on, first window, several texts), tails, and keys."""
+    numbers, tails, before = np.zeros((len(run), 5), dtype="<i4"), [], b""
+    for i, (s, right, _, lo, several) in enumerate(run):
         k = common_prefix(before, s, 0)
-        numbers[i] = (k, len(s), right, lo)
+        numbers[i] = (k, len(s), right, lo, several)
         tails.append(s[k:])
         before = s
     return numbers.tobytes(), b"".join(tails), b"".join(x[2] for x in run)
@@ -165,10 +202,10 @@ def front_code(run: list[Suffix]) -> tuple[bytes, bytes, bytes]:
 def read_run(numbers: bytes, tails: bytes, keys: bytes) -> Iterator[tuple[int, Suffix]]:
     """Each suffix with its common prefix with the one before."""
     before, at = b"", 0
-    for i, (k, n, right, lo) in enumerate(np.frombuffer(numbers, dtype="<i4").reshape(-1, 4).tolist()):
+    for i, (k, n, right, lo, several) in enumerate(np.frombuffer(numbers, dtype="<i4").reshape(-1, 5).tolist()):
         s = before[:k] + tails[at : at + n - k]
         at += n - k
-        yield k, (s, right, keys[16 * i : 16 * i + 16], lo)
+        yield k, (s, right, keys[16 * i : 16 * i + 16], lo, several)
         before = s
 
 
@@ -210,21 +247,34 @@ def merge_runs(runs: list[Iterator[tuple[int, Suffix]]]) -> Iterator[tuple[int,
             i //= 2
 
 
-def _repeated(texts: list[bytes], multiple: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each text, which of its windows occur more than once in all of them."""
-    sizes = np.array([len(t) for t in texts])
-    ends = np.cumsum(sizes)
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    counts = sizes - length + 1
-    p = np.repeat(ends - sizes - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-    one, two = rolling(data, length, 0)[p], rolling(data, length, 1)[p]
-    order = np.argsort(one, kind="stable")
-    same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
-    hit = np.zeros(len(p), dtype=bool)
-    hit[order[1:][same]] = True
-    hit[order[:-1][same]] = True
-    hit |= np.repeat(multiple, counts)
-    return np.split(hit, np.cumsum(counts)[:-1])
+def repeated_windows(merged: list[tuple[int, Suffix]], unit: Unit) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of merged suffixes repeat: for each suffix and number d, whether the window that begins d symbols before the anchor does; and each suffix's greatest d."""
+    n, k = len(merged), unit.size
+    right = np.array([s[1] for _, s in merged])
+    common = np.array([c for c, _ in merged]) // k
+    before = [s[0][s[1] * k :] for _, s in merged]  # the symbols before the anchor, backwards
+    left = np.array([len(b) for b in before]) // k
+    order = np.array(sorted(range(n), key=before.__getitem__))
+    common_left = np.array([0, *(common_prefix(before[i], before[j], 0) // k for i, j in zip(order[:-1], order[1:], strict=True))])
+    owner = np.unique([s[2] for _, s in merged], return_inverse=True)[1]
+    several = np.array([s[4] for _, s in merged]) > 0
+    hit = np.zeros((n, int(left.max()) + 1), dtype=bool)
+    beside = np.empty(n, dtype=np.int64)
+    for d in range(hit.shape[1]):
+        at = np.flatnonzero((left >= d) & (right >= unit.length - d))
+        if not len(at):
+            continue
+        beside[order] = np.cumsum(common_left < d)
+        both = (np.cumsum(common < unit.length - d) * (n + 1) + beside)[at]
+        at = at[np.argsort(both, kind="stable")]
+        both.sort()
+        first = np.flatnonzero(np.diff(both, prepend=-1))
+        if unit.across:
+            found = (np.minimum.reduceat(owner[at], first) < np.maximum.reduceat(owner[at], first)) | np.logical_or.reduceat(several[at], first)
+        else:
+            found = np.diff(first, append=len(at)) > 1
+        hit[at, d] = np.repeat(found, np.diff(first, append=len(at)))
+    return hit, left
 
 
 def _stretches(hit: np.ndarray) -> np.ndarray:
@@ -233,36 +283,34 @@ def _stretches(hit: np.ndarray) -> np.ndarray:
     return np.stack([edge[::2], edge[1::2] - 1], axis=1)
 
 
-def find_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, hot: int = 10_000, range_bytes: int = 2 << 20) -> DataFrame:
-    """One row per distinct text: key (MD5 of its UTF-8 bytes), n (rows that have it), data (its bytes), spans (array of first and last repeated window starts)."""
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    distinct = docs.select(F.unhex(F.md5(text)).alias("key"), text.alias("t")).groupBy("key").agg(F.count("*").alias("n"), F.first("t").alias("t"))
-    buckets, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"repeats_{uuid.uuid4().hex}"
-    distinct.write.bucketBy(buckets, "key").option("compression", "zstd").saveAsTable(table)
-    texts = spark.table(table).select("key", "n", F.encode("t", "utf-8").alias("data"))
-
-    found = materialize(_anchor_rows(texts, length), "anchors")
-    found = found.withColumn("context", F.struct("gram", "one", "two", (F.col("a") - F.col("lo")).alias("before"), (F.col("hi") - F.col("lo")).alias("more")))
-    # Anchors with the same bytes all around: their windows repeat as a whole, and one of them stands for all in what follows.
-    contexts = materialize(found.groupBy("context").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "a", "hi")).alias("first")), "contexts")
-    twins = contexts.where("n > 1").select("context", F.lit(True).alias("twin"))
-    spans = lookup_join(found, twins, "context", F.lit(40), 8 << 20).where("twin").select("key", F.col("lo").alias("first"), F.col("hi").alias("last"))
-    several = contexts.groupBy("context.gram").agg(F.count("*").alias("times")).where("times > 1")
-    shared = contexts.select("context.gram", "n", "first.*").join(several, "gram").select("key", "lo", "a", "hi", "gram", "times")
+def find_spans(texts: DataFrame, unit: Unit, hot: int = 10_000, range_bytes: int = 2 << 20) -> DataFrame:
+    """One row per text (key, data) with repeated windows: key, spans (array of first and last window starts).
+
+    If only other texts count (``unit.across``), each repeated window of a text is in a span at least once.
+    """
+    length, k = unit.length, unit.size
+    found = materialize(_anchor_rows(texts, unit), "anchors")
+    # Anchors with the same symbols all around: their windows repeat as a whole, and one of them stands for all in what follows.
+    contexts = found.groupBy("context").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "a", "hi", "gram")).alias("first"), F.max("key").alias("other"))
+    contexts = materialize(contexts.withColumn("several", F.col("first.key") < F.col("other") if unit.across else F.col("n") > 1), "contexts")
+    twins = contexts.where("several").select("context", F.lit(True).alias("twin"))
+    spans = lookup_join(found, twins, "context", F.lit(128), 8 << 20).where("twin").select("key", F.col("lo").alias("first"), F.col("hi").alias("last"))
+    often = contexts.groupBy("first.gram").agg(F.count("*").alias("times")).where("times > 1")
+    shared = contexts.select("several", "first.*").join(often, "gram").select("key", "lo", "a", "hi", "gram", "several", "times")
     shared = materialize(shared, "shared-anchors")
     cold, warm = shared.where(F.col("times") <= hot), shared.where(F.col("times") > hot)
     total, rows_hot = shared.agg(F.sum(F.when(F.col("times") <= hot, F.col("hi") - F.col("lo") + length)), F.count(F.when(F.col("times") > hot, 1))).first()
-    ranges = max(1, math.ceil((total or 0) / range_bytes))
+    ranges = max(1, math.ceil((total or 0) * k / range_bytes))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             by_range: dict[int, list[Suffix]] = {}
             for key, data, found_here in zip(batch.column("key").to_pylist(), batch.column("data").to_pylist(), batch.column("anchors").to_pylist(), strict=True):
+                text = unit.symbols(data)
                 for x in found_here:
                     lo, a, end = x["lo"], x["a"], x["hi"] + length
-                    suffix = data[a:end] + data[lo:a][::-1]
-                    by_range.setdefault((x["gram"] % (1 << 64)) * ranges >> 64, []).append((suffix, end - a, key, lo))
+                    suffix = text[a:end].tobytes() + text[lo:a][::-1].tobytes()
+                    by_range.setdefault((x["gram"] % (1 << 64)) * ranges >> 64, []).append((suffix, end - a, key, lo, int(x["several"])))
             out: list[list] = [[], [], [], []]
             for r, run in by_range.items():
                 run.sort()
@@ -273,27 +321,19 @@ def find_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, hot
 
     def receive(table: pa.Table) -> pa.Table:
         runs = [read_run(*x) for x in zip(table.column("numbers").to_pylist(), table.column("tails").to_pylist(), table.column("keys").to_pylist(), strict=True)]
-        whole: list[bytes] = []
-        owners: list[list[tuple[bytes, int]]] = []
-        last: tuple[bytes, int] | None = None
-        for _, (s, right, key, lo) in merge_runs(runs):
-            if last != (s, right):
-                whole.append(s[right:][::-1] + s[:right])
-                owners.append([])
-                last = (s, right)
-            owners[-1].append((key, lo))
+        merged = list(merge_runs(runs))
+        hit, left = repeated_windows(merged, unit)
         keys, firsts, lasts = [], [], []
-        for hit, places in zip(_repeated(whole, np.array([len(o) > 1 for o in owners]), length), owners, strict=True):
-            for first, final in _stretches(hit).tolist():
-                for key, lo in places:
-                    keys.append(key)
-                    firsts.append(lo + first)
-                    lasts.append(lo + final)
+        for (_, (_, _, key, lo, _)), windows, most in zip(merged, hit, left.tolist(), strict=True):
+            for first, last in _stretches(windows[: most + 1][::-1]).tolist():
+                keys.append(key)
+                firsts.append(lo + first)
+                lasts.append(lo + last)
         return pa.table([pa.array(keys, pa.binary()), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())], names=["key", "first", "last"])
 
     def held(rows: DataFrame) -> DataFrame:
         """The texts of these anchors, each with its anchors."""
-        of_text = rows.groupBy("key").agg(F.collect_list(F.struct("lo", "a", "hi", "gram")).alias("anchors"))
+        of_text = rows.groupBy("key").agg(F.collect_list(F.struct("lo", "a", "hi", "gram", "several")).alias("anchors"))
         return texts.select("key", "data").join(of_text, "key")
 
     runs = held(cold).select("key", "data", "anchors").mapInArrow(send, "range int, numbers binary, tails binary, keys binary")
@@ -303,18 +343,29 @@ def find_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, hot
         def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for key, data, found_here in zip(batch.column("key").to_pylist(), batch.column("data").to_pylist(), batch.column("anchors").to_pylist(), strict=True):
+                    text = unit.symbols(data)
                     for x in found_here:
-                        part = np.frombuffer(data[x["lo"] : x["hi"] + length], dtype=np.uint8)
-                        one, two = (rolling(part, length, w).view(np.int64) for w in (0, 1))
-                        at = np.arange(x["lo"], x["hi"] + 1, dtype=np.int32)
-                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.binary()), pa.array(at), pa.array(one), pa.array(two)], names=["key", "at", "one", "two"])
-
-        rows = materialize(held(warm).mapInArrow(windows, "key binary, at int, one long, two long"), "hot-windows")
-        again = rows.groupBy("one", "two").agg(F.count("*").alias("times")).where("times > 1").select(F.struct("one", "two").alias("window"), F.lit(True).alias("again"))
-        hits = lookup_join(rows.withColumn("window", F.struct("one", "two")), again, "window", F.lit(24), 8 << 20).where("again")
+                        raw, at = text[x["lo"] : x["hi"] + length].tobytes(), np.arange(x["lo"], x["hi"] + 1, dtype=np.int32)
+                        digests = [_digest(raw[i : i + length * k]) for i in range(0, len(at) * k, k)]
+                        columns = [pa.array([key] * len(at), pa.binary()), pa.array(at), pa.array(digests, pa.binary()), pa.array([x["several"]] * len(at))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["key", "at", "window", "several"])
+
+        rows = materialize(held(warm).mapInArrow(windows, "key binary, at int, window binary, several boolean"), "hot-windows")
+        again = rows.groupBy("window").agg(((F.min("key") < F.max("key")) | F.bool_or("several") if unit.across else F.count("*") > 1).alias("again")).where("again")
+        hits = lookup_join(rows, again, "window", F.lit(128), 8 << 20).where("again")
         spans = spans.union(hits.select("key", F.col("at").alias("first"), F.col("at").alias("last")))
-    of_text = spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
-    return texts.join(of_text, "key", "left")
+    return spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
+
+
+def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """key (MD5 of the UTF-8 bytes), n (rows that have the text) and data, from a table bucketed by key."""
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    distinct = docs.select(F.unhex(F.md5(text)).alias("key"), text.alias("t")).groupBy("key").agg(F.count("*").alias("n"), F.first("t").alias("t"))
+    buckets, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"repeats_{uuid.uuid4().hex}"
+    distinct.write.bucketBy(buckets, "key").option("compression", "zstd").saveAsTable(table)
+    note_table(table)
+    return spark.table(table).select("key", "n", F.encode("t", "utf-8").alias("data"))
 
 
 def covered(size: int, spans: list[tuple[int, int]], whole: bool, length: int) -> list[tuple[int, int]]:
@@ -330,36 +381,59 @@ def covered(size: int, spans: list[tuple[int, int]], whole: bool, length: int) -
     return [(a, b) for a, b in out]
 
 
-def without_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, **options) -> DataFrame:
-    """One row per distinct text: key, n_bytes, removed (array of start and end), kept (binary)."""
+def shared_words(data: bytes, spans: list[tuple[int, int]], whole: bool, unit: Unit) -> int:
+    """Words in windows that other texts have; of equal windows of a text, spans name one at least."""
+    if not spans and not whole:
+        return 0
+    symbols = unit.symbols(data)
+    n = max(0, len(symbols) - unit.length + 1)
+    if whole or not n:
+        return len(symbols) if n else 0
+    hash_, hit = rolling(unit.values(symbols), unit.length), np.zeros(n, dtype=bool)
+    for first, last in spans:
+        hit[first : last + 1] = True
+    hit = np.isin(hash_, hash_[hit])
+    edges = np.cumsum(np.bincount(np.flatnonzero(hit), minlength=len(symbols) + 1) - np.bincount(np.flatnonzero(hit) + unit.length, minlength=len(symbols) + 1)[: len(symbols) + 1])
+    return int((edges > 0).sum())
+
+
+def without_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, passage: int = 50, **options) -> DataFrame:
+    """One row per distinct text: key, n_bytes, removed (array of start and end), kept (binary), shared_words (those in passages of ``passage`` words that other texts have)."""
+    by_byte, by_word = Unit(False, length, 48, False), Unit(True, passage, 8, True)
+    texts = distinct_texts(docs, text_col)
+    spans, passages = find_spans(texts, by_byte, **options), find_spans(texts, by_word, **options).withColumnRenamed("spans", "passages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = lambda spans: [(s["first"], s["last"]) for s in spans or []]
         for batch in batches:
             rows = []
-            for data, n, spans in zip(*(batch.column(c).to_pylist() for c in ("data", "n", "spans")), strict=True):
-                gone = covered(len(data), [(s["first"], s["last"]) for s in spans or []], n > 1, length)
+            for data, n, spans, passages in zip(*(batch.column(c).to_pylist() for c in ("data", "n", "spans", "passages")), strict=True):
+                gone = covered(len(data), pairs(spans), n > 1, length)
                 kept, at = [], 0
                 for a, b in gone:
                     kept.append(data[at:a])
                     at = b
-                rows.append((len(data), [{"start": a, "end": b} for a, b in gone], b"".join([*kept, data[at:]])))
-            types = (pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
+                rows.append((len(data), [{"start": a, "end": b} for a, b in gone], b"".join([*kept, data[at:]]), shared_words(data, pairs(passages), n > 1, by_word)))
+            types = (pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary(), pa.int64())
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *columns], names=["key", "n_bytes", "removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *columns], names=["key", "n_bytes", "removed", "kept", "shared_words"])
 
-    found = find_repeats(docs, text_col, length, **options)
-    return found.mapInArrow(run, "key binary, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
+    found = texts.join(spans, "key", "left").join(passages, "key", "left")
+    return found.mapInArrow(run, "key binary, n_bytes long, removed array<struct<start:long,end:long>>, kept binary, shared_words long")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    sizes = F.transform("removed", lambda r: r["end"] - r["start"])
+    sizes, before = F.transform("removed", lambda r: r["end"] - r["start"]), written()
     done = without_repeats(docs).select(
         "key",
         "n_bytes",
         F.aggregate(sizes, F.lit(0).cast("long"), lambda s, x: s + x).alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.col("shared_words").alias("n_shared_words"),
     )
+    done = materialize(done, "digests")
+    discard(spark, [w for w in written()[:-1] if w not in before])
     light = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"))
-    return light.join(done, "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return light.join(done, "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words")
