@@ -1,30 +1,33 @@
 """Benchmark decontamination: item-sized windows where shingles are shared, exact verification, SimHash distances.
 
 Words are runs of letters and digits, lower-cased; a shingle is five words (an item with fewer is one
-shingle of its own length). Windows have an item's number of words. A window can only reach the
-similarity that is asked for if it shares a shingle with the item, so windows are laid where a document has one
-of an item's shingles, aligned with the item (the first shingle of every stretch that runs along the item is enough). Nothing that could
-be verified is left out by that.
-
-Every window is verified against the item that it was laid for, by the exact weighted similarity: the sum of the weights
-of the shared shingles over that of all (as multisets). A shingle weighs log(1 + items / items that have it);
-shingles of no other item weigh most. Windows whose shingles that the item has, all counted as shared, don't reach the similarity are
-left out before that. A Hamming radius decides nothing, since windows of similarity 0.8 can lie at any distance; the
-distance of the 64-bit SimHashes is reported beside the similarity.
-
-Null or empty texts match nothing. Of equal windows the first counts; for each document and item the best
-window is reported. Repeated ids are reported once. Extra columns don't matter. DataFrame expressions only.
+shingle of its own length). Windows have an item's number of words. Its similarity to the item is the weight of the shared
+shingles over that of all (as multisets); a shingle weighs log(1 + items / items that have it), one of no item as if one had it.
+
+Which windows have to be looked at: a shared shingle stands on a diagonal (its place in the document less that in the item). If
+all the shared shingles of a window lie on diagonals beyond its beginning, moving it a word towards them loses none and can't lower its
+similarity. So the best window begins on a diagonal or between two of the same stretch, and such windows are
+laid at every diagonal, and at every place between neighbouring diagonals that are at most an item's length apart. Those around which
+the shared shingles together weigh too little to reach the similarity are left out; all others are verified exactly,
+windows with the same words once. A Hamming radius decides nothing, since windows of similarity 0.8 can lie at any
+distance; the distance of the 64-bit SimHashes is reported beside the similarity.
+
+Texts and items are compared by content, so that copies cost nothing: a text's MD5 stands for it. Null or empty texts match
+nothing. Of equal windows the first counts; for each document and item the best window is reported. Repeated ids are reported once
+(the best window of all), null ids count as one id. Extra columns don't matter. DataFrame expressions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialize
+from palimpsest.llm.common import free_name, lookup_join, materialize
 
 #: The benchmark's shingles are broadcast up to this many; beyond it they are joined by a shuffle.
 BROADCAST_SHINGLES = 500_000
+#: Other tables are broadcast up to so many bytes.
+BROADCAST_BYTES = 8 << 20
 NOT_WORDS = r"[^\p{L}\p{N}]+"
 
 
@@ -32,10 +35,15 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORDS), "")
 
 
-def _grams(words: Column, size: int | Column) -> Column:
+def _hashed(text: Column) -> Column:
+    """A hash of each word."""
+    return F.transform(_words(text), lambda w: F.xxhash64(w))
+
+
+def _grams(hashes: Column, size: int | Column) -> Column:
     """Hashes of all shingles; none if there are fewer words."""
-    n = F.size(words) - size + 1
-    each = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, F.lit(size) if isinstance(size, int) else size)))
+    n = F.size(hashes) - size + 1
+    each = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(hashes, i, F.lit(size) if isinstance(size, int) else size)))
     return F.when(n > 0, each).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -46,6 +54,72 @@ def simhash(grams: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("bigint"), lambda s, x: F.when(x["on"], s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x["b"]))).otherwise(s))
 
 
+def _text_key(text_col: str) -> Column:
+    return F.md5(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def leaks_by_text(texts: DataFrame, items: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """One row per (key, item) that match: first_word, n_words, hamming, similarity. texts: key, text; items: item, text; both keys stand for a content."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    items = items.select("item", _hashed(F.col("text")).alias("hashes")).where(F.size("hashes") > 0).repartition(parts, "item")
+    items = items.select("item", "hashes", F.size("hashes").alias("length"), F.least(F.lit(shingle), F.size("hashes")).alias("size"))
+    items = materialize(items.withColumn("grams", _grams(F.col("hashes"), F.col("size"))).withColumn("fp", simhash(F.col("grams"))).drop("hashes"), "items")
+    sizes = items.groupBy("size").agg(F.count("*"), F.sum(F.size("grams"))).collect()  # five rows at most
+    n_items, n_shingles = sum(r[1] for r in sizes), sum(r[2] for r in sizes)
+    each = items.select("item", "size", F.explode("grams").alias("gram")).groupBy("item", "size", "gram").agg(F.count("*").alias("m"))
+    weights = each.groupBy("size", "gram").agg(F.log(1 + n_items / F.count("*")).alias("w"))
+    each = materialize(each.join(weights, ["size", "gram"]), "item-shingles")
+    heavy = each.groupBy("item").agg(F.sum(F.col("w") * F.col("m")).alias("item_weight"))
+    items = items.join(heavy, "item")
+    seeds = items.select("item", "size", "length", "item_weight", F.posexplode("grams").alias("at", "gram")).join(each.select("item", "gram", "w"), ["item", "gram"])
+    if n_shingles <= BROADCAST_SHINGLES:
+        seeds = F.broadcast(seeds)
+
+    # Shared shingles, then diagonals. The outer form of explode, because a filter on the array's size would be pushed below it and compute everything twice.
+    hits = None
+    for size in sorted(r[0] for r in sizes):
+        numbered = F.transform(_grams(F.col("hashes"), size), lambda g, i: F.struct(g.alias("gram"), i.alias("p")))
+        placed = texts.select("key", _hashed(F.col("text")).alias("hashes")).select("key", F.explode_outer(numbered).alias("g")).select("key", "g.gram", "g.p")
+        found = placed.join(seeds.where(F.col("size") == size), "gram").select("key", "item", "length", "item_weight", (F.col("p") - F.col("at")).alias("begin"), "p", "w")
+        hits = found if hits is None else hits.union(found)
+    result = "key string, item string, first_word int, n_words int, hamming int, similarity double"
+    if hits is None:
+        return texts.sparkSession.createDataFrame([], result)
+    diagonals = hits.distinct().groupBy("key", "item", "length", "item_weight", "begin").agg(F.sum("w").alias("w"))
+    order = Window.partitionBy("key", "item").orderBy(F.col("begin") / F.col("length"))
+    around = F.sum("w").over(order.rangeBetween(-2, 2))
+    gap = F.lead("begin").over(order) - F.col("begin")
+    near = diagonals.withColumn("around", around).withColumn("gap", F.coalesce(F.when(gap <= F.col("length"), gap), F.lit(1)))
+    near = near.where(F.col("around") >= (similarity - 1e-9) * F.col("item_weight"))
+    begins = near.select("key", "item", "length", F.explode_outer(F.sequence(F.lit(0), F.col("gap") - 1)).alias("step"), "begin")
+    places = F.struct("item", "length", (F.col("begin") + F.col("step")).alias("begin"))
+    per_text = materialize(begins.groupBy("key").agg(F.collect_list(places).alias("places")), "places")
+
+    # The windows' words, from the texts that have places.
+    weight = 64 + F.size("places") * 56
+    words = lookup_join(texts, per_text, "key", weight, BROADCAST_BYTES).where("places is not null").dropDuplicates(["key"])
+    words = words.select("key", _hashed(F.col("text")).alias("hashes"), "places")
+    begin = lambda x: F.greatest(x["begin"], F.lit(0))
+    part = lambda x: F.slice("hashes", begin(x) + 1, F.least(x["length"], x["length"] + x["begin"]))
+    cut = F.transform("places", lambda x: F.struct(x["item"].alias("item"), begin(x).alias("first_word"), part(x).alias("part"), F.least(F.lit(shingle), x["length"]).alias("size")))
+    windows = words.select("key", F.explode_outer(cut).alias("x")).select("key", "x.*")
+    same = F.struct("item", F.md5(F.array_join("part", " ")).alias("words"))
+    windows = materialize(windows.select("key", "item", "first_word", F.size("part").alias("n_words"), _grams(F.col("part"), F.col("size")).alias("grams"), "size", same.alias("window")), "windows")
+
+    different = windows.groupBy("window").agg(F.first("item").alias("item"), F.first("size").alias("size"), F.first("grams").alias("grams"))
+    counted = different.select("window", "item", "size", F.explode("grams").alias("gram")).groupBy("window", "item", "size", "gram").agg(F.count("*").alias("c"))
+    counted = counted.join(each.select("item", "gram", "m"), ["item", "gram"], "left").join(weights, ["size", "gram"], "left")
+    w = F.coalesce("w", F.log(F.lit(1.0 + n_items)))
+    sums = counted.groupBy("window", "item").agg(F.sum(w * F.least("c", F.coalesce("m", F.lit(0)))).alias("shared"), F.sum(w * F.col("c")).alias("total"))
+    sums = sums.join(items.select("item", "item_weight", "fp"), "item")
+    good = sums.select("window", "fp", (F.col("shared") / (F.col("total") + F.col("item_weight") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= similarity - 1e-12)
+    good = good.join(different.select("window", "grams"), "window")
+    good = materialize(good.select("window", F.bit_count(simhash(F.col("grams")).bitwiseXOR(F.col("fp"))).alias("hamming"), "similarity"), "verified")
+    matched = lookup_join(windows.select("window", "key", "item", "first_word", "n_words"), good, "window", F.lit(160), BROADCAST_BYTES).where("similarity is not null")
+    best = F.max_by(F.struct("first_word", "n_words", "hamming", "similarity"), F.struct("similarity", -F.col("first_word")))
+    return matched.groupBy("key", "item").agg(best.alias("best")).select("key", "item", "best.*")
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -57,63 +131,29 @@ def find_leaks(
     shingle: int = 5,
 ) -> DataFrame:
     """One row per (document, item) that match: id, item, first_word, n_words, hamming, similarity."""
-    items = (
-        benchmark.select(F.col(item_col).alias("item"), _words(F.col(item_text_col)).alias("item_words"))
-        .where(F.size("item_words") > 0)
-        .withColumn("length", F.size("item_words"))
-        .withColumn("size", F.least(F.lit(shingle), F.col("length")))
-    )
-    items = items.withColumn("item_grams", _grams(F.col("item_words"), F.col("size"))).drop("item_words")
-    n_items = items.count()
-    each = items.select("item", "size", "length", "item_grams", F.posexplode_outer("item_grams").alias("at", "gram"))
-    seeds = each.select("item", "size", "length", "at", "gram", F.when(F.col("at") > 0, F.element_at("item_grams", F.greatest(F.col("at"), F.lit(1)))).alias("before"))
-    rarity = each.select("item", "size", "gram").distinct().groupBy("size", "gram").count()
-    weights = (
-        each.select("item", "size", "gram").distinct().join(rarity, ["size", "gram"])
-        .groupBy("item")
-        .agg(F.map_from_entries(F.collect_list(F.struct("gram", F.log(1 + n_items / F.col("count"))))).alias("weights"))
-    )
-    most = F.log(F.lit(1.0 + n_items))
-    weigh = lambda a, other: F.aggregate(a, F.lit(0.0), lambda s, x: s + F.coalesce(F.element_at("weights", x), other))
-    items = items.join(weights, "item").withColumn("item_fp", simhash(F.col("item_grams"))).withColumn("item_weight", weigh(F.col("item_grams"), most))
-    if seeds.count() <= BROADCAST_SHINGLES:
-        seeds, items = F.broadcast(seeds), F.broadcast(items)
-
-    # The outer forms of explode, because a filter on the array's size would be pushed below it and compute everything twice.
-    base = docs.select(F.col(id_col).alias("doc"), _words(F.col(text_col)).alias("words"))
-    windows = None
-    for size in sorted(r[0] for r in items.select("size").distinct().collect()):  # shingle sizes: five at most
-        placed = base.withColumn("grams", _grams(F.col("words"), size)).select("doc", "words", "grams", F.posexplode_outer("grams").alias("p", "gram"))
-        hit = placed.join(seeds.where(F.col("size") == size), "gram")
-        first = hit.where(~F.coalesce(F.get("grams", F.col("p") - 1) == F.col("before"), F.lit(False)))
-        begin = F.col("p") - F.col("at")
-        part = F.slice("words", F.greatest(begin, F.lit(0)) + 1, F.least(F.col("length"), F.col("length") + begin))
-        part = first.select("doc", "item", F.greatest(begin, F.lit(0)).alias("first_word"), part.alias("part"))
-        part = part.select("doc", "item", "first_word", F.size("part").alias("n_words"), _grams(F.col("part"), size).alias("grams"))
-        windows = part if windows is None else windows.union(part)
-    if windows is None:
-        windows = base.where("false").select("doc", F.lit(None).cast(items.schema["item"].dataType).alias("item"), F.lit(0).alias("first_word"), F.lit(0).alias("n_words"), F.array(F.lit(0).cast("bigint")).alias("grams"))
-    shared = weigh(F.col("grams"), F.lit(0.0))  # at least the weight of what is shared
-    may = shared >= (similarity - 1e-9) * (weigh(F.col("grams"), most) + F.col("item_weight") - shared)
-    windows = windows.join(items.select("item", "weights", "item_weight"), "item").where(may).select("doc", "item", "first_word", "n_words", "grams")
-    windows = materialize(windows.dropDuplicates(["doc", "item", "first_word", "n_words", "grams"]), "windows")
-    near = windows.join(items.select("item", "item_grams", "item_fp", "weights"), "item")
-    # As multisets: the k-th copy of a shingle is a shingle of its own.
-    numbered = lambda a: F.transform(a, lambda g, i: F.struct(g.alias("g"), F.size(F.filter(F.slice(a, F.lit(1), i), lambda x: x == g)).alias("k")))
-    weight = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + F.coalesce(F.element_at("weights", x["g"]), most))
-    near = near.withColumn("a", numbered(F.col("grams"))).withColumn("b", numbered(F.col("item_grams")))
-    near = near.withColumn("similarity", weight(F.array_intersect("a", "b")) / weight(F.array_union("a", "b"))).where(F.col("similarity") >= similarity)
-    near = near.withColumn("hamming", F.bit_count(simhash(F.col("grams")).bitwiseXOR(F.col("item_fp"))))
+    named = benchmark.select(F.col(item_col).alias("id"), F.md5(F.array_join(_words(F.col(item_text_col)), " ")).alias("item"), F.col(item_text_col).alias("text"))
+    items = named.groupBy("item").agg(F.first("text").alias("text"))
+    texts = docs.select(_text_key(text_col).alias("key"), F.col(text_col).alias("text"))
+    found = leaks_by_text(texts, items, similarity, shingle)
+    item_ids = named.groupBy("item").agg(F.collect_set(F.struct("id")).alias("ids"))
+    found = lookup_join(found, item_ids, "item", 64 + F.size("ids") * 24, BROADCAST_BYTES)
+    found = found.select("key", F.struct("ids", "first_word", "n_words", "hamming", "similarity").alias("x"))
+    per_text = materialize(found.groupBy("key").agg(F.collect_list("x").alias("found")), "leaks")
+    ids = docs.select(F.col(id_col).alias("doc"), _text_key(text_col).alias("key"))
+    rows = lookup_join(ids, per_text, "key", 64 + F.size("found") * 96, BROADCAST_BYTES).where("found is not null")
+    rows = rows.select("doc", F.explode("found").alias("x")).select("doc", F.explode("x.ids").alias("item"), "x.*").select("doc", F.col("item.id").alias("item"), "first_word", "n_words", "hamming", "similarity")
     best = F.max_by(F.struct("first_word", "n_words", "hamming", "similarity"), F.struct("similarity", -F.col("first_word")))
-    return near.groupBy("doc", "item").agg(best.alias("best")).select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "best.*")
+    return rows.groupBy("doc", "item").agg(best.alias("best")).select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "best.*")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the documents that hold an item. Rows without an id are looked at one text at a time."""
-    key = "_decontamination_key"
-    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(text_col))))
-    leaks = find_leaks(keyed, benchmark, key, text_col, **options).select(key).distinct()
-    return keyed.join(leaks, key, "left_anti").select(*docs.columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """docs without the documents that hold an item."""
+    items = benchmark.select(F.md5(F.array_join(_words(F.col(item_text_col)), " ")).alias("item"), F.col(item_text_col).alias("text")).groupBy("item").agg(F.first("text").alias("text"))
+    texts = docs.select(_text_key(text_col).alias("key"), F.col(text_col).alias("text"))
+    key, leak = free_name(docs, "_key"), free_name(docs, "_leak")
+    leaks = materialize(leaks_by_text(texts, items, similarity, shingle).select(F.col("key").alias(key)).distinct(), "leaks")
+    marked = lookup_join(docs.withColumn(key, _text_key(text_col)), leaks.withColumn(leak, F.lit(True)), key, F.lit(80), BROADCAST_BYTES)
+    return marked.where(F.col(leak).isNull()).select(*docs.columns)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
