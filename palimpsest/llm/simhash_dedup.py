@@ -134,12 +134,15 @@ def near_duplicate_components(df: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component: that of the least id. Rows without an id come after all ids, equal texts among them count as one row."""
+    """One row of each component: that of the least id (numbers or texts). Rows without an id come after all ids, equal texts among them count as one row."""
     key = free_name(df, "_key")
-    late = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce(text_col, F.lit(""))), F.lit(1 << 61))
-    keyed = df.withColumn(key, F.coalesce(F.col(id_col).cast("bigint"), late))
+    late = F.col(id_col).isNull()
+    keyed = df.withColumn(key, F.struct(late.alias("late"), F.col(id_col).alias("id"), F.when(late, F.md5(F.coalesce(text_col, F.lit("")))).alias("text")))
     spots = near_duplicate_components(keyed, key, text_col)
-    stay = spots.where(F.col(key) == F.col("component")).select(key).distinct()
+    # As one text, since a struct with a null inside equals no other in a join.
+    flat = lambda c: F.to_json(F.col(c))
+    stay = spots.where(F.to_json(key) == flat("component")).select(flat(key).alias(key)).distinct()
+    keyed = keyed.withColumn(key, flat(key))
     kept = keyed.join(stay, key, "left_semi")
     ids = keyed.agg(F.count("*"), F.countDistinct(key)).first()
     return (kept if ids[0] == ids[1] else kept.dropDuplicates([key])).select(*df.columns)

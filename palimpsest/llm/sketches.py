@@ -4,8 +4,8 @@ Words are the lower-cased text cut at white space; a shingle is five words (a sh
 shingle, a text without words has none). A shingle's hash is a 32-bit value; the sketch keeps all
 distinct hashes below 2**32 / scale. Since the threshold doesn't depend on the document, sketches of
 parts unite into the sketch of the whole, and the containment of a short text in a very long one can be
-estimated from their sketches alone. Texts of at most ``exact_below`` shingles keep every hash (scale 1), so that short
-texts don't end up with empty sketches; two sketches are compared at the coarser of their two scales.
+estimated from their sketches alone. Texts of at most ``exact_below`` different shingles keep every hash (scale 1), so that texts with
+few of them don't end up with empty sketches; two sketches are compared at the coarser of their two scales.
 
 A fingerprint is written ``scale:`` and the hashes in hex, ascending. Null texts count as empty; two
 sketches without hashes are alike (1) if the fingerprints are equal and else unlike (0). Everything
@@ -14,10 +14,13 @@ here is a DataFrame expression.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from palimpsest.llm.common import free_name
+from palimpsest.llm.common import free_name, lookup_join, materialize
 
 SCALE = 8
 EXACT_BELOW = 128
@@ -35,9 +38,10 @@ def with_sketch(df: DataFrame, text_col: str, out: str, words: int = 5, scale: i
         lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(F.col(w), i, F.lit(words))), 32),
     )
     df = df.withColumn(h, F.when(n > 0, grams).otherwise(F.array().cast("array<bigint>")))
+    df = df.withColumn(h, F.array_distinct(h))
     few = F.size(h) <= exact_below
     kept = F.when(few, F.col(h)).otherwise(F.filter(h, lambda x: x < _RANGE // scale))
-    sketch = F.struct(F.when(few, 1).otherwise(scale).alias("scale"), F.array_sort(F.array_distinct(kept)).alias("hashes"))
+    sketch = F.struct(F.when(few, 1).otherwise(scale).alias("scale"), F.array_sort(kept).alias("hashes"))
     return df.withColumn(out, sketch).drop(w, h)
 
 
@@ -75,48 +79,66 @@ def merge(a: Column, b: Column) -> Column:
     return F.struct(scale.alias("scale"), F.array_sort(kept).alias("hashes"))
 
 
-def with_next(df: DataFrame, id_col: str, carried: list[str], prefix: str = "next_", rows_per_group: int = 256, max_groups: int = 8192) -> DataFrame:
+def _place(df: DataFrame, id_col: str, carried: list[str]) -> Column:
+    """A whole number that never rises along the order: the id itself, or the first seven bytes of a text; missing ids below, by the first carried text."""
+    start = lambda c: F.conv(F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), F.lit(1), F.lit(7))), 14, "0"), 16, 10).cast("bigint")
+    kind, least = df.schema[id_col].dataType, F.lit(-(1 << 62))
+    if isinstance(kind, T.StringType):
+        known = start(F.col(id_col))
+    else:
+        known = F.greatest(F.col(id_col).cast("bigint") if isinstance(kind, T.IntegralType) else F.floor(F.col(id_col).cast("double")).cast("bigint"), least)
+    late = F.coalesce(start(F.col(carried[0])), F.lit(0)) if isinstance(df.schema[carried[0]].dataType, T.StringType) else F.lit(0)
+    return F.coalesce(known, least - 1 - late)
+
+
+def with_next(df: DataFrame, id_col: str, carried: list[str], prefix: str = "next_", rows_per_group: int = 64, cells: int = 1024) -> DataFrame:
     """Each row with the carried columns of the next row by descending id; after the last comes the first.
 
     Ids go into groups that follow each other (percentiles, then equal widths), so that no group holds
-    more than a small share of the ids; one shuffle by group brings neighbours together. The first
-    row of a group also goes, as a guest, to the end of the group before it. The driver holds one id for each
-    group, ``max_groups`` at most. Equal ids are ordered by the carried columns; null ids come last.
+    more than a small share of the ids, and the number of groups grows with the rows; one shuffle by group brings neighbours together. The first
+    row of a group also goes, as a guest, to the end of the group before it: a table of one row for each group tells which. Ids may be numbers or texts (dates as
+    numbers). Equal ids are ordered by the carried columns; missing ids come last.
     """
-    total, least, most = df.agg(F.count("*"), F.min(id_col), F.max(id_col)).first()
-    groups = max(1, min(max_groups, total // rows_per_group))
-    cells = min(128, groups)
-    cuts = df.agg(F.percentile_approx(id_col, [i / cells for i in range(1, cells)], 10_000)).first()[0] if cells > 1 and least is not None else []
-    edges = sorted({*(cuts or []), *([most] if most is not None else [])}) or [0]
-    lows = [least if least is not None else 0, *(e + 1 for e in edges[:-1])]
-    per = max(1, groups // cells)
-    bounds, starts = F.array(*map(F.lit, edges)).cast("array<bigint>"), F.array(*map(F.lit, lows)).cast("array<bigint>")
-    key = F.col(id_col).cast("bigint")
-    cell = F.least(F.size(F.filter(bounds, lambda q: q < key)), F.lit(len(edges) - 1))
-    low, high = F.element_at(starts, cell + 1).cast("double"), F.element_at(bounds, cell + 1).cast("double")
-    part = F.least(F.floor((key.cast("double") - low) / (high - low + 1) * per), F.lit(per - 1))
-    group = F.coalesce(cell.cast("bigint") * per + part, F.lit(-1))
-    firsts = [(r[0], r[1]) for r in df.groupBy(group.alias("g")).agg(F.max(key).alias("first")).orderBy(F.desc("g")).collect()]
-    guests = [(firsts[(i + 1) % len(firsts)][1], firsts[i][0]) for i in range(len(firsts))]  # the next group's first id, this group
-    g, guest, at_home = free_name(df, "_group"), free_name(df, "_guest"), free_name(df, "_home")
-    hosts = df.sparkSession.createDataFrame([(a, b) for a, b in guests], f"_first bigint, {guest} bigint")
-    rows = df.withColumn(g, group).join(F.broadcast(hosts), key.eqNullSafe(F.col("_first")), "left").drop("_first")
-    places = F.filter(F.array(F.struct(F.lit(0).alias("late"), F.col(g).alias("g")), F.struct(F.lit(1).alias("late"), F.col(guest).alias("g"))), lambda p: p["g"].isNotNull())
-    rows = rows.withColumn(at_home, F.explode(places)).withColumn(g, F.col(at_home)["g"]).withColumn(at_home, F.col(at_home)["late"]).drop(guest)
-    order = Window.partitionBy(g).orderBy(F.col(at_home), F.desc_nulls_last(id_col), *carried)
+    place, g, guest, late = (free_name(df, n) for n in ("_place", "_group", "_guest", "_late"))
+    df = df.withColumn(place, _place(df, id_col, carried))
+    total, least, most = df.agg(F.count("*"), F.min(place), F.max(place)).first()
+    if not total:
+        return df.select(*(c for c in df.columns if c != place), *(F.col(c).alias(prefix + c) for c in carried))
+    cells = max(1, min(cells, total // rows_per_group))
+    cuts = df.agg(F.percentile_approx(place, [i / cells for i in range(1, cells)], 10_000)).first()[0] if cells > 1 else []
+    edges = sorted({*cuts, most})
+    lows = [least, *(e + 1 for e in edges[:-1])]
+    per, step = max(1, total // rows_per_group // cells), math.isqrt(len(edges)) + 1
+    array = lambda xs: F.array(*map(F.lit, xs)).cast("array<bigint>")
+    # The cell of an id: first the stretch of cells, then the cell in it.
+    stretch = F.size(F.filter(array(edges[step - 1 :: step]), lambda q: q < F.col(place)))
+    cell = F.least(stretch * step + F.size(F.filter(F.slice(array(edges), stretch * step + 1, F.lit(step)), lambda q: q < F.col(place))), F.lit(len(edges) - 1))
+    cell_name = free_name(df, "_cell")
+    df = df.withColumn(cell_name, cell)
+    low, high = F.element_at(array(lows), F.col(cell_name) + 1), F.element_at(array(edges), F.col(cell_name) + 1)
+    part = F.least(F.floor((F.col(place) - low) / (high.cast("double") - low + 1) * per), F.lit(per - 1)).cast("bigint")
+    df = df.withColumn(g, F.col(cell_name) * F.lit(per).cast("bigint") + part).drop(cell_name)
+    # Per group its first place, and the group before it, which has that place's rows as guests; the last group has those of the first.
+    firsts = materialize(df.groupBy(g).agg(F.max(place).alias("place")), "groups")
+    first_group, last_group = firsts.agg(F.max(g), F.min(g)).first()
+    before = F.coalesce(F.lag(g).over(Window.orderBy(F.desc(g))), F.lit(last_group))  # a row of two numbers per group
+    hosts = firsts.select(F.col("place").alias(place), before.alias(guest))
+    rows = lookup_join(df, hosts, place, F.lit(48), 8 << 20)
+    places = F.array(F.struct(F.lit(0).alias("late"), F.col(g).alias("g")), F.struct(F.lit(1).alias("late"), F.col(guest).alias("g")))
+    rows = rows.withColumn(late, F.explode(F.filter(places, lambda p: p["g"].isNotNull()))).withColumn(g, F.col(late)["g"]).withColumn(late, F.col(late)["late"]).drop(guest)
+    order = Window.partitionBy(g).orderBy(F.col(late), F.desc_nulls_last(id_col), *carried)
     for c in carried:
         rows = rows.withColumn(prefix + c, F.lead(c).over(order))
-    return rows.where(F.col(at_home) == 0).drop(g, at_home)
+    return rows.where(F.col(late) == 0).drop(g, late, place)
 
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    near = with_sketch(with_next(docs, "doc_id", ["text"]), "text", "sketch")
+    near = with_next(with_sketch(docs, "text", "sketch"), "doc_id", ["text", "sketch"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     near = near.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (n - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half)))
     near = with_sketch(near, "edited", "edited_sketch")
-    near = with_sketch(near, "next_text", "next_sketch")
     own, edited, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
     return near.select(
         "doc_id",
