@@ -23,21 +23,27 @@ def log_choose(n: Column, k: Column) -> Column:
 def fisher_right(a: Column, b: Column, c: Column, d: Column) -> Column:
     """P(count >= a) in a 2x2 table with the same margins.
 
-    The first term comes from log factorials, the others by their ratio to the one before, so each step of
-    the sum is a few multiplications.
+    Terms fall on both sides of the distribution's mode. Beyond it the right tail is summed from a upwards; else the left tail from a - 1 downwards is taken
+    from 1. So the first term is the largest of its sum, from log factorials, and the others follow by their ratio to the one before.
+    They are negligible after some 6 times the square root of the least margin, which bounds the number of steps.
     """
     row, column, n = a + b, a + c, a + b + c + d
-    first = F.exp(log_choose(row, a) + log_choose(c + d, column - a) - log_choose(n, column))
-    top = F.least(row, column)
-    zero = F.struct(F.lit(0.0).alias("sum"), first.alias("term"))
+    right = a.cast("double") * (n + 2) >= (row.cast("double") + 1) * (column + 1)
+    start = F.when(right, a).otherwise(a - 1)
+    first = F.exp(log_choose(row, start) + log_choose(n - row, column - start) - log_choose(n, column))
+    count = F.when(right, F.least(row, column) - a).otherwise(a - 1 - F.greatest(F.lit(0), row + column - n))
+    steps = F.least(count, F.ceil(F.sqrt(32.0 * F.least(row, column, n - row, n - column))) + 2)
 
-    def step(acc: Column, x: Column) -> Column:
-        x = x.cast("double")
-        ratio = (row - x) * (column - x) / ((x + 1) * (n - row - column + x + 1))
-        return F.struct((acc["sum"] + acc["term"]).alias("sum"), (acc["term"] * ratio).alias("term"))
+    def step(acc: Column, i: Column) -> Column:
+        x = F.when(right, start + i).otherwise(start - i).cast("double")
+        up = (row - x) * (column - x) / ((x + 1) * (n - row - column + x + 1))
+        down = x * (n - row - column + x) / ((row - x + 1) * (column - x + 1))
+        return F.struct((acc["sum"] + acc["term"]).alias("sum"), (acc["term"] * F.when(right, up).otherwise(down)).alias("term"))
 
-    total = F.aggregate(F.sequence(a, top), zero, step)["sum"]
-    return F.when(a <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), total))
+    # The last term is added after the walk, so that no ratio beyond the end is asked for.
+    done = F.aggregate(F.sequence(F.lit(0).cast("bigint"), steps - 1), F.struct(F.lit(0.0).alias("sum"), first.alias("term")), step, lambda x: x["sum"] + x["term"])
+    total = F.when(steps > 0, done).otherwise(first)
+    return F.when(a <= F.greatest(F.lit(0), row + column - n), F.lit(1.0)).when(right, F.least(F.lit(1.0), total)).otherwise(F.greatest(F.lit(0.0), 1 - total))
 
 
 def jaccard(both: Column, na: Column, nb: Column) -> Column:
@@ -53,16 +59,16 @@ def benjamini_hochberg(df: DataFrame, p: str = "p", out: str = "q", groups: int
     """Adds q: the least p * m / rank over equal and higher ranks, at most 1.
 
     No single task sorts all: p-values go into ranges between quantiles, ranks and minima are taken within
-    each range, and one row per range carries the counts below and the minimum above.
+    each range, and one row per range carries the counts below and the minimum above. Rows without p are no tests: they don't count, and have no q.
     """
-    m = df.count()
+    m = df.where(F.col(p).isNotNull()).count()
     if not m:
         return df.withColumn(out, F.lit(None).cast("double"))
     cuts = sorted(set(df.agg(F.percentile_approx(p, [i / groups for i in range(1, groups)], 10_000)).first()[0])) if m > 10_000 else []
     part = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col(p)))
     placed = df.withColumn("_part", part)
     # Equal values are in one range, and the highest rank of equals gives the least quotient: so ranks count values up to and including p.
-    values = placed.groupBy("_part", p).agg(F.count("*").alias("_n"))
+    values = placed.where(F.col(p).isNotNull()).groupBy("_part", p).agg(F.count("*").alias("_n"))
     up_to = Window.partitionBy("_part").orderBy(p)
     values = values.withColumn("_rank", F.sum("_n").over(up_to))
     sizes = values.groupBy("_part").agg(F.sum("_n").alias("_size"))
@@ -72,7 +78,7 @@ def benjamini_hochberg(df: DataFrame, p: str = "p", out: str = "q", groups: int
     above = least.withColumn("_above", F.min("_least").over(Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1))).drop("_least")
     down_to = Window.partitionBy("_part").orderBy(F.desc(p))
     values = values.join(F.broadcast(above), "_part").withColumn(out, F.least(F.lit(1.0), F.coalesce("_above", F.lit(1.0)), F.min("_q").over(down_to)))
-    return placed.join(values.select("_part", p, out), ["_part", p]).select(*df.columns, out)
+    return placed.join(values.select("_part", p, out), ["_part", p], "left").select(*df.columns, out)
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:

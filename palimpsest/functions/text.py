@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 #: Values of the normalised working-time text, in order of precedence (fixed values).
 WORK_MODES = ((("mixta", "hibrid"), "Híbrido"), (("teletrabajo", "remoto", "telepresencial"), "Remoto"), (("terreno",), "Presencial"))
 WORK_MODE_UNKNOWN = "No informado"
+#: Contract types by what the working-time text contains (fixed values).
 CONTRACT_TYPES = (("practica", "Práctica"), ("reemplazo", "Reemplazo"), ("free lance", "Freelance"), ("freelance", "Freelance"), ("comisionista", "Comisionista"))
 #: HTML entities that are decoded, in this order (fixed values).
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
+#: Levels that count as another one, and how names begin that state a level (fixed values).
 LEVEL_FOLDS = {"licenciatura": "profesional_con_grado"}
 TECHNICAL_NAME = r"^(tecnico|tecnica|tec\b|tns\b|tecnologo)"
 HIGHER_NAME = r"^(ingenieria|licenciatura|licenciado|pedagogia|magister|doctorado|mba)\b"

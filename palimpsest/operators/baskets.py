@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.stats import benjamini_hochberg, fisher_right, jaccard, lift
+from palimpsest.functions.text import level_list, level_shares
+from palimpsest.sources.raw import staged
 
 
 def baskets(rows: DataFrame, key: str, item: str, carried: list[str] | None = None) -> DataFrame:
@@ -48,9 +50,9 @@ def pair_counts(sets: DataFrame, by: list[str] | None = None) -> DataFrame:
 def association(sets: DataFrame) -> DataFrame:
     """Per pair: n, na, nb, jaccard, lift, Fisher's right tail p, and q after Benjamini and Hochberg. The number of sets is one scalar.
 
-    Sets and measured pairs are kept, since ranks and margins need several passes over them.
+    Sets and measured pairs are staged, since ranks and margins need several passes over them.
     """
-    sets = sets.persist()
+    sets = staged(sets, "sets")
     total = sets.count()
     freq = degrees(sets)
     pairs = (
@@ -63,15 +65,26 @@ def association(sets: DataFrame) -> DataFrame:
     measured = pairs.select(
         "a", "b", "n", "na", "nb", jaccard(n, na, nb).alias("jaccard"), lift(n, na, nb, all_).alias("lift"), fisher_right(n, na - n, nb - n, all_ - na - nb + n).alias("p")
     )
-    return benjamini_hochberg(measured.persist())
+    return benjamini_hochberg(staged(measured, "pairs"))
+
+
+def repeated_pairs(pairs: DataFrame, least: int = 2) -> DataFrame:
+    """Pairs seen at least so often; a pair seen once has the highest measures by chance. Most significant first (ties: most frequent, then by name)."""
+    return pairs.where(F.col("n") >= least).orderBy("q", F.desc("n"), "a", "b")
+
+
+def support_counts(pairs: DataFrame, least: int = 2, level: float = 0.05) -> DataFrame:
+    """One row: pairs, those seen at least so often, those seen less, and the significant ones."""
+    return pairs.agg(F.count("*").alias("pairs"), F.count_if(F.col("n") >= least).alias("repeated"), F.count_if(F.col("n") < least).alias("single"), F.count_if(F.col("q") < level).alias("significant"))
 
 
 def never_together(items: DataFrame, pairs: DataFrame, item: str, freq: str, group: str, least: int = 3) -> DataFrame:
-    """Pairs of frequent items of one group that no set holds. Groups are those of a taxonomy."""
+    """Pairs of frequent items of one group that no set holds, most frequent items first. Groups are those of a taxonomy."""
     some = items.where((F.col(freq) >= least) & (F.coalesce(F.col(group).cast("string"), F.lit("")) != ""))
     a = some.select(F.col(group).alias("group"), F.col(item).alias("a"), F.col(freq).alias("na"))
     b = some.select(F.col(group).alias("group"), F.col(item).alias("b"), F.col(freq).alias("nb"))
-    return a.join(b, "group").where("a < b").join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    absent = a.join(b, "group").where("a < b").join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    return absent.orderBy(F.desc(F.col("na") + F.col("nb")), "group", "a", "b")
 
 
 def crossing(pairs: DataFrame, groups: DataFrame, item: str, group: str, level: float = 0.05) -> DataFrame:
@@ -88,13 +101,26 @@ def network(rows: DataFrame, key: str, levels: dict[str, str], ambiguous: str) -
     """
     pairs = [x for name, column in levels.items() for x in (F.lit(name), F.col(column).cast("string"))]
     long = rows.select(key, F.coalesce(F.col(ambiguous), F.lit(False)).alias("_amb"), F.explode(F.create_map(*pairs)).alias("level", "item")).where("item is not null and item <> ''")
-    versions = F.when(F.col("_amb"), F.array(F.lit("con"))).otherwise(F.array(F.lit("con"), F.lit("sin")))
-    sets = long.withColumn("version", F.explode(versions)).groupBy("level", "version", key).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    # Both versions from one aggregation: all items, and those that some unambiguous row has.
+    both = long.groupBy("level", key).agg(F.array_sort(F.collect_set("item")).alias("con"), F.array_sort(F.collect_set(F.when(~F.col("_amb"), F.col("item")))).alias("sin"))
+    versions = F.array(*(F.struct(F.lit(v).alias("version"), F.col(v).alias("items")) for v in ("con", "sin")))
+    sets = both.select("level", key, F.explode(versions).alias("v")).select("level", key, "v.*").where(F.size("items") > 0)
     by = ["level", "version"]
     summary = sets.groupBy(*by).agg(F.count("*").alias("n_entities"), F.count_if(F.size("items") > 1).alias("n_multi"))
     return summary, degrees(sets, by), pair_counts(sets, by)
 
 
+def named_nodes(nodes: DataFrame, names: DataFrame, code: str = "code", name: str = "name") -> DataFrame:
+    """Nodes in the order of their codes, with a display name; codes without one show themselves."""
+    known = names.groupBy(F.col(code).cast("string").alias("item")).agg(F.min(name).alias("_name"))
+    return nodes.join(known, "item", "left").withColumn("label", F.coalesce("_name", "item")).drop("_name").orderBy("item")
+
+
+def ordered_edges(edges: DataFrame) -> DataFrame:
+    """Most frequent first, then by the pair."""
+    return edges.orderBy(F.desc("n"), "a", "b")
+
+
 def matrix(nodes: DataFrame, edges: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Long symmetric matrix: edges both ways and degrees on the diagonal."""
     by = by or []
@@ -114,12 +140,30 @@ def without_demand(targets: DataFrame, rows: DataFrame, item: str) -> DataFrame:
     return targets.select(item).distinct().join(rows.select(item), item, "left_anti")
 
 
-def cards(rows: DataFrame, key: str, item: str, origins: str, k: int = 15) -> DataFrame:
-    """Per item: entities, its top co-items and top origin names as arrays, number of origins; most frequent first."""
+def excluded(rows: DataFrame, n_items: str, kind: str, own: str = "programa_propio", upper: int = 30) -> DataFrame:
+    """One row: rows of generic entities, rows that name a field only (generic ones are counted first), and rows that count."""
+    generic = F.coalesce(F.col(n_items), F.lit(0)) > upper
+    field = ~generic & ~F.coalesce(F.col(kind) == own, F.lit(False))
+    return rows.agg(F.count_if(generic).alias("generic"), F.count_if(field).alias("field_only"), F.count_if(~generic & ~field).alias("counted"))
+
+
+def cards(rows: DataFrame, key: str, item: str, origins: str, k: int = 15, catalog: DataFrame | None = None, order: list[str] | None = None) -> DataFrame:
+    """Per item: entities, its top co-items and top origin names as arrays, number of origins; most frequent first.
+
+    catalog (item, levels: 'a | b', shares: 'a 30.8% | b 69.2%') adds the levels at which the item is taught, in the given order, and their shares.
+    """
     sets = baskets(rows, key, item)
     partners = top_partners(pair_counts(sets), k).groupBy("item").agg(F.array_sort(F.collect_list(F.struct("rank", "partner", "n"))).alias("partners"))
     names = rows.select(F.col(item).alias("item"), key, F.explode(origins).alias("origin")).where(F.trim("origin") != "").groupBy("item", "origin").agg(F.countDistinct(key).alias("n"))
     w = Window.partitionBy("item").orderBy(F.desc("n"), "origin")
     ranked = names.withColumn("rank", F.row_number().over(w))
     top = ranked.groupBy("item").agg(F.count("*").alias("n_origins"), F.array_sort(F.collect_list(F.when(F.col("rank") <= k, F.struct("rank", "origin", "n")))).alias("origins"))
-    return degrees(sets).withColumnRenamed("degree", "entities").join(partners, "item", "left").join(top, "item", "left").orderBy(F.desc("entities"), "item")
+    out = degrees(sets).withColumnRenamed("degree", "entities").join(partners, "item", "left").join(top, "item", "left")
+    if catalog is not None:
+        out = out.join(catalog.select("item", level_list(F.col("levels"), order or []).alias("levels"), level_shares(F.col("shares")).alias("shares")), "item", "left")
+    return out.orderBy(F.desc("entities"), "item")
+
+
+def items_per_level(cards: DataFrame, levels: str = "levels") -> DataFrame:
+    """How many items are taught at each level; an item counts at each of its own."""
+    return cards.select(F.explode(levels).alias("level")).groupBy("level").agg(F.count("*").alias("items"))

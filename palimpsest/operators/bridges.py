@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from palimpsest.operators.panel import latest
 
 
-def bridge(df: DataFrame, key: str, items: Column, ord: Column, fields: dict[str, Column | str] | None = None, where: Column | None = None, carried: list[str] | None = None) -> DataFrame:
+def bridge(df: DataFrame, key: str, items: Column, ord: Column, fields: dict[str, Column | str] | None = None, where: Column | None = None, carried: list[str] | None = None, with_order: bool = False) -> DataFrame:
     """(key, fields...) for each element of an array of structs or values, the last observation of each pair.
 
-    ``fields`` maps output names to expressions over the element ``item``; the first is part of the key and must not be blank.
+    ``fields`` maps output names to expressions over the element ``item``; the first is part of the key and must not be blank. ``with_order`` keeps
+    the observation's order as ``ord``, for rows that later ones may replace.
     """
     fields = fields or {"item": F.col("item")}
     names = list(fields)
@@ -21,7 +22,8 @@ def bridge(df: DataFrame, key: str, items: Column, ord: Column, fields: dict[str
     rows = rows.select(key, *(F.col(v).alias(n) if isinstance(v, str) else v.alias(n) for n, v in fields.items()), *carried, "_ord")
     first = F.col(names[0])
     rows = rows.where(first.isNotNull() & (F.trim(first.cast("string")) != ""))
-    return latest(rows, [key, names[0]], F.col("_ord")).drop("_ord")
+    rows = latest(rows, [key, names[0]], F.col("_ord"))
+    return rows.withColumnRenamed("_ord", "ord") if with_order else rows.drop("_ord")
 
 
 def declared_and_keyword(df: DataFrame, key: str, declared: Column, terms: Column, ok: Column, ord: Column) -> DataFrame:

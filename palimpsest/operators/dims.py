@@ -34,16 +34,17 @@ def first_of(observations: DataFrame, key: str, columns: list[str], ord: Column)
     return observations.groupBy(key).agg(*(F.min_by(c, ord).alias(c) for c in columns))
 
 
-def upsert_preserving_manual(new: DataFrame, previous: DataFrame | None, managed: list[str], key: str) -> DataFrame:
+def upsert_preserving_manual(new: DataFrame, previous: DataFrame | None, managed: list[str], key: str, order: Column | None = None) -> DataFrame:
     """Managed columns from ``new``; unknown columns of ``previous`` carried along by key; keys that vanished stay; blank keys go.
 
-    Keys are compared as text. Of previous rows with one key, one is kept (the last by its columns).
+    Keys are compared as text. Of previous rows with one key the last counts, by ``order`` or else in the order in which they are read.
     """
     if previous is None or not previous.columns:
         return new.select(*managed)
     extra = [c for c in previous.columns if c not in managed]
     k = F.col(key).cast("string")
-    old = previous.where(F.trim(k) != "").groupBy(k.alias("_k")).agg(F.max(F.struct(*previous.columns)).alias("old"))
+    placed = previous.select(F.struct(*previous.columns).alias("old"), k.alias("_k"), (F.monotonically_increasing_id() if order is None else order).alias("_at"))
+    old = placed.where(F.trim("_k") != "").groupBy("_k").agg(F.max_by("old", "_at").alias("old"))
     fresh = new.select(F.struct(*managed).alias("new"), k.alias("_k"))
     both = fresh.join(old, "_k", "full_outer")
     present = F.col("new").isNotNull()

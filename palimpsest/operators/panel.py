@@ -66,25 +66,27 @@ def finish_panel(states: DataFrame, down_state: str, published: Column | None =
     )
 
 
-def index_quantiles(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+def index_quantiles(df: DataFrame, value: str, by: list[str] | None = None, ranges: int = 200) -> DataFrame:
     """p25, median, p75 and max picked by index n//4, n//2, 3n//4 from the sorted values (not interpolated).
 
-    Distinct values with their counts are ranked, so a group with many equal values stays small.
+    No task sorts a whole group: values go into ranges between approximate quantiles of their group, distinct values are ranked within
+    each range, and one row per range carries the counts below.
     """
-    by = by or []
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy(*by).orderBy(value)
-    whole = Window.partitionBy(*by)
-    ranked = counts.withColumn("_to", F.sum("_n").over(upto)).withColumn("_total", F.sum("_n").over(whole)).withColumn("_from", F.col("_to") - F.col("_n"))
+    key = "_group"
+    rows = df.where(F.col(value).isNotNull()).withColumn(key, F.struct(*by) if by else F.struct(F.lit(1).alias("all")))
+    cuts = rows.groupBy(key).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10_000).alias("_cuts"), F.count("*").alias("_total"), F.max(value).alias("maximum"))
+    counts = rows.groupBy(key, value).agg(F.count("*").alias("_n")).join(cuts, key)
+    placed = counts.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    sizes = placed.groupBy(key, "_part").agg(F.sum("_n").alias("_size"))
+    below = sizes.withColumn("_below", F.sum("_size").over(Window.partitionBy(key).orderBy("_part")) - F.col("_size")).drop("_size")  # at most a row per range
+    upto = Window.partitionBy(key, "_part").orderBy(value)
+    ranked = placed.join(below, [key, "_part"]).withColumn("_to", F.sum("_n").over(upto) + F.col("_below")).withColumn("_from", F.col("_to") - F.col("_n"))
     pick = lambda i: F.max(F.when((F.col("_from") <= i) & (i < F.col("_to")), F.col(value)))
     n = F.col("_total")
-    return ranked.groupBy(*by).agg(
-        F.max("_total").alias("n"),
-        pick(F.floor(n / 4)).alias("p25"),
-        pick(F.floor(n / 2)).alias("p50"),
-        pick(F.floor(3 * n / 4)).alias("p75"),
-        F.max(value).alias("maximum"),
+    out = ranked.groupBy(key).agg(
+        F.max("_total").alias("n"), pick(F.floor(n / 4)).alias("p25"), pick(F.floor(n / 2)).alias("p50"), pick(F.floor(3 * n / 4)).alias("p75"), F.max("maximum").alias("maximum")
     )
+    return out.select(*(F.col(key)[c].alias(c) for c in by or []), "n", "p25", "p50", "p75", "maximum")
 
 
 def panel_summary(panel: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,3 +76,25 @@ def tables_present(found: DataFrame, expected: DataFrame, name: str = "name") ->
 def first_lines(df: DataFrame, file: str, seq: str, n: int) -> DataFrame:
     """The first n rows of each file."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(file).orderBy(seq))).where(F.col("_r") <= n).drop("_r")
+
+
+def shapes(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, rows, columns) of each table."""
+    counts = [df.agg(F.lit(name).alias("table"), F.count("*").alias("rows"), F.lit(len(df.columns)).alias("columns")) for name, df in tables.items()]
+    return reduce(DataFrame.union, counts)
+
+
+def profile(masters: dict[str, DataFrame], raw: DataFrame, payloads: dict[str, Column], declared: dict[str, list[str]], manual: dict[str, list[str]], documented: list[str]) -> dict[str, DataFrame]:
+    """The whole profile: shapes and fill rates of the masters, drift of their columns, tables present, keys of the raw payloads and those that nothing documents."""
+    spark = raw.sparkSession
+    keys = json_keys(raw, payloads)
+    known = spark.createDataFrame([(k,) for k in documented], "key string")
+    names = lambda xs: spark.createDataFrame([(x,) for x in sorted(xs)], "name string")
+    return {
+        "shapes": shapes(masters),
+        "fill": reduce(DataFrame.union, (fill_rates(df).select(F.lit(name).alias("table"), "*") for name, df in masters.items())),
+        "drift": reduce(DataFrame.union, (schema_drift(df, name, declared.get(name, []), manual.get(name)) for name, df in masters.items())),
+        "tables": tables_present(names(masters), names(declared)),
+        "keys": keys,
+        "undocumented": undocumented(keys, known),
+    }

@@ -89,6 +89,16 @@ def shared_set_summary(sets: DataFrame, k: int = 5) -> DataFrame:
     return sets.orderBy(F.desc("n"), F.desc("size"), sets.columns[0]).limit(k)
 
 
+def ordered_templates(sets: DataFrame) -> DataFrame:
+    """Templates (one owner), largest first, then most frequent."""
+    return sets.where("template").orderBy(F.desc("size"), F.desc("n"), sets.columns[0])
+
+
+def shared_set_totals(sets: DataFrame) -> DataFrame:
+    """How many sets are shared, and the entities they cover."""
+    return sets.agg(F.count("*").alias("sets"), F.sum("n").alias("entities"))
+
+
 def consolidation_summary(entities: DataFrame, flags: dict[str, Column]) -> DataFrame:
     """One row: entities, and how many satisfy each condition."""
     return entities.agg(F.count("*").alias("entities"), *(F.count_if(c).alias(n) for n, c in flags.items()))

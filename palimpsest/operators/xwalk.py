@@ -21,26 +21,25 @@ def attribution(bridge_rows: DataFrame, crosswalk: DataFrame, programs: DataFram
     A destination is a program (dropped if the catalog lacks it) or a field code (kept without levels if unknown).
     crosswalk: item, program, code, kind; programs: program, area, broad, narrow, detailed; codes: code.
     """
-    width = crosswalk.withColumn("_key", join_key(F.col("item"))).groupBy("_key").agg(F.count("*").alias("n_destinations"))
-    goals = crosswalk.withColumn("_key", join_key(F.col("item"))).select("_key", "program", "code", "kind").join(width, "_key")
-    hit = bridge_rows.withColumn("_key", join_key(F.col(item))).join(goals, "_key")
     full = lambda c: F.nullif(F.trim(c), F.lit(""))
-    hit = hit.withColumn("program", full("program")).withColumn("code", full("code"))
-    hit = hit.join(programs.select("program", F.lit(True).alias("_known"), F.col("area").alias("p_area"), F.col("broad").alias("p_broad"), F.col("narrow").alias("p_narrow"), F.col("detailed").alias("p_detailed")), "program", "left")
-    hit = hit.join(codes.select("code", F.lit(True).alias("_code_known")), "code", "left")
-    prefix = lambda n: F.when(F.col("_code_known") & (F.char_length("code") >= n), F.substring("code", 1, n))
     is_program = F.col("program").isNotNull()
-    hit = hit.where((is_program & F.col("_known")) | (~is_program & F.col("code").isNotNull())).withColumn("destination", F.when(is_program, F.col("program")).otherwise(F.concat(F.lit("isced:"), F.col("code"))))
-    for n, level in ((2, "broad"), (3, "narrow"), (4, "detailed")):
-        hit = hit.withColumn(level, F.when(is_program, F.col(f"p_{level}")).otherwise(prefix(n)))
-    return hit.groupBy(key, "destination").agg(
-        F.min("program").alias("program"),
-        F.min(F.when(is_program, F.col("p_area"))).alias("area"),
-        *(F.min(c).alias(c) for c in ("broad", "narrow", "detailed")),
-        F.min_by("kind", item).alias("kind"),
-        F.bool_or(F.col("n_destinations") > 1).alias("ambiguous"),
-        F.array_sort(F.collect_set(item)).alias("origins"),
-    )
+    goal = F.when(is_program, F.col("program")).otherwise(F.concat(F.lit("isced:"), F.col("code")))
+    keyed = crosswalk.select(join_key(F.col("item")).alias("_key"), full("program").alias("program"), full("code").alias("code"), "kind").withColumn("destination", goal)
+    width = keyed.groupBy("_key").agg(F.count("*").alias("n_destinations"))
+    # What a destination is: a table of the catalogs' size, apart from the mentions.
+    known = programs.select("program", F.lit(True).alias("_known"), "area", "broad", "narrow", "detailed")
+    ends = keyed.select("program", F.when(is_program, F.lit(None)).otherwise(F.col("code")).alias("code"), "destination").distinct().join(known, "program", "left").join(codes.select("code", F.lit(True).alias("_code")), "code", "left")
+    ends = ends.where((is_program & F.col("_known")) | (~is_program & F.col("code").isNotNull()))
+    prefix = lambda n: F.when(F.col("_code") & (F.char_length("code") >= n), F.substring("code", 1, n))
+    ends = ends.select("destination", "program", F.when(is_program, F.col("area")).alias("area"), *(F.when(is_program, F.col(c)).otherwise(prefix(n)).alias(c) for n, c in ((2, "broad"), (3, "narrow"), (4, "detailed"))))
+    ends = ends.groupBy("destination").agg(*(F.min(c).alias(c) for c in ("program", "area", "broad", "narrow", "detailed")))
+    # Names get their destinations once each, then the mentions (without repeats) their names'.
+    goals = keyed.join(width, "_key").join(ends.select("destination"), "destination", "left_semi").groupBy("_key", "destination").agg(F.min("kind").alias("kind"), F.bool_or(F.col("n_destinations") > 1).alias("_several"))
+    mentions = bridge_rows.select(key, item).distinct()
+    named = mentions.select(item).distinct().withColumn("_key", join_key(F.col(item))).join(goals, "_key").drop("_key")
+    hit = mentions.join(named, item)
+    rows = hit.groupBy(key, "destination").agg(F.min_by("kind", item).alias("kind"), F.bool_or("_several").alias("ambiguous"), F.array_sort(F.collect_set(item)).alias("origins"))
+    return rows.join(ends, "destination").select(key, "destination", "program", "area", "broad", "narrow", "detailed", "kind", "ambiguous", "origins")
 
 
 def coverage(mentions: DataFrame, crosswalk: DataFrame, item: str) -> DataFrame:

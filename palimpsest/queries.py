@@ -703,8 +703,12 @@ def mergeable_sets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    import palimpsest.log_queries  # noqa: F401 (registers its own)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    import palimpsest.log_queries  # noqa: F401
+
     return dict(_SQL)

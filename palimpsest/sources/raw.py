@@ -35,10 +35,14 @@ def with_order(df: DataFrame) -> DataFrame:
     return df.withColumn("ord", F.struct(*first, "file", "block", "seq")).drop("file", "block", "seq")
 
 
-def stream_raw(spark: SparkSession, path: str, schema: T.StructType = OBSERVATION, files_per_trigger: int = 100) -> DataFrame:
-    """The same from a folder to which files are added; the order within a file comes from the line's hash-free position in its batch."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    return parse_lines(lines, schema=schema)
+def stream_raw(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
+    """The lines of a folder to which files are added, with their file and block. Parse them batch by batch with ``parse_batch``, which gives the order of ``read_raw``."""
+    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+
+def parse_batch(lines: DataFrame, schema: T.StructType = OBSERVATION) -> DataFrame:
+    """Observations of one batch of stream_raw (in foreachBatch) with ``ord``: a block is read by one task from its beginning, so that row numbers order its lines."""
+    return with_order(parse_lines(lines.withColumn("seq", F.monotonically_increasing_id()), schema=schema))
 
 
 def unreadable(raw: DataFrame) -> DataFrame:
@@ -82,7 +86,30 @@ def capture_plan(candidates: DataFrame, raw: DataFrame, key: str = "aviso_id") -
     return listed.join(raw.where("detalle_ok").select(key), key, "left_anti")
 
 
+_local: list[str] = []
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new path under the folder that all executors share (spark.checkpoint.dir), or a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new path under the folder that all executors share (spark.checkpoint.dir); where none is set, a temporary one, but only if everything runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="spark-"))
+        base = _local[0]
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back, for results that several passes need."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)

@@ -1,17 +1,21 @@
 """Incremental panels: each batch folds to mergeable states, which join the stored ones.
 
-States live in versioned folders of buckets by key hash; a batch rewrites only the buckets that it touches. Since states merge in any order,
+States live in versioned folders of buckets by key hash; a batch rewrites only the buckets that it touches, and the states before them go. Since states merge in any order,
 late batches and repeats of a whole replay give the same result; a batch that ran before (same batch id) is skipped.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from palimpsest.operators.panel import latest
+from palimpsest.sources.raw import remove
+
 
 class PanelStore:
     """Stored states of a fold: ``fold`` makes states from observations, ``merge`` one state per key from several."""
@@ -22,42 +26,58 @@ class PanelStore:
     def _bucketed(self, df: DataFrame) -> DataFrame:
         return df.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
 
-    def _versions(self) -> DataFrame | None:
+    def _newest(self) -> dict[int, int]:
+        """Newest version of each bucket, from the names of the files."""
         try:
-            return self.spark.read.parquet(self.path)
+            files = self.spark.read.parquet(self.path).inputFiles()
         except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return None
+                return {}
             raise
+        newest: dict[int, int] = {}
+        for version, bucket in {tuple(map(int, m.groups())) for f in files if (m := re.search(r"/version=(\d+)/bucket=(\d+)/", f))}:
+            newest[bucket] = max(version, newest.get(bucket, version))
+        return newest
+
+    def _folder(self, version: int, bucket: int) -> str:
+        return f"{self.path}/version={version}/bucket={bucket}"
+
+    def _states(self, newest: dict[int, int]) -> DataFrame:
+        return self.spark.read.option("basePath", self.path).parquet(*(self._folder(v, b) for b, v in sorted(newest.items()))).drop("bucket", "version")
 
     def read(self) -> DataFrame | None:
         """The newest state of every bucket."""
-        stored = self._versions()
-        if stored is None:
-            return None
-        newest = stored.groupBy("bucket").agg(F.max("version").alias("version"))
-        return stored.join(F.broadcast(newest), ["bucket", "version"], "left_semi").drop("bucket", "version")
+        newest = self._newest()
+        return self._states(newest) if newest else None
 
     def update(self, batch: DataFrame, version: int) -> None:
-        """Fold a batch into the store; for foreachBatch."""
-        stored = self._versions()
-        if stored is not None and stored.where(F.col("version") >= version).limit(1).count():
+        """Fold a batch into the store; for foreachBatch. Older states of the buckets that it rewrites are deleted afterwards."""
+        newest = self._newest()
+        if newest and max(newest.values()) >= version:
             return
         new = self._bucketed(self.fold(batch)).cache()
         try:
-            if not new.limit(1).count():
+            touched = {r[0] for r in new.select("bucket").distinct().collect()}  # at most one row per bucket
+            if not touched:
                 return
-            states = new
-            if stored is not None:
-                newest = stored.groupBy("bucket").agg(F.max("version").alias("version"))
-                old = stored.join(F.broadcast(newest), ["bucket", "version"], "left_semi").drop("version")
-                states = new.unionByName(old.join(F.broadcast(new.select("bucket").distinct()), "bucket", "left_semi"))
-            merged = self._bucketed(self.merge(states.drop("bucket"))).withColumn("version", F.lit(version).cast("bigint"))
+            old = {b: v for b, v in newest.items() if b in touched}
+            states = new.drop("bucket")
+            if old:
+                states = states.unionByName(self._states(old))
+            merged = self._bucketed(self.merge(states)).withColumn("version", F.lit(version).cast("bigint"))
             merged.write.mode("append").partitionBy("version", "bucket").parquet(self.path)
+            for b, v in old.items():
+                remove(self.spark, self._folder(v, b))
         finally:
             new.unpersist()
 
 
+def latest_store(spark: SparkSession, path: str, key: str, keys: list[str], fold: Callable[[DataFrame], DataFrame], buckets: int = 16) -> PanelStore:
+    """A stored bridge: of each combination of ``keys`` the row of the last observation. ``fold`` gives rows with their ``ord``."""
+    last = lambda rows: latest(rows, keys, F.col("ord"))
+    return PanelStore(spark, path, key, lambda batch: last(fold(batch)), last, buckets)
+
+
 def run_available(stream: DataFrame, store: PanelStore, checkpoint: str) -> None:
     """Fold everything that has arrived, then stop."""
     query = stream.writeStream.foreachBatch(lambda df, n: store.update(df, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from palimpsest import queries
 from palimpsest.functions import stats
-from palimpsest.operators import baskets, cluster, dims, explore, panel, profile, quality, rules, xwalk
+from palimpsest.operators import baskets, bridges, cluster, dims, explore, panel, profile, quality, rules, xwalk
 from palimpsest.plans import consolidate as plan
 from palimpsest.plans import reports
 from palimpsest.sources import raw
 from palimpsest.sources.schemas import MANAGED, OBSERVATION
-from palimpsest.streaming.incremental import PanelStore, run_available
+from palimpsest.streaming.incremental import PanelStore, latest_store, run_available
 
 LINES = [
     '{"aviso_id":1,"fecha_scraping":"2026-08-01","periodo":"2026_08","area_scraping":"Salud","terminos":["b","a"],"detalle_ok":true,"listado":{"nombreCargo":"***"},"detalle":{"estadoOferta":"PUBLICADA","idCompany":5,"nombreEmpresaFantasia":"Uno","carreras":[{"nombreCarrera":"Música"},{"nombreCarrera":"Arte"}],"habilidades":[{"nombreHabilidad":"x","nombreNivel":""}],"instituciones":[{"idInstitucion":9,"nombreInstitucion":"U"}],"fechaPublicacionFormatoIngles":"2026-07-30 12:10"}}',
@@ -78,6 +78,8 @@ def test_upsert_keeps_manual_columns(spark):
     old = spark.createDataFrame([("1", "old", "note"), ("3", "gone", "kept"), ("", "blank", "dropped")], "id string, name string, remark string")
     out = {str(r.id): (r.name, r.remark) for r in dims.upsert_preserving_manual(new.withColumn("id", F.col("id").cast("string")), old, ["id", "name"], "id").collect()}
     assert out == {"1": ("a", "note"), "2": ("b", None), "3": ("gone", "kept")}
+    twice = spark.createDataFrame([("1", "z", {"k": "first"}), ("1", "a", {"k": "last"})], "id string, name string, remark map<string,string>").coalesce(1)
+    assert [r.remark for r in dims.upsert_preserving_manual(new.where("id = 1"), twice, ["id", "name"], "id").collect()] == [{"k": "last"}]
 
 
 def test_index_quantiles(spark):
@@ -86,7 +88,7 @@ def test_index_quantiles(spark):
 
 
 def test_streamed_panel_equals_replay(spark, log, tmp_path):
-    fold = lambda df: plan.panel_states(plan.flatten(df.withColumn("ord", F.struct(F.coalesce("fecha_scraping", F.lit("")).alias("fecha"), F.coalesce("aviso_id", F.lit(0)).alias("id"), "file"))))
+    fold = lambda lines: plan.panel_states(plan.flatten(raw.parse_batch(lines)))
     merge = lambda s: panel.merge_panels(s, "aviso_id", ["periodos_visto", "areas_scraping", "terminos_busqueda"])
     store = PanelStore(spark, str(tmp_path / "states"), "aviso_id", fold, merge, 2)
     stream = raw.stream_raw(spark, log, files_per_trigger=1)
@@ -98,6 +100,53 @@ def test_streamed_panel_equals_replay(spark, log, tmp_path):
     assert pick(got) == pick(want)
 
 
+def test_order_of_a_stream_goes_by_line(spark, tmp_path):
+    line = '{"aviso_id":1,"fecha_scraping":"2026-08-01","detalle_ok":true,"detalle":{"habilidades":[{"nombreHabilidad":"x","nombreNivel":"%s"}]}}'
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.jsonl").write_text("\n".join(line % n for n in ("low", "high", "last")) + "\n")
+    skills = lambda lines: bridges.bridge(plan.flatten(raw.parse_batch(lines)), "aviso_id", F.col("_habilidades"), F.col("ord"), {"habilidad": F.col("item.nombreHabilidad"), "nivel": F.col("item.nombreNivel")}, with_order=True)
+    store = latest_store(spark, str(tmp_path / "bridge"), "aviso_id", ["aviso_id", "habilidad"], skills, 2)
+    for name, level in (("a", "last"), ("b", "newer")):
+        if name == "b":
+            (tmp_path / "log" / "b.jsonl").write_text((line % "newer").replace("08-01", "08-02") + "\n")
+        run_available(raw.stream_raw(spark, str(tmp_path / "log"), 1), store, str(tmp_path / "checkpoint"))
+        assert [r.nivel for r in store.read().collect()] == [level]
+    assert len(list((tmp_path / "bridge").glob("version=*/bucket=*/*.parquet"))) == 1  # the state before is gone
+
+
+def right_tail(a, b, c, d):
+    log_choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    row, column, n = a + b, a + c, a + b + c + d
+    return min(1.0, math.fsum(math.exp(log_choose(row, x) + log_choose(n - row, column - x) - log_choose(n, column)) for x in range(max(a, row + column - n, 0), min(row, column) + 1)))
+
+
+def test_fisher_at_any_margin(spark):
+    rng = random.Random(3)
+    cases = [(1, 9999, 9999, 10001), (50, 1950, 1950, 2050), (0, 3, 4, 5), (3, 0, 0, 3), (0, 0, 5, 5), (5, 0, 5, 0), (250_000, 250_000, 250_000, 250_000), (250_900, 249_100, 249_100, 250_900), (10, 999_990, 999_990, 10), (900, 99_100, 100, 900_000)]
+    cases += [tuple(rng.randrange(rng.choice([3, 40, 3000])) for _ in range(4)) for _ in range(300)]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, a long, b long, c long, d long")
+    got = {r.i: r.p for r in rows.select("i", stats.fisher_right(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("p")).collect()}
+    for i, c in enumerate(cases):
+        assert got[i] == pytest.approx(right_tail(*c), rel=1e-6, abs=1e-12), c
+
+
+def test_rows_without_p_are_no_tests(spark):
+    rows = spark.createDataFrame([(1, 0.01), (2, None), (3, 0.04), (4, 0.5)], "i int, p double")
+    assert {r.i: r.q and round(r.q, 9) for r in stats.benjamini_hochberg(rows).collect()} == {1: 0.03, 2: None, 3: 0.06, 4: 0.5}
+    assert [r.q for r in stats.benjamini_hochberg(rows.where("i = 2")).collect()] == [None]
+
+
+def test_quantiles_by_ranges(spark):
+    rng = random.Random(8)
+    values = [("a", rng.randrange(10**6)) for _ in range(3000)] + [("b", 7)] * 50 + [("c", None), (None, 3), ("d", 1), ("d", 2)]
+    df = spark.createDataFrame(values, "g string, v long")
+    got = {r.g: (r.n, r.p25, r.p50, r.p75, r.maximum) for r in panel.index_quantiles(df, "v", ["g"], ranges=20).collect()}
+    for g in ("a", "b", "d", None):
+        v = sorted(x for h, x in values if h == g and x is not None)
+        assert got[g] == (len(v), v[len(v) // 4], v[len(v) // 2], v[3 * len(v) // 4], v[-1])
+    assert set(got) == {"a", "b", "d", None}
+
+
 def test_association_against_counting(spark):
     rng = random.Random(5)
     rows = [(b, i) for b in range(120) for i in rng.sample("abcdefgh", rng.randint(1, 5))]
