@@ -35,7 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import discard, lookup_join, materialize, note_table, written
@@ -283,21 +283,46 @@ def _stretches(hit: np.ndarray) -> np.ndarray:
     return np.stack([edge[::2], edge[1::2] - 1], axis=1)
 
 
-def find_spans(texts: DataFrame, unit: Unit, hot: int = 10_000, range_bytes: int = 2 << 20) -> DataFrame:
+def heavy_grams(texts: DataFrame, unit: Unit, share: float, fraction: float, least: int = 10) -> list[int]:
+    """Grams that have more than a share of the anchors of a sample of the texts: 1 / share at most. They only decide how anchors are dealt out, not what is found."""
+    some = materialize(_anchor_rows(texts.sample(fraction, seed=7), unit).groupBy("gram").agg(F.count("*").alias("n")), "sampled-grams")
+    total = some.agg(F.sum("n")).first()[0] or 0
+    return [r["gram"] for r in some.where(F.col("n") > max(least, share * total)).select("gram").collect()]
+
+
+def find_spans(texts: DataFrame, unit: Unit, hot: int = 10_000, range_bytes: int = 2 << 20, share: float = 0.002, fraction: float = 0.02, least: int = 10) -> DataFrame:
     """One row per text (key, data) with repeated windows: key, spans (array of first and last window starts).
 
-    If only other texts count (``unit.across``), each repeated window of a text is in a span at least once.
+    If only other texts count (``unit.across``), each repeated window of a text is in a span at least once. Grams with more than a ``share`` of
+    all anchors (twice what a partition holds, unless it is given) are dealt over many tasks; ``fraction`` and ``least`` say how they are found.
     """
+    spark, before = texts.sparkSession, written()
     length, k = unit.length, unit.size
-    found = materialize(_anchor_rows(texts, unit), "anchors")
-    # Anchors with the same symbols all around: their windows repeat as a whole, and one of them stands for all in what follows.
-    contexts = found.groupBy("context").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "a", "hi", "gram")).alias("first"), F.max("key").alias("other"))
-    contexts = materialize(contexts.withColumn("several", F.col("first.key") < F.col("other") if unit.across else F.col("n") > 1), "contexts")
-    twins = contexts.where("several").select("context", F.lit(True).alias("twin"))
-    spans = lookup_join(found, twins, "context", F.lit(128), 8 << 20).where("twin").select("key", F.col("lo").alias("first"), F.col("hi").alias("last"))
-    often = contexts.groupBy("first.gram").agg(F.count("*").alias("times")).where("times > 1")
-    shared = contexts.select("several", "first.*").join(often, "gram").select("key", "lo", "a", "hi", "gram", "several", "times")
-    shared = materialize(shared, "shared-anchors")
+    # One exchange by gram tells which anchors have the same symbols all around (their windows repeat as a whole; the first stands for all
+    # in what follows) and how many different ones a gram has. Grams with a large share of all anchors are dealt out, and counted apart.
+    heavy = heavy_grams(texts, unit, share, fraction, least)
+    rows = _anchor_rows(texts, unit).withColumn("heavy", F.col("gram").isin(heavy) if heavy else F.lit(False))
+    rows = rows.withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("key", "lo"), F.lit(1024))).otherwise(0)).repartition("gram", "salt")
+    same = Window.partitionBy("gram", "salt", "context")
+    alike = F.min("key").over(same) < F.max("key").over(same) if unit.across else F.count("*").over(same) > 1
+    rows = rows.withColumn("several", alike).withColumn("first", F.row_number().over(same.orderBy("key", "lo")) == 1)
+    rows = rows.withColumn("times", F.sum(F.col("first").cast("int")).over(Window.partitionBy("gram", "salt")))
+    found = materialize(rows.where(F.col("heavy") | F.col("several") | (F.col("first") & (F.col("times") > 1))).drop("salt"), "anchors")
+    light = found.where(~F.col("heavy"))
+    spans = light.where("several").select("key", F.col("lo").alias("first"), F.col("hi").alias("last"))
+    columns = ["key", "lo", "a", "hi", "gram", "several", "times"]
+    shared = light.where("first and times > 1").select(*columns)
+    if heavy:
+        dealt = found.where("heavy").select("key", "lo", "a", "hi", "gram", "context")
+        one = F.min(F.struct("key", "lo", "a", "hi", "gram")).alias("first")
+        several = F.col("first.key") < F.col("n") if unit.across else F.col("n") > 1
+        contexts = dealt.groupBy("context").agg(one, (F.max("key") if unit.across else F.count("*")).alias("n"))
+        contexts = materialize(contexts.select("context", "first", several.alias("several")), "contexts")
+        twins = contexts.where("several").select("context", F.lit(True).alias("twin"))
+        spans = spans.union(lookup_join(dealt, twins, "context", F.lit(128), 8 << 20).where("twin").select("key", "lo", "hi"))
+        times = contexts.groupBy("first.gram").agg(F.count("*").alias("times"))  # a row for each heavy gram
+        shared = shared.union(contexts.select("several", "first.*").join(F.broadcast(times), "gram").where("times > 1").select(*columns))
+    shared, spans = materialize(shared, "shared-anchors"), materialize(spans, "twins")
     cold, warm = shared.where(F.col("times") <= hot), shared.where(F.col("times") > hot)
     total, rows_hot = shared.agg(F.sum(F.when(F.col("times") <= hot, F.col("hi") - F.col("lo") + length)), F.count(F.when(F.col("times") > hot, 1))).first()
     ranges = max(1, math.ceil((total or 0) * k / range_bytes))
@@ -354,7 +379,9 @@ def find_spans(texts: DataFrame, unit: Unit, hot: int = 10_000, range_bytes: int
         again = rows.groupBy("window").agg(((F.min("key") < F.max("key")) | F.bool_or("several") if unit.across else F.count("*") > 1).alias("again")).where("again")
         hits = lookup_join(rows, again, "window", F.lit(128), 8 << 20).where("again")
         spans = spans.union(hits.select("key", F.col("at").alias("first"), F.col("at").alias("last")))
-    return spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
+    spans = materialize(spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans")), "spans")
+    discard(spark, [w for w in written()[:-1] if w not in before])
+    return spans
 
 
 def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -277,6 +277,51 @@ def brute_repeats(texts, length):
     return out
 
 
+def brute_shared_words(texts, passage):
+    cut = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for t in texts]
+    count, owners = Counter(t or "" for t in texts), {}
+    for t, w in zip(texts, cut, strict=True):
+        for i in range(len(w) - passage + 1):
+            owners.setdefault(tuple(w[i : i + passage]), set()).add(t)
+    out = []
+    for t, w in zip(texts, cut, strict=True):
+        shared = set()
+        for i in range(len(w) - passage + 1):
+            if count[t or ""] > 1 or len(owners[tuple(w[i : i + passage])]) > 1:
+                shared.update(range(i, i + passage))
+        out.append(len(shared))
+    return out
+
+
+@pytest.mark.parametrize("options", [{"hot": 1}, {"fraction": 1.0, "share": 0.0, "least": 1}, {"fraction": 1.0, "share": 0.0, "least": 1, "hot": 1}])
+def test_repeats_by_other_ways(docs, options):
+    texts = [r[1] for r in documents()]
+    want = {(hashlib.md5((t or "").encode()).digest(), n, tuple(s), k, w) for t, (n, s, k), w in zip(texts, brute_repeats(texts, 400), brute_shared_words(texts, 50), strict=True)}
+    out = repeats.without_repeats(docs, range_bytes=5_000, **options).collect()
+    assert {(bytes(r.key), r.n_bytes, tuple((x.start, x.end) for x in r.removed), bytes(r.kept), r.shared_words) for r in out} == want
+
+
+def test_repeats_of_a_text_over_several_blocks(spark):
+    rng = np.random.default_rng(4)
+    long = "".join(chr(97 + c) if c < 26 else " " for c in rng.integers(0, 30, 2_600_000))
+    texts = [long, long[2_090_000:2_100_600] + " end", long[100:480], "x" * 300, long[10:900] + long[10:900]]
+    out = repeats.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    by = {r.n_bytes: [(x.start, x.end) for x in r.removed] for r in out}
+    assert by == {len(long): [(10, 900), (2_090_000, 2_100_600)], 10_604: [(0, 10_600)], 380: [], 300: [], 1780: [(0, 1780)]}
+
+
+def test_query_of_repeats(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    texts = [r.text for r in rows]
+    want = {
+        (r.doc_id, n, sum(b - a for a, b in s), len(s), hashlib.sha256(k).hexdigest(), w)
+        for r, (n, s, k), w in zip(rows, brute_repeats(texts, 400), brute_shared_words(texts, 50), strict=True)
+    }
+    before = common.written()
+    assert {tuple(r) for r in repeats.op7_suffix_dedup(spark, "/root/testdata/sf0.001").collect()} == want
+    assert [w.rsplit("/", 1)[1].split("-")[0] for w in common.written() if w not in before] == ["digests"]
+
+
 @pytest.mark.parametrize("hot", [2000, 1])
 def test_repeats(docs, hot):
     texts = [r[1] for r in documents()]
