@@ -6,8 +6,9 @@ shingles over that of all (as multisets); a shingle weighs log(1 + items / items
 
 Which windows have to be looked at: a shared shingle stands on a diagonal (its place in the document less that in the item). If
 all the shared shingles of a window lie on diagonals beyond its beginning, moving it a word towards them loses none and can't lower its
-similarity. So the best window begins on a diagonal or between two of the same stretch, and such windows are
-laid at every diagonal, and at every place between neighbouring diagonals that are at most an item's length apart. Those around which
+similarity. So the best window begins on a diagonal or between two of the same stretch, or as near to them as the document's ends
+allow. Windows are laid at every diagonal, at every place between neighbouring diagonals that are at most an item's length apart, and, where these reach beyond an end of
+the document, both cut off there and moved inside. Those around which
 the shared shingles together weigh too little to reach the similarity are left out; all others are verified exactly,
 windows with the same words once. A Hamming radius decides nothing, since windows of similarity 0.8 can lie at any
 distance; the distance of the 64-bit SimHashes is reported beside the similarity.
@@ -99,6 +100,9 @@ def leaks_by_text(texts: DataFrame, items: DataFrame, similarity: float, shingle
     weight = 64 + F.size("places") * 56
     words = lookup_join(texts, per_text, "key", weight, BROADCAST_BYTES).where("places is not null").dropDuplicates(["key"])
     words = words.select("key", _hashed(F.col("text")).alias("hashes"), "places")
+    # Windows that reach beyond an end of the text are also laid inside it.
+    inside = lambda x: F.struct(x["item"].alias("item"), x["length"].alias("length"), F.greatest(F.lit(0), F.least(x["begin"], F.size("hashes") - x["length"])).alias("begin"))
+    words = words.withColumn("places", F.array_union("places", F.transform("places", inside)))
     begin = lambda x: F.greatest(x["begin"], F.lit(0))
     part = lambda x: F.slice("hashes", begin(x) + 1, F.least(x["length"], x["length"] + x["begin"]))
     cut = F.transform("places", lambda x: F.struct(x["item"].alias("item"), begin(x).alias("first_word"), part(x).alias("part"), F.least(F.lit(shingle), x["length"]).alias("size")))

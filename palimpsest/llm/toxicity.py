@@ -9,7 +9,7 @@ took no part in. Trees are grown on three folds, the isotonic step on the fourth
 
 Labelled rows beyond ``max_labelled`` are thinned by a hash of the id: the lexicon and the trees are fitted on a
 bounded sample, whatever the input's size, and that bound is all that is collected or broadcast. Every text is scored whole.
-Null and empty texts have zero features; rows without a label or an id train nothing. Where the labels hold fewer than
+Null and empty texts have zero features; rows without a label or an id train nothing. Where the labels, or the labelled documents, hold fewer than
 ten rows of a class, every score is the share of label 1. Columns of the input that are named like a new one are replaced.
 """
 
@@ -199,9 +199,10 @@ class ToxicityModel:
         keep = [c for c in (df.columns if keep is None else keep) if c != out]
         if self.trees is None:
             return df.select(*keep, F.lit(self.share).alias(out))
-        hidden = free_name(df, "_whole")
-        scored = self._raw(_vectors(with_features(df.select(*keep, F.col(text_col).alias(hidden)), hidden, [self.lexicon])))
-        return scored.select(*keep, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_score"))).alias(out))
+        # The other columns travel as one struct, so that their names can't clash with those used here.
+        packed = df.select((F.struct(*keep) if keep else F.lit(0)).alias("_kept"), F.col(text_col).alias("_whole"))
+        scored = self._raw(_vectors(with_features(packed, "_whole", [self.lexicon])))
+        return scored.select(*(F.col("_kept")[c].alias(c) for c in keep), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_score"))).alias(out))
 
     def _raw(self, df: DataFrame) -> DataFrame:
         out = self.trees.transform(df).withColumn("_margin", vector_to_array("probability")[1])
@@ -221,6 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = usable.where(dice < int(1_000_000 * min(1.0, max_labelled / total))).withColumn("_fold", F.pmod(F.xxhash64(F.lit("fold"), F.col(id_col)), F.lit(FOLDS)).cast("int"))
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text")).join(F.broadcast(chosen), id_col).select("_text", "_fold", F.col("_label").cast("int").alias("_label"))
     rows = materialize(rows, "labelled")
+    there = {r[0]: r[1] for r in rows.groupBy("_label").count().collect()}
+    if min(there.get(0, 0), there.get(1, 0)) < 10 or not rows.where("_fold > 0").limit(1).count():
+        return ToxicityModel({}, None, None, share)
     lexicon, without = learn_lexicons(rows, "_text", "_fold", "_label")
     ready = materialize(with_features(rows.repartition(16), "_text", without, "_fold"), "features")
     ready = _vectors(ready).withColumn("label", F.col("_label").cast("double"))

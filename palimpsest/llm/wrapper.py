@@ -353,7 +353,8 @@ def extract(
     content = F.when(
         F.array_contains("_zones", ARTICLE), F.filter(block, lambda b: (b["zone"] == ARTICLE) & ~(F.coalesce("_varies", F.lit(False)) & is_fixed(b)))
     ).otherwise(F.filter(block, lambda b: (b["zone"] == PLAIN) & ~is_fixed(b)))
-    return joined.select(*(F.col("_kept")[c].alias(c) for c in kept), F.array_join(F.transform(content, lambda b: b["text"]), "\n\n").alias(out))
+    done = joined.select("_kept", F.array_join(F.transform(content, lambda b: b["text"]), "\n\n").alias("_out"))
+    return done.select(*(F.col("_kept")[c].alias(c) for c in kept), F.col("_out").alias(out))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
