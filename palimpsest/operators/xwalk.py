@@ -75,7 +75,8 @@ def suggest(names: DataFrame, catalog: DataFrame, name: str, canon: str, ordinal
     Pairs come from a join on tokens, not a cross join: those without a common token score 0 anyway.
     """
     left = names.select(name).distinct().withColumn("_t", tokens(F.col(name), 2))
-    right = catalog.select(F.col(canon).alias("_canon"), F.col(ordinal).alias("_ord"), tokens(F.col(canon), 2).alias("_u"))
+    entries = catalog.groupBy(F.col(canon).alias("_canon")).agg(F.min(ordinal).alias("_ord"))  # repeated entries count once, as their first
+    right = entries.withColumn("_u", tokens(F.col("_canon"), 2))
     a = left.select(name, F.size("_t").alias("_nt"), F.explode("_t").alias("_w"))
     b = right.select("_canon", "_ord", F.size("_u").alias("_nu"), F.explode("_u").alias("_w"))
     shared = a.join(b, "_w").groupBy(name, "_canon", "_ord", "_nt", "_nu").agg(F.count("*").alias("_both"))

@@ -331,13 +331,13 @@ def catalog_index(spark: SparkSession, d: str) -> DataFrame:
 _TOKENS = "list_distinct(list_filter(string_split(" + _NORM + ", ' '), lambda x: length(x) > 2))"
 
 
-@query(f"""WITH a AS (SELECT DISTINCT c_name || ' ' || c_mktsegment || ' ' || c_nationkey AS name FROM customer), b AS (SELECT p_partkey AS ord, p_type || ' ' || p_name || ' household' AS canon FROM part WHERE p_partkey < 60),
+@query(f"""WITH a AS (SELECT DISTINCT c_name || ' ' || c_mktsegment || ' ' || c_nationkey AS name FROM customer), b AS (SELECT p_partkey AS ord, p_type || ' ' || p_name || ' household' AS canon FROM part),
 t AS (SELECT name, {_TOKENS.format('name')} AS t FROM a), u AS (SELECT canon, ord, {_TOKENS.format('canon')} AS u FROM b),
 j AS (SELECT name, canon, ord, len(list_intersect(t, u)) / len(list_distinct(list_concat(t, u))) AS s FROM t, u WHERE len(list_intersect(t, u)) > 0)
 SELECT name, first(canon ORDER BY s DESC, ord) AS suggestion, round_even(max(s), 2) AS score FROM j GROUP BY 1 HAVING max(s) >= 0.2""")
 def suggest_matches(spark: SparkSession, d: str) -> DataFrame:
     names = _t(spark, d, "customer").select(F.concat_ws(" ", "c_name", "c_mktsegment", "c_nationkey").alias("name"))
-    canon = _t(spark, d, "part").where("p_partkey < 60").select(F.concat_ws(" ", "p_type", "p_name", F.lit("household")).alias("canon"), F.col("p_partkey").alias("ord"))
+    canon = _t(spark, d, "part").select(F.concat_ws(" ", "p_type", "p_name", F.lit("household")).alias("canon"), F.col("p_partkey").alias("ord"))
     return xwalk.suggest(names, canon, "name", "canon", "ord", floor=0.2)
 
 
@@ -346,7 +346,7 @@ t AS (SELECT name, {_TOKENS.format('name')} AS t FROM a), u AS (SELECT canon, or
 j AS (SELECT name, canon, ord, len(list_intersect(t, u)) / len(list_distinct(list_concat(t, u))) AS s FROM t, u WHERE len(list_intersect(t, u)) > 0)
 SELECT name, first(canon ORDER BY s DESC, ord) AS suggestion, round_even(max(s), 2) AS score FROM j GROUP BY 1 HAVING max(s) >= 0.2""")
 def suggest_matches_whole(spark: SparkSession, d: str) -> DataFrame:
-    """suggest_matches with every row of the catalog."""
+    """suggest_matches from a catalog without repeats."""
     names = _t(spark, d, "customer").select(F.concat_ws(" ", "c_name", "c_mktsegment", "c_nationkey").alias("name"))
     canon = _t(spark, d, "part").groupBy(F.concat_ws(" ", "p_type", "p_name", F.lit("household")).alias("canon")).agg(F.min("p_partkey").alias("ord"))
     return xwalk.suggest(names, canon, "name", "canon", "ord", floor=0.2)
@@ -418,14 +418,13 @@ def pair_fdr(spark: SparkSession, d: str) -> DataFrame:
     return stats.benjamini_hochberg(rows).select("user_id", "p", r6("q").alias("q"))
 
 
-@query(f"""WITH {_OWNED}, pp AS (SELECT DISTINCT item, noun FROM d), bx AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 10), fq AS (SELECT l_partkey AS item, count(*) AS na FROM bx GROUP BY 1), gr AS (SELECT p_partkey AS item, p_brand AS g FROM part),
-cand AS (SELECT x.g AS "group", x.item AS a, y.item AS b, fx.na AS na, fy.na AS nb FROM gr x JOIN gr y ON x.g = y.g AND x.item < y.item JOIN fq fx ON fx.item = x.item JOIN fq fy ON fy.item = y.item WHERE fx.na >= 3 AND fy.na >= 3)
-SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM bx x JOIN bx y USING (l_orderkey) WHERE x.l_partkey = c.a AND y.l_partkey = c.b)""")
+@query("""WITH bx AS (SELECT DISTINCT l_orderkey, l_partkey // 4 AS item FROM lineitem), fq AS (SELECT item, item % 25 AS g, count(*) AS n FROM bx GROUP BY 1), sn AS (SELECT DISTINCT x.item AS a, y.item AS b FROM bx x JOIN bx y USING (l_orderkey) WHERE x.item < y.item)
+SELECT x.g AS "group", x.item AS a, y.item AS b, x.n AS na, y.n AS nb FROM fq x JOIN fq y ON x.g = y.g AND x.item < y.item WHERE x.n >= 3 AND y.n >= 3 AND NOT EXISTS (SELECT 1 FROM sn WHERE sn.a = x.item AND sn.b = y.item)""")
 def never_together(spark: SparkSession, d: str) -> DataFrame:
-    part = _t(spark, d, "part").where("p_size = 10").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("g"))
-    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(part, "l_partkey")
-    sets = baskets.baskets(rows, "l_orderkey", "l_partkey")
-    items = baskets.degrees(sets).join(part.withColumnRenamed("l_partkey", "item"), "item")
+    """Parts four by four as items, in 25 groups."""
+    rows = _t(spark, d, "lineitem").select("l_orderkey", F.floor(F.col("l_partkey") / 4).alias("item"))
+    sets = baskets.baskets(rows, "l_orderkey", "item")
+    items = baskets.degrees(sets).withColumn("g", F.col("item") % 25)
     return baskets.never_together(items, baskets.pair_counts(sets), "item", "degree", "g").select("group", "a", "b", "na", "nb")
 
 
