@@ -290,7 +290,7 @@ def heavy_grams(texts: DataFrame, unit: Unit, share: float, fraction: float, lea
     return [r["gram"] for r in some.where(F.col("n") > max(least, share * total)).select("gram").collect()]
 
 
-def find_spans(texts: DataFrame, unit: Unit, hot: int = 10_000, range_bytes: int = 2 << 20, share: float = 0.002, fraction: float = 0.02, least: int = 10) -> DataFrame:
+def find_spans(texts: DataFrame, unit: Unit, hot: int = 10_000, range_bytes: int = 2 << 20, share: float | None = None, fraction: float = 0.02, least: int = 10) -> DataFrame:
     """One row per text (key, data) with repeated windows: key, spans (array of first and last window starts).
 
     If only other texts count (``unit.across``), each repeated window of a text is in a span at least once. Grams with more than a ``share`` of
@@ -300,6 +300,7 @@ def find_spans(texts: DataFrame, unit: Unit, hot: int = 10_000, range_bytes: int
     length, k = unit.length, unit.size
     # One exchange by gram tells which anchors have the same symbols all around (their windows repeat as a whole; the first stands for all
     # in what follows) and how many different ones a gram has. Grams with a large share of all anchors are dealt out, and counted apart.
+    share = 2 / int(spark.conf.get("spark.sql.shuffle.partitions")) if share is None else share
     heavy = heavy_grams(texts, unit, share, fraction, least)
     rows = _anchor_rows(texts, unit).withColumn("heavy", F.col("gram").isin(heavy) if heavy else F.lit(False))
     rows = rows.withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("key", "lo"), F.lit(1024))).otherwise(0)).repartition("gram", "salt")
