@@ -41,7 +41,7 @@ def with_neighbours(df):
 OPERATORS = {
     "1 scan": (lambda s, df: secret_scan.scan_secrets(df.drop("spans")), True),
     "1 redact": (lambda s, df: secret_scan.redact(df), True),
-    "2 find": (lambda s, df: decontamination.find_leaks(df, bench(s)), False),
+    "2 find": (lambda s, df: decontamination.find_leaks(df, bench(s).union(s.createDataFrame([(5, documents(n=12)[12][1])], "item_id long, text string"))), False),
     "2 drop": (lambda s, df: decontamination.decontaminate(df, bench(s)), True),
     "3": (lambda s, df: toxicity.fit(df, labels_for(s, documents())).score(df), True),
     "3 reject": (lambda s, df: toxicity.reject_toxic(df, labels_for(s, documents()), threshold=2.0), True),
