@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
@@ -25,12 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str) -> str:
+    """Write df as a table in the shared folder; its path."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
 
 
 def note_table(name: str) -> None:
@@ -63,6 +68,19 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with its rows' places, from 1, in the order of the columns, without bringing all rows into one task.
+
+    Rows are dealt out by ranges, and written with the number of their range, since ranges may be cut elsewhere when they are computed again. Rows are ranked within each range; one row per range carries the count of those before.
+    """
+    part = free_name(df, "_part")
+    ranged = materialize(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy(part).agg(F.count("*").alias("_n"))
+    before = sizes.select(part, (F.sum("_n").over(Window.orderBy(part)) - F.col("_n")).alias("_before"))  # a row per range
+    inside = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return ranged.withColumn(name, inside.cast("bigint")).join(F.broadcast(before), part).withColumn(name, F.col(name) + F.col("_before")).drop(part, "_before")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
