@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import join_key, normalise, tokens
@@ -69,20 +69,59 @@ def map_terms(terms: DataFrame, catalog: DataFrame, term: str) -> DataFrame:
     return terms.join(index, term, "left").withColumn("mapped", F.coalesce("_in", F.lit(False))).drop("_in")
 
 
-def suggest(names: DataFrame, catalog: DataFrame, name: str, canon: str, ordinal: str, floor: float = 0.30) -> DataFrame:
-    """(name, suggestion, score): the catalog entry with the highest token Jaccard, first entry on ties, from ``floor`` on.
+def _prefixes(sets: DataFrame, freq: DataFrame, common: int) -> DataFrame:
+    """sets(_id, _t) with their tokens in one order for all, rarest first (``_w``), how many those are (``_n``), and from which place on they are common (``_from``)."""
+    known = sets.select("_id", F.explode("_t").alias("_w")).join(freq, "_w", "left").select("_id", F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("_w").alias("w")).alias("_s"))
+    ordered = known.groupBy("_id").agg(F.array_sort(F.collect_list("_s")).alias("_s"))  # a set's own tokens
+    return ordered.select("_id", F.transform("_s", lambda s: s["w"]).alias("_w"), F.size("_s").alias("_n"), F.size(F.filter("_s", lambda s: s["f"] <= common)).alias("_from"))
 
-    Pairs come from a join on tokens, not a cross join: those without a common token score 0 anyway.
+
+def _overlapping(a: DataFrame, b: DataFrame, n: Column, m: Column, floor: float) -> DataFrame:
+    """Rows of a and b that share a token of both prefixes, once a pair, with ``_both`` shared tokens and ``_score``. Sides bring _id, _w, _i (place), _token and sizes n and m."""
+    needed = F.ceil(floor / (1 + floor) * (n + m) - 1e-9)  # shared tokens that a pair of such sizes needs
+    pairs = a.join(b, F.col("a._token") == F.col("b._token")).where((F.col("a._i") <= n - needed) & (F.col("b._i") <= m - needed))
+    shared = F.array_intersect("a._w", "b._w")
+    pairs = pairs.withColumn("_shared", shared).where(F.element_at("_shared", 1) == F.col("a._token")).withColumn("_both", F.size("_shared"))
+    return pairs.withColumn("_score", F.col("_both") / (n + m - F.col("_both")))
+
+
+def best_matches(left: DataFrame, right: DataFrame, floor: float, common: int = 64) -> DataFrame:
+    """(_id, _best, _score) of left(_id, _t): the row of right(_id, _ord, _t) with the highest Jaccard similarity of their token sets from ``floor`` on, the least _ord on ties.
+
+    Sets are ordered rarest token first. Sets of n and m tokens that are similar enough share k(n, m) = ceil(floor / (1 + floor) * (n + m)) of them, so that their first common token is among
+    the first n - k + 1 and m - k + 1: only those are joined, and a pair is measured where that first common token is met. Tokens of more than ``common`` rows of right are never joined row by row. Pairs that
+    share rarer tokens meet at those. For pairs that share common tokens only, the score depends on nothing but the common tokens and the sizes, so it is computed between the distinct
+    (common tokens, size) of either side, with the least _ord of each: the number of those grows with the vocabulary of common tokens, not with the rows. A row that shares a rarer token as well has more than that score,
+    and is found with it.
     """
-    left = names.select(name).distinct().withColumn("_t", tokens(F.col(name), 2))
-    entries = catalog.groupBy(F.col(canon).alias("_canon")).agg(F.min(ordinal).alias("_ord"))  # repeated entries count once, as their first
-    right = entries.withColumn("_u", tokens(F.col("_canon"), 2))
-    a = left.select(name, F.size("_t").alias("_nt"), F.explode("_t").alias("_w"))
-    b = right.select("_canon", "_ord", F.size("_u").alias("_nu"), F.explode("_u").alias("_w"))
-    shared = a.join(b, "_w").groupBy(name, "_canon", "_ord", "_nt", "_nu").agg(F.count("*").alias("_both"))
-    scored = shared.withColumn("_score", F.col("_both") / (F.col("_nt") + F.col("_nu") - F.col("_both")))
-    best = scored.groupBy(name).agg(F.max_by(F.struct("_canon", "_score"), F.struct(F.col("_score"), -F.col("_ord"))).alias("b"))
-    return best.where(F.col("b._score") >= floor).select(name, F.col("b._canon").alias("suggestion"), F.bround("b._score", 2).alias("score"))
+    freq = right.select(F.explode("_t").alias("_w")).groupBy("_w").agg(F.count("*").alias("_f"))
+    ordinals = right.select("_id", "_ord")
+    a, b = (_prefixes(side.select("_id", "_t"), freq, common) for side in (left, right))
+    b = b.join(ordinals, "_id")
+    # Rare tokens, row by row. A set alone needs at least ceil(floor * n) common tokens.
+    own = lambda n: n - F.ceil(floor * n - 1e-9)
+    spread = lambda side: side.select("*", F.posexplode(F.slice("_w", 1, F.least(F.col("_from"), (own(F.col("_n")) + 1).cast("int")))).alias("_i", "_token"))
+    some = lambda side: side.where("_from > 0")
+    rare = _overlapping(spread(some(a)).alias("a"), spread(some(b)).alias("b"), F.col("a._n"), F.col("b._n"), floor)
+    rare = rare.select(F.col("a._id").alias("_id"), F.col("b._id").alias("_best"), F.col("b._ord").alias("_ord"), "_score")
+    # Common tokens, between distinct sets of them.
+    ends = lambda side: side.where("_from < _n").select("*", F.slice("_w", F.col("_from") + 1, F.col("_n")).alias("_c")).drop("_w")
+    of_left, of_right = ends(a), ends(b).groupBy("_c", "_n").agg(F.min_by(F.struct("_id", "_ord"), "_ord").alias("_r"))
+    kinds = of_left.select("_c", "_n").distinct()
+    spread_ends = lambda side: side.select("*", F.col("_c").alias("_w"), F.posexplode("_c").alias("_j", "_token")).withColumn("_i", F.col("_n") - F.size("_c") + F.col("_j"))
+    met = _overlapping(spread_ends(kinds).alias("a"), spread_ends(of_right).alias("b"), F.col("a._n"), F.col("b._n"), floor)
+    met = met.where(F.col("_score") >= floor).groupBy(F.col("a._c").alias("_c"), F.col("a._n").alias("_n")).agg(F.max_by(F.struct("b._r", "_score"), F.struct(F.col("_score"), -F.col("b._r._ord"))).alias("_m"))
+    shared = of_left.join(met, ["_c", "_n"]).select("_id", F.col("_m._r._id").alias("_best"), F.col("_m._r._ord").alias("_ord"), F.col("_m._score").alias("_score"))
+    both = rare.where(F.col("_score") >= floor).unionByName(shared)
+    return both.groupBy("_id").agg(F.max_by(F.struct("_best", "_score"), F.struct(F.col("_score"), -F.col("_ord"))).alias("_m")).select("_id", "_m.*")
+
+
+def suggest(names: DataFrame, catalog: DataFrame, name: str, canon: str, ordinal: str, floor: float = 0.30, common: int = 64) -> DataFrame:
+    """(name, suggestion, score): the catalog entry with the highest token Jaccard, first entry on ties, from ``floor`` on (more than 0). See ``best_matches``."""
+    left = names.select(F.col(name).alias("_id")).where(F.col(name).isNotNull()).distinct().withColumn("_t", tokens(F.col("_id"), 2))
+    entries = catalog.groupBy(F.col(canon).alias("_id")).agg(F.min(ordinal).alias("_ord"))  # repeated entries count once, as their first
+    best = best_matches(left, entries.withColumn("_t", tokens(F.col("_id"), 2)), floor, common)
+    return best.select(F.col("_id").alias(name), F.col("_best").alias("suggestion"), F.bround("_score", 2).alias("score"))
 
 
 def exact_match(names: DataFrame, catalog: DataFrame, name: str, canon: str, ordinal: str) -> DataFrame:
