@@ -656,20 +656,20 @@ def _segments(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query()
 def upgma_merges(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.upgma_by_segment(cluster.distances(*_segments(spark, d))).withColumn("height", r6("height"))
+    return cluster.upgma(*_segments(spark, d)).withColumn("height", r6("height"))
 
 
 @query()
 def elbow_k(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.elbow(cluster.upgma_by_segment(cluster.distances(*_segments(spark, d))))
+    return cluster.elbow(cluster.upgma(*_segments(spark, d)))
 
 
 @query()
 def ari_curve(spark: SparkSession, d: str) -> DataFrame:
     """Agreement of every cut with the nouns."""
     pairs, freq = _segments(spark, d)
-    table = cluster.distances(pairs, freq)
-    labels = cluster.cuts(cluster.upgma_by_segment(table), table.select("segment", "items"))
+    names = freq.groupBy("segment").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    labels = cluster.cuts(cluster.upgma(pairs, freq), names)
     nouns = freq.select("item", F.element_at(F.split("item", " "), -1).alias("group")).distinct()
     return cluster.agreement_curve(labels, nouns).withColumn("ari", r6("ari"))
 
