@@ -55,20 +55,20 @@ def lift(both: Column, na: Column, nb: Column, n: Column) -> Column:
     return F.when((na > 0) & (nb > 0), both.cast("double") * n / (na.cast("double") * nb)).otherwise(F.lit(float("inf")))
 
 
-def benjamini_hochberg(df: DataFrame, p: str = "p", out: str = "q", groups: int = 200) -> DataFrame:
+def benjamini_hochberg(df: DataFrame, p: str = "p", out: str = "q", groups: int = 200, salts: int = 32) -> DataFrame:
     """Adds q: the least p * m / rank over equal and higher ranks, at most 1.
 
-    No single task sorts all: p-values go into ranges between quantiles, ranks and minima are taken within
-    each range, and one row per range carries the counts below and the minimum above. Rows without p are no tests: they don't count, and have no q.
+    No single task sorts all: distinct p-values go into ranges between quantiles, ranks and minima are taken within
+    each range, and one row per range carries the counts below and the minimum above. A row then looks up its value's q. Values that many rows have (1 often is most of them) are counted before the shuffle, and
+    there are fewer than ``10 * groups`` with more than that share of the rows: they are known to every task, and their rows, like those without p, are dealt over ``salts`` keys, so that none of them fills a task. Rows without p are no tests: they don't count, and have no q.
     """
     m = df.where(F.col(p).isNotNull()).count()
     if not m:
         return df.withColumn(out, F.lit(None).cast("double"))
     cuts = sorted(set(df.agg(F.percentile_approx(p, [i / groups for i in range(1, groups)], 10_000)).first()[0])) if m > 10_000 else []
     part = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col(p)))
-    placed = df.withColumn("_part", part)
     # Equal values are in one range, and the highest rank of equals gives the least quotient: so ranks count values up to and including p.
-    values = placed.where(F.col(p).isNotNull()).groupBy("_part", p).agg(F.count("*").alias("_n"))
+    values = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_n")).withColumn("_part", part)
     up_to = Window.partitionBy("_part").orderBy(p)
     values = values.withColumn("_rank", F.sum("_n").over(up_to))
     sizes = values.groupBy("_part").agg(F.sum("_n").alias("_size"))
@@ -78,7 +78,13 @@ def benjamini_hochberg(df: DataFrame, p: str = "p", out: str = "q", groups: int
     above = least.withColumn("_above", F.min("_least").over(Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1))).drop("_least")
     down_to = Window.partitionBy("_part").orderBy(F.desc(p))
     values = values.join(F.broadcast(above), "_part").withColumn(out, F.least(F.lit(1.0), F.coalesce("_above", F.lit(1.0)), F.min("_q").over(down_to)))
-    return placed.join(values.select("_part", p, out), ["_part", p], "left").select(*df.columns, out)
+    heavy = F.col("_n") > m // (10 * groups)
+    common = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n")).where(heavy).select("_p", F.lit(True).alias("_heavy"))
+    flagged = df.join(F.broadcast(common), F.col(p) == F.col("_p"), "left").drop("_p")
+    salt = F.when(F.col("_heavy") | F.col(p).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).otherwise(0)
+    every = values.select(F.col(p).alias("_p"), out, F.explode(F.sequence(F.lit(0), F.when(heavy, salts - 1).otherwise(0))).alias("_salt"))
+    dealt = flagged.withColumn("_salt_", salt)
+    return dealt.join(every, (F.col(p) == F.col("_p")) & (F.col("_salt_") == F.col("_salt")), "left").select(*df.columns, out)
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:

@@ -69,23 +69,29 @@ def finish_panel(states: DataFrame, down_state: str, published: Column | None =
 def index_quantiles(df: DataFrame, value: str, by: list[str] | None = None, ranges: int = 200) -> DataFrame:
     """p25, median, p75 and max picked by index n//4, n//2, 3n//4 from the sorted values (not interpolated).
 
-    No task sorts a whole group: values go into ranges between approximate quantiles of their group, distinct values are ranked within
-    each range, and one row per range carries the counts below.
+    Selection by counting: approximate quantiles a little below and above each of the three places (by 1 / (50 * ranges) of the rows) cut a group's values into seven ranges. Rows are counted by range, before the shuffle, which tells for
+    certain in which range each place lies; only the values of those ranges are counted one by one and ranked. Three passes over two columns; what is shuffled is a row per range, and about 3 / (25 * ranges) of the values.
     """
-    key = "_group"
-    rows = df.where(F.col(value).isNotNull()).withColumn(key, F.struct(*by) if by else F.struct(F.lit(1).alias("all")))
-    cuts = rows.groupBy(key).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10_000).alias("_cuts"), F.count("*").alias("_total"), F.max(value).alias("maximum"))
-    counts = rows.groupBy(key, value).agg(F.count("*").alias("_n")).join(cuts, key)
-    placed = counts.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    sizes = placed.groupBy(key, "_part").agg(F.sum("_n").alias("_size"))
-    below = sizes.withColumn("_below", F.sum("_size").over(Window.partitionBy(key).orderBy("_part")) - F.col("_size")).drop("_size")  # at most a row per range
-    upto = Window.partitionBy(key, "_part").orderBy(value)
-    ranked = placed.join(below, [key, "_part"]).withColumn("_to", F.sum("_n").over(upto) + F.col("_below")).withColumn("_from", F.col("_to") - F.col("_n"))
-    pick = lambda i: F.max(F.when((F.col("_from") <= i) & (i < F.col("_to")), F.col(value)))
-    n = F.col("_total")
-    out = ranked.groupBy(key).agg(
-        F.max("_total").alias("n"), pick(F.floor(n / 4)).alias("p25"), pick(F.floor(n / 2)).alias("p50"), pick(F.floor(3 * n / 4)).alias("p75"), F.max("maximum").alias("maximum")
-    )
+    key, at, places = "_group", F.col(value), (0.25, 0.5, 0.75)
+    rows = df.where(at.isNotNull()).select(at.alias(value), (F.struct(*by) if by else F.struct(F.lit(1).alias("all"))).alias(key))
+    near = [q + sign / (50 * ranges) for q in places for sign in (-1, 1)]
+    cuts = rows.groupBy(key).agg(F.percentile_approx(value, near, 100 * ranges).alias("_cuts"), F.count("*").alias("n"), F.max(value).alias("maximum"))
+    part = sum(((F.col("_cuts")[i] < at).cast("int") for i in range(len(near))), F.lit(0))
+    sized = rows.join(cuts.select(key, "_cuts"), key).groupBy(key, part.alias("_part")).agg(F.count("*").alias("_size"))
+    w = Window.partitionBy(key).orderBy("_part")  # at most seven rows
+    bounds = sized.withColumn("_to", F.sum("_size").over(w)).withColumn("_from", F.col("_to") - F.col("_size")).join(cuts, key)
+    index = [F.floor(F.col("n") * k / 4) for k in (1, 2, 3)]
+    held = [(F.col("_from") <= i) & (i < F.col("_to")) for i in index]
+    wanted = bounds.where(held[0] | held[1] | held[2])
+    # The rows of those ranges: above the cut below, up to the cut above.
+    low, high = F.when(F.col("_part") > 0, F.col("_cuts")[F.col("_part") - 1]), F.when(F.col("_part") < len(near), F.col("_cuts")[F.col("_part")])
+    wanted = wanted.select(key, "_from", "n", "maximum", low.alias("_low"), high.alias("_high"))
+    inside = rows.join(wanted, key).where((F.col("_low").isNull() | (at > F.col("_low"))) & (F.col("_high").isNull() | (at <= F.col("_high"))))
+    values = inside.groupBy(key, "_from", value).agg(F.count("*").alias("_k"), F.max("n").alias("n"), F.max("maximum").alias("maximum"))
+    to = F.sum("_k").over(Window.partitionBy(key, "_from").orderBy(value)) + F.col("_from")
+    ranked = values.withColumn("_to", to).withColumn("_from", F.col("_to") - F.col("_k"))
+    pick = [F.max(F.when(h, at)).alias(name) for h, name in zip(held, ("p25", "p50", "p75"), strict=True)]
+    out = ranked.groupBy(key).agg(F.max("n").alias("n"), *pick, F.max("maximum").alias("maximum"))
     return out.select(*(F.col(key)[c].alias(c) for c in by or []), "n", "p25", "p50", "p75", "maximum")
 
 

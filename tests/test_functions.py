@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +110,23 @@ def test_adjusted_rand(spark):
     df = spark.createDataFrame(rows, "i long, a long, b long")
     assert stats.adjusted_rand(df, "a", "a").first().ari == pytest.approx(1.0)
     assert math.isnan(stats.adjusted_rand(df.withColumn("o", F.lit(1)).withColumn("z", F.lit(1)), "o", "z").first().ari)
+
+
+def test_most_rows_with_one_p_fill_no_task(spark):
+    """40,000 rows, of which 90 % have p = 1 and a few none: shuffled over 8 partitions, none gets more than a third."""
+    rows = spark.range(40_000).select("id", F.when(F.col("id") % 50 == 1, F.lit(None)).when(F.col("id") % 10 == 0, (F.col("id") + 1) / 40_000).otherwise(1.0).alias("p"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("false", "8", "-1"), strict=True):
+            spark.conf.set(k, v)
+        out = stats.benjamini_hochberg(rows).withColumn("at", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    p = sorted(r.p for r in out if r.p is not None)
+    least, q = 1.0, {}
+    for k in range(len(p), 0, -1):
+        least = min(least, p[k - 1] * len(p) / k)
+        q[p[k - 1]] = min(least, q.get(p[k - 1], 1.0))
+    assert len(out) == 40_000 and all(r.q is None if r.p is None else abs(r.q - q[r.p]) < 1e-12 for r in out)
+    assert max(Counter(r.at for r in out).values()) < 40_000 / 3

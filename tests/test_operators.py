@@ -147,6 +147,17 @@ def test_quantiles_by_ranges(spark):
     assert set(got) == {"a", "b", "d", None}
 
 
+def test_quantiles_of_many_shapes(spark):
+    """Ties, steps, one value that most rows have, and group sizes around every boundary."""
+    rng = random.Random(9)
+    shapes = {f"n{n}": [rng.random() for _ in range(n)] for n in (1, 2, 3, 4, 5, 7, 8, 49, 50, 51, 2000)}
+    shapes |= {"same": [3.0] * 5000, "most": [1.0] * 4000 + [rng.random() for _ in range(900)], "steps": [float(k // 1000) for k in range(6000)], "edge": [0.0] * 1250 + [1.0] * 3750, "skew": [10.0 ** rng.randrange(-300, 300) for _ in range(3000)]}
+    df = spark.createDataFrame([(g, v) for g, vs in shapes.items() for v in vs], "g string, v double").repartition(5)
+    for ranges in (1, 200):
+        got = {r.g: (r.n, r.p25, r.p50, r.p75, r.maximum) for r in panel.index_quantiles(df, "v", ["g"], ranges=ranges).collect()}
+        assert got == {g: (len(v), v[len(v) // 4], v[len(v) // 2], v[3 * len(v) // 4], v[-1]) for g, v in ((g, sorted(vs)) for g, vs in shapes.items())}
+
+
 def test_association_against_counting(spark):
     rng = random.Random(5)
     rows = [(b, i) for b in range(120) for i in rng.sample("abcdefgh", rng.randint(1, 5))]
