@@ -15,7 +15,7 @@ from palimpsest.functions import scalars as sc
 from palimpsest.functions import stats, text
 from palimpsest.operators import baskets, bridges, cluster, dims, explore, panel, profile, quality, rules, xwalk
 from palimpsest.sources.raw import scratch_dir
-from palimpsest.streaming.incremental import PanelStore, run_available
+from palimpsest.streaming.incremental import PanelStore, capture_available, capture_store, deduplicated, run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -692,6 +692,26 @@ def stream_panel_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     return panel.finish_panel(store.read(), "error").select(*_panel_columns())
 
 
+@query("""WITH n AS (SELECT *, least((day(ts) - 1) // 10, 2) AS part FROM events), f AS (SELECT user_id, min(part) FILTER (event_type <> 'error') AS part FROM n GROUP BY 1)
+SELECT user_id, first(event_id ORDER BY event_type = 'error', ts, event_id) AS event_id, bool_or(event_type <> 'error') AS ok, count(*) AS tries FROM n JOIN f USING (user_id) WHERE f.part IS NULL OR n.part <= f.part GROUP BY 1""")
+def stream_resume(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a month as sightings of users in three parts by day, each part twice, and the first part once more at the end; an error is a failed capture.
+
+    Of the repeats, those within the watermark are known, and later ones too late. A user is tried with every sighting up to the part in which a capture succeeds.
+    """
+    e = _t(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"))
+    part = F.least(F.floor((F.day("ts") - 1) / 10), F.lit(2))
+    path = scratch_dir(spark, "sightings")
+    for k in (0, 0, 1, 1, 2, 2, 0):
+        e.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    stream = deduplicated(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path), "ts", ["event_id"], "1 day")
+    store = capture_store(spark, scratch_dir(spark, "captures"), "user_id", "ok", "ord", buckets=4)
+    checkpoint = scratch_dir(spark, "stream")
+    for _ in range(2):  # the second run finds nothing new
+        capture_available(stream.withColumn("ord", F.struct("ts", "event_id")), store, checkpoint, "ok")
+    return store.read().select("user_id", "event_id", "ok", "tries")
+
+
 @query("SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags, count(DISTINCT l_partkey) AS items FROM lineitem GROUP BY 1")
 def mergeable_sets(spark: SparkSession, d: str) -> DataFrame:
     """Sets and counts of each order's lines, united from two halves."""
