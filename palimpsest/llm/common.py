@@ -25,17 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
-def stored(df: DataFrame, name: str) -> str:
-    """Write df as a table in the shared folder; its path."""
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
-    return path
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
+def stored(df: DataFrame, name: str) -> str:
+    """The same without reading it back: the table's path, for tables that are read together."""
+    materialize(df, name)
+    return _written[-1]
 
 
 def note_table(name: str) -> None:

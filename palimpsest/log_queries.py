@@ -82,6 +82,18 @@ def log_unreadable(spark: SparkSession, d: str) -> DataFrame:
     return raw.read_raw(spark, path).groupBy("periodo").agg(F.count("*").alias("lines"), F.count("_corrupt").alias("unreadable"))
 
 
+@query(f"""WITH {_OBS} SELECT 'crudo_' || trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '_', 'g'), '_') || '_' || strftime(dt, '%Y_%m') AS part, count(*) AS lines, count(*) FILTER (det) AS captured FROM o
+WHERE strftime(dt, '%Y_%m') IN ('1995_01', '1995_02') AND o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY 1""")
+def log_appended(spark: SparkSession, d: str) -> DataFrame:
+    """The log appended in two runs, partitioned, and two months of two areas of it read back."""
+    path, log = raw.scratch_dir(spark, "crudo"), raw.with_order(raw.parse_lines(_lines(spark, d)))
+    for k in (0, 1):
+        raw.append_raw(log.where(F.col("ord.seq") % 2 == k), path)
+    some = raw.read_appended(spark, path, log.schema, ["1995_01", "1995_02"], ["1-URGENT", "5-LOW"])
+    part = raw.raw_partition(F.col("area_scraping"), F.col("periodo")).alias("part")
+    return some.groupBy(part).agg(F.count("*").alias("lines"), F.count_if("detalle_ok").alias("captured"))
+
+
 _LAST = "row_number() OVER (PARTITION BY {} ORDER BY dt DESC, k DESC) = 1"
 
 

@@ -1,7 +1,7 @@
 """What is requested together: item sets, pairs, networks, association measures.
 
-Pairs come from the sorted array inside each row (no self-join, no shuffle before the count); a set with
-more than ``upper`` items is a template and must be filtered before, since its pairs grow with the square.
+Pairs come from the sorted array inside each row (no self-join, no shuffle before the count). A set with
+more than ``upper`` items is a template and should be filtered before, since its pairs grow with the square; one that isn't is cut into blocks.
 """
 
 from __future__ import annotations
@@ -43,8 +43,31 @@ def degrees(sets: DataFrame, by: list[str] | None = None) -> DataFrame:
     return sets.select(*(by or []), F.explode("items").alias("item")).groupBy(*(by or []), "item").agg(F.count("*").alias("degree"))
 
 
-def pair_counts(sets: DataFrame, by: list[str] | None = None) -> DataFrame:
-    return sets.where(F.size("items") > 1).select(*(by or []), F.explode(pairs_in(F.col("items"))).alias("p")).groupBy(*(by or []), F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
+def block_pairs(sets: DataFrame, by: list[str], block: int) -> DataFrame:
+    """(by, p: struct(a, b)) of all pairs of sets of any size: a set is cut into blocks of items, and pairs are made block by block.
+
+    First each block becomes a row, with the items from there on; those rows are dealt out anew. In its task, such a row meets every later block in turn. So a set of n items is spread over
+    n / block rows, none of which ever holds more than the items themselves and block * block pairs.
+    """
+    size = F.size("items")
+    starts = sets.select(*by, "items", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / block).cast("int"))).alias("_i"))
+    tails = starts.select(*by, "_i", F.slice("items", F.col("_i") * block + 1, size).alias("_rest"))
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, since the rows are small and their pairs aren't
+    dealt = tails.repartition(tasks, "_i", F.col("_rest")[0])
+    blocks = F.floor((F.size("_rest") - 1) / block).cast("int")
+    met = dealt.select(*by, F.slice("_rest", 1, block).alias("_one"), "_rest", F.explode(F.sequence(F.lit(0), blocks)).alias("_j"))
+    met = met.select(*by, "_one", "_j", F.slice("_rest", F.col("_j") * block + 1, block).alias("_other"))
+    across = F.flatten(F.transform("_one", lambda x: F.transform("_other", lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    return met.select(*by, F.explode(F.when(F.col("_j") == 0, pairs_in(F.col("_one"))).otherwise(across)).alias("p"))
+
+
+def pair_counts(sets: DataFrame, by: list[str] | None = None, block: int = 512) -> DataFrame:
+    """(by, a, b, n): in how many sets both items are. Sets of up to ``block`` items give their pairs in place; larger ones in blocks over many tasks."""
+    by = by or []
+    some = sets.where(F.size("items") > 1)
+    small = some.where(F.size("items") <= block).select(*by, F.explode(pairs_in(F.col("items"))).alias("p"))
+    large = block_pairs(some.where(F.size("items") > block), by, block)
+    return small.union(large).groupBy(*by, F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
 
 
 def association(sets: DataFrame) -> DataFrame:

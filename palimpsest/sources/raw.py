@@ -51,8 +51,16 @@ def unreadable(raw: DataFrame) -> DataFrame:
 
 
 def append_raw(df: DataFrame, path: str) -> None:
-    """Append observations, partitioned by period and area."""
-    df.write.mode("append").partitionBy("periodo", "area_scraping").parquet(path)
+    """Append observations, partitioned by period and area. Rows are brought together by those two before, and Spark splits large parts: so each run adds few files to a part, and a common area isn't one task's work."""
+    df.hint("rebalance", "periodo", "area_scraping").write.mode("append").partitionBy("periodo", "area_scraping").parquet(path)
+
+
+def read_appended(spark: SparkSession, path: str, schema: T.StructType, periods: list[str] | None = None, areas: list[str] | None = None) -> DataFrame:
+    """What ``append_raw`` has written, of some periods or areas only: other parts' files aren't opened. The schema keeps an area or a period that looks like a number a text."""
+    df = spark.read.schema(schema).parquet(path)
+    for column, wanted in (("periodo", periods), ("area_scraping", areas)):
+        df = df.where(F.col(column).isin(wanted)) if wanted is not None else df
+    return df
 
 
 def raw_partition(area: Column, period: Column) -> Column:

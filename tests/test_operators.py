@@ -1,5 +1,7 @@
+import itertools
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,6 +176,23 @@ def test_association_against_counting(spark):
     assert sum(degree.values()) == sum(map(len, by.values()))
 
 
+@pytest.mark.parametrize("block", [1, 2, 7, 512])
+def test_pairs_in_blocks(spark, block):
+    rng = random.Random(block)
+    rows = [(g, sorted(rng.sample(range(40), rng.choice([0, 1, 2, 7, 8, 14, 15, 33])))) for g in "ab" for _ in range(12)]
+    got = {(r.g, r.a, r.b): r.n for r in baskets.pair_counts(spark.createDataFrame(rows, "g string, items array<int>"), ["g"], block).collect()}
+    assert got == Counter((g, a, b) for g, items in rows for a, b in itertools.combinations(items, 2))
+
+
+def test_a_very_large_set_is_spread_over_tasks(spark):
+    """6,000 items, so 17,997,000 pairs; counted by where they are made."""
+    sets = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(5_999)), lambda x: x.cast("int")).alias("items"))
+    made = baskets.block_pairs(sets, [], 128).groupBy(F.spark_partition_id().alias("at")).agg(F.count("*").alias("n"), F.sum(F.col("p.b") - F.col("p.a")).alias("gap")).collect()
+    total = sum(r.n for r in made)
+    assert total == 6_000 * 5_999 // 2 and sum(r.gap for r in made) == sum(d * (6_000 - d) for d in range(6_000))
+    assert len(made) >= 3 and max(r.n for r in made) < 0.6 * total
+
+
 def test_clusters(spark):
     names = ["a", "b", "c", "d", "e"]
     near = [("s", "a", "b", 0.9), ("s", "a", "c", 0.4), ("s", "b", "c", 0.2), ("s", "d", "e", 0.8)]
@@ -252,6 +271,23 @@ def test_tables(spark, tmp_path):
     assert raw.read_table(spark, str(tmp_path / "x.csv"), spark.createDataFrame([], "a long, b string").schema, "csv").first().b == "x"
 
 
+def test_appended_parts_are_pruned(spark, tmp_path):
+    schema = "id long, periodo string, area_scraping string"
+    path = str(tmp_path / "crudo")
+    for run in (0, 1):
+        rows = [(10 * run + i, f"2026_0{i % 3}", str(i % 2)) for i in range(6)]
+        raw.append_raw(spark.createDataFrame(rows, schema).repartition(5), path)
+    some = raw.read_appended(spark, path, spark.createDataFrame([], schema).schema, ["2026_01"], ["0"])
+    assert sorted(tuple(r) for r in some.collect()) == [(4, "2026_01", "0"), (14, "2026_01", "0")]
+    shown = some._jdf.queryExecution().executedPlan().toString()
+    filters = shown.split("PartitionFilters: [")[1].split("]")[0]
+    assert "(periodo#" in filters and "(area_scraping#" in filters
+    assert len(some.inputFiles()) == 12  # of all parts, one file a part and run: few tasks, few files
+    assert raw.read_appended(spark, path, some.schema).count() == 12
+    name = spark.range(1).select(raw.raw_partition(F.lit("Ingeniería y Minas"), F.lit("2026_01"))).first()[0]
+    assert name == "crudo_ingenieria_y_minas_2026_01"
+
+
 def test_generic_and_empty(spark):
     df = spark.createDataFrame([], "k int, o string, t string, h string, areas array<string>")
     assert quality.threshold_gap(df, "k").first().gap is True
