@@ -387,10 +387,11 @@ def queue_counts(spark: SparkSession, d: str) -> DataFrame:
 # ── Profiles ───────────────────────────────────────────────────────────────
 
 
-@query("""SELECT * FROM (VALUES ('o_orderkey', 'code', true), ('o_gone', 'absent', false), ('o_custkey', 'manual', true), ('o_orderstatus', 'unexpected', false), ('o_totalprice', 'unexpected', false), ('o_orderdate', 'unexpected', false), ('o_orderpriority', 'unexpected', false), ('o_old', 'orphan gloss', true)) v("column", origin, documented)
-WHERE (SELECT count(*) FROM orders) >= 0""")
+@query("""WITH v AS (SELECT * FROM (VALUES ('o_orderkey', 'code', true), ('o_gone', 'absent', false), ('o_custkey', 'manual', true), ('o_orderstatus', 'unexpected', false), ('o_totalprice', 'unexpected', false), ('o_orderdate', 'unexpected', false), ('o_orderpriority', 'unexpected', false), ('o_old', 'orphan gloss', true)) v("column", origin, documented)),
+f AS (SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS "column", count(*) AS rows, unnest([count(o_orderkey), count(o_custkey), count(nullif(trim(o_orderstatus), '')), count(o_totalprice), count(o_orderdate), count(nullif(trim(o_orderpriority), ''))]) AS filled FROM orders)
+SELECT v.*, f.rows, f.filled FROM v LEFT JOIN f USING ("column")""")
 def schema_drift(spark: SparkSession, d: str) -> DataFrame:
-    return profile.schema_drift(_t(spark, d, "orders"), "orders", ["o_orderkey", "o_gone"], ["o_custkey"], ["o_orderkey", "o_custkey", "o_old"]).drop("table")
+    return profile.drift_report(_t(spark, d, "orders"), "orders", ["o_orderkey", "o_gone"], ["o_custkey"], ["o_orderkey", "o_custkey", "o_old"]).drop("table")
 
 
 _KEYS = """kv AS (SELECT json_keys(j) AS ks, j FROM (SELECT '{"k' || event_id % 3 || '":"' || user_id || '","e":""}' AS j FROM events)), kk AS (SELECT unnest(ks) AS key, j FROM kv)"""
@@ -407,9 +408,17 @@ def undocumented_keys(spark: SparkSession, d: str) -> DataFrame:
     return _profile(spark, d)["undocumented"].select("key", "n_records", "filled", n(F.col("distinct_values")).alias("distinct_values"))
 
 
-@query("SELECT 'nation' AS name, 'present' AS status UNION ALL SELECT 'region', 'present' UNION ALL SELECT 'orders', 'unknown' UNION ALL SELECT 'gone', 'missing' WHERE (SELECT count(*) FROM orders) >= 0")
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("WITH r AS (" + " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in _TABLES) + """) SELECT name, CASE WHEN name IN ('nation', 'region', 'orders') THEN 'present' ELSE 'unknown' END AS status, rows FROM r UNION ALL SELECT 'gone', 'missing', NULL""")
 def tables_listed(spark: SparkSession, d: str) -> DataFrame:
-    return _profile(spark, d)["tables"]
+    """The tables of the folder against those that are expected, with the rows that each has."""
+    found = raw.tables_in(spark, d)
+    names = [r["name"] for r in found.collect()]  # files of one folder
+    rows = profile.shapes({t: _t(spark, d, t) for t in names}).select(F.col("table").alias("name"), "rows")
+    expected = spark.createDataFrame([("nation",), ("region",), ("orders",), ("gone",)], "name string")
+    return profile.tables_present(found, expected).join(rows, "name", "left")
 
 
 @query("SELECT 'nation' AS \"table\", count(*) AS rows, 3 AS columns FROM nation UNION ALL SELECT 'region', count(*), 2 FROM region UNION ALL SELECT 'orders', count(*), 6 FROM orders")

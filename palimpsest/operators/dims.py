@@ -13,6 +13,11 @@ def item_dim(bridge_rows: DataFrame, observations: DataFrame, key: str, item: st
     return counts.join(seen, item, "left")
 
 
+def ordered_items(items: DataFrame, item: str) -> DataFrame:
+    """Items by how many specific entities declare them, then by all, then by name."""
+    return items.orderBy(F.desc("n_specific"), F.desc("n_all"), item)
+
+
 def canonical_names(observations: DataFrame, key: str, name: str, ord: Column, usable: Column) -> DataFrame:
     """Most frequent usable name per key (ties: first seen), and the counts of all. Counts by (key, name) come first, so a key isn't gathered."""
     each = observations.where(usable & F.col(name).isNotNull() & (F.col(name) != "")).groupBy(key, name).agg(F.count("*").alias("n"), F.min(ord).alias("first"))

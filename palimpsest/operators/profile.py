@@ -62,6 +62,11 @@ def schema_drift(df: DataFrame, table: str, declared: list[str], manual: list[st
     return df.sparkSession.createDataFrame(rows, "`table` string, `column` string, origin string, documented boolean")
 
 
+def drift_report(df: DataFrame, table: str, declared: list[str], manual: list[str] | None = None, glossed: list[str] | None = None) -> DataFrame:
+    """The drift of a table's columns with how full each is: rows and filled cells (null for columns that aren't there)."""
+    return schema_drift(df, table, declared, manual, glossed).join(fill_rates(df).select("column", "rows", "filled"), "column", "left")
+
+
 def undocumented(profile: DataFrame, known: DataFrame, key: str = "key") -> DataFrame:
     """Keys of a profile that the documentation lacks, with their evidence."""
     return profile.join(known.select(key), key, "left_anti")

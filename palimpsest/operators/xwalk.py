@@ -56,6 +56,16 @@ def orphans(mentions: DataFrame, crosswalk: DataFrame, item: str, n: int = 10) -
     return rest.groupBy(item).agg(F.count("*").alias("mentions")).orderBy(F.desc("mentions"), item).limit(n)
 
 
+def catalog_rows(nested: DataFrame) -> DataFrame:
+    """(area, term, name, ordinal) from the catalog's nested form: areas in order, each with a map of terms to names in order. nested: place, area, entries (array of term and name).
+
+    A term that an area repeats counts with its last name, in its first place, as in a map.
+    """
+    rows = nested.select("place", "area", F.posexplode("entries").alias("at", "e")).select("place", "area", "at", "e.term", "e.name")
+    once = rows.groupBy("place", "area", "term").agg(F.max_by("name", "at").alias("name"), F.min("at").alias("at"))
+    return once.select("area", "term", "name", F.struct("place", "at").alias("ordinal"))
+
+
 def catalog_index(catalog: DataFrame) -> DataFrame:
     """Per term: name (of the first area), sorted areas, and whether areas disagree on the name. catalog: area, term, name, ordinal."""
     return catalog.groupBy("term").agg(

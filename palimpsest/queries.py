@@ -504,12 +504,16 @@ r AS (SELECT t.*, z.k, z.o_custkey % 50 AS owner, length(term) > 3 AND strpos(CA
 o AS (SELECT term, max(c) AS top FROM (SELECT term, owner, count(*) AS c FROM r GROUP BY 1, 2) GROUP BY 1)
 SELECT term, count(*) AS n, round(avg(CAST(ti AS INT)), 6) AS in_title, round(count(*) FILTER (k <= {UPPER} AND mi) / count(*) FILTER (k <= {UPPER}), 6) AS in_items, round(any_value(top) / count(*), 6) AS top1 FROM r JOIN o USING (term) GROUP BY 1""")
 def term_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    return _terms(spark, d).select("term", "n", *(r6(c).alias(c) for c in ("in_title", "in_items", "top1")))
+
+
+def _terms(spark: SparkSession, d: str, one: float = 0.30) -> DataFrame:
     rows, orders = declared(spark, d), _sized(spark, d).withColumnRenamed("o_orderkey", "l_orderkey")
     terms = rows.select("l_orderkey", F.col("noun").alias("term")).distinct()
     titled = terms.withColumn("title", F.when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit("one "), F.col("term"))).otherwise("none")).groupBy("l_orderkey").agg(F.concat_ws(" ", F.collect_list("title")).alias("title"))
     entities = orders.join(titled, "l_orderkey").withColumn("owner", F.col("o_custkey") % 50)
     items = rows.where("l_linestatus = 'O'").select("l_orderkey", F.concat_ws(" ", "brand", "item").alias("item")).join(orders.where(F.col("k") <= UPPER).select("l_orderkey"), "l_orderkey", "left_semi")
-    return quality.term_diagnostics(terms, entities, items, "l_orderkey", "term", "title", "item", "k", "owner", UPPER).select("term", "n", *(r6(c).alias(c) for c in ("in_title", "in_items", "top1")))
+    return quality.term_diagnostics(terms, entities, items, "l_orderkey", "term", "title", "item", "k", "owner", UPPER, one=one)
 
 
 @query(f"""WITH {_DECLARED}, c AS (SELECT item, count(*) AS n FROM d GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, item) AS k, sum(n) OVER () AS total FROM c)
@@ -723,11 +727,13 @@ def mergeable_sets(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     import palimpsest.log_queries  # noqa: F401 (registers its own)
+    import palimpsest.report_queries  # noqa: F401
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     import palimpsest.log_queries  # noqa: F401
+    import palimpsest.report_queries  # noqa: F401
 
     return dict(_SQL)

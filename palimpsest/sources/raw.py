@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -117,6 +117,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(ordered: DataFrame, name: str = "place") -> DataFrame:
+    """An ordered result with the place of each row, from 1. The order is kept as it was made: rows are numbered in their sorted parts, and a row per part carries the number of those before."""
+    placed = staged(ordered.withColumn("_id", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_id", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row per part
+    both = placed.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return both.withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).select(*ordered.columns, name)
+
+
+def tables_in(spark: SparkSession, folder: str, suffix: str = ".parquet") -> DataFrame:
+    """(name): the tables that lie in a folder of whatever store."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = [s.getPath().getName() for s in there.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(there)]
+    return spark.createDataFrame([(f.removesuffix(suffix),) for f in sorted(found) if f.endswith(suffix)], "name string")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever store it is."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -67,6 +67,7 @@ def test_clusters_against_plain_linkage(spark, duck):
     got = {(r.segment, r.step): r for r in queries.queries()["upgma_merges"](spark, DATA).collect()}
     elbows = {r.segment: r.k for r in queries.queries()["elbow_k"](spark, DATA).collect()}
     curve = {(r.segment, r.k): r.ari for r in queries.queries()["ari_curve"](spark, DATA).collect()}
+    cuts = {r.segment: r for r in queries.queries()["best_cut"](spark, DATA).collect()}
     for segment in {s for s, _ in counts}:
         names = sorted(x for s, x in counts if s == segment)
         merges = plain_linkage(names, {(a, b): d for s, a, b, d in rows if s == segment})
@@ -82,6 +83,9 @@ def test_clusters_against_plain_linkage(spark, duck):
             for left, _, _, members in merges[: n - k]:
                 label.update(dict.fromkeys(members, left + n * 1000))
             assert curve[segment, k] == pytest.approx(plain_ari([label[x] for x in names], [x.split(" ")[-1] for x in names]), abs=1e-6)
+        own = {k: ari for (s, k), ari in curve.items() if s == segment}
+        best = max(own, key=lambda k: (round(own[k], 6), -k))
+        assert (cuts[segment].k, cuts[segment].ari, cuts[segment].agrees) == (best, pytest.approx(own[best], abs=1e-6), own[best] >= 0.2)
 
 
 def test_entry_point(spark):
