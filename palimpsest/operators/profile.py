@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +49,74 @@ def json_keys(df: DataFrame, payloads: dict[str, Column], examples: int = 6, wid
     return counts.join(shown, ["level", "key"], "left").withColumn("share", F.col("filled") / F.lit(total))
 
 
+def _key_states(cap: int, examples: int, flush: int = 1_000_000):
+    """Batches of (level, key, ok, v, ord) to one task's states: (level, key, n, filled, v, first), a row with the counts and at most cap + 1 values for each key.
+
+    Distinct values are kept up to cap + 1, and of all values the few with the least ord, which take the places of others. States of many keys are emitted before the end; they merge like those of other tasks.
+    """
+
+    def run(batches):
+        counts: dict[tuple, list[int]] = {}
+        values: dict[tuple, set] = {}
+        first: dict[tuple, dict] = {}
+
+        def emit():
+            rows = [(*k, n, filled, None, None) for k, (n, filled) in counts.items()]
+            for k, seen in values.items():
+                shown = first[k]
+                others = [v for v in seen if v not in shown][: cap + 1 - len(shown)]
+                rows += [(*k, 0, 0, v, shown.get(v)) for v in (*shown, *others)]
+            counts.clear(), values.clear(), first.clear()
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["level", "key", "n", "filled", "v", "first"])
+
+        for batch in batches:
+            pdf = batch.to_pandas()
+            for k, n, filled in pdf.groupby(["level", "key"])["ok"].agg(["size", "sum"]).itertuples(name=None):
+                c = counts.setdefault(k, [0, 0])
+                c[0], c[1] = c[0] + int(n), c[1] + int(filled)
+            least = pdf[pdf["ok"]].groupby(["level", "key", "v"])["ord"].min().reset_index().sort_values("ord")
+            for k, own in least.groupby(["level", "key"]):
+                seen, shown = values.setdefault(k, set()), first.setdefault(k, {})
+                for v in own["v"]:
+                    if len(seen) > cap:
+                        break
+                    seen.add(v)
+                for v, o in own[["v", "ord"]].head(examples).itertuples(index=False, name=None):
+                    shown[v] = min(o, shown.get(v, o))
+                for v in sorted(shown, key=shown.get)[examples:]:
+                    del shown[v]
+            if sum(map(len, values.values())) + len(counts) > flush:
+                yield emit()
+        yield emit()
+
+    return run
+
+
+def key_profile(df: DataFrame, payloads: dict[str, Column], ord: Column, examples: int = 6, width: int = 90, cap: int = 400) -> DataFrame:
+    """(level, key, n_records, filled, share, distinct_values, examples) as ``json_keys``, but with the values that come first (by ``ord``, a whole number) as examples.
+
+    Those can be told without counting every value, so that a key of free text or of ids isn't shuffled: each task keeps a bounded state for a key, at most cap + 1 values leave it, and the states are united.
+    """
+    total = df.count()
+    entries = None
+    placed = df.withColumn("_ord", ord.cast("bigint"))
+    for level, json in payloads.items():
+        part = placed.select(F.lit(level).alias("level"), "_ord", F.explode(F.from_json(json, "map<string,string>")).alias("key", "value"))
+        entries = part if entries is None else entries.union(part)
+    rows = entries.select("level", "key", F.coalesce(is_filled_json(F.col("value")), F.lit(False)).alias("ok"), F.substring("value", 1, 200).alias("v"), F.col("_ord").alias("ord"))
+    states = rows.mapInArrow(_key_states(cap, examples), "level string, key string, n bigint, filled bigint, v string, first bigint")
+    values = states.where("v is not null").groupBy("level", "key", "v").agg(F.min("first").alias("first"))
+    w = Window.partitionBy("level", "key").orderBy("first", "v")
+    top = values.where("first is not null").withColumn("r", F.row_number().over(w)).where(F.col("r") <= examples)
+    shown = top.groupBy("level", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", F.substring("v", 1, width).alias("v")))), lambda s: s["v"]).alias("examples"))
+    distinct = values.groupBy("level", "key").agg(F.least(F.count("*"), F.lit(cap + 1)).alias("distinct_values"))
+    counts = states.where("v is null").groupBy("level", "key").agg(F.sum("n").alias("n_records"), F.sum("filled").alias("filled"))
+    out = counts.join(distinct, ["level", "key"], "left").join(shown, ["level", "key"], "left")
+    return out.withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0))).withColumn("share", F.col("filled") / F.lit(total))
+
+
 def find_keys(profile: DataFrame, text: str) -> DataFrame:
     """Keys whose name contains the text."""
     return profile.where(F.lower("key").contains(text.lower()))

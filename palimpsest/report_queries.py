@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest import queries as base
 from palimpsest.log_queries import _BANDS, _CARDS, _bands
 from palimpsest.operators import baskets, cluster, dims, quality, rules, xwalk
+from palimpsest.operators.profile import clean_names, key_profile
 from palimpsest.plans import reports
 from palimpsest.queries import _DECLARED, _DEFECTIVE, _EDGES, _MEASURED, _NET, _SETS, _SIZED, _SQL, UPPER, _network, _sized, _t, declared, n, query, r6
 from palimpsest.sources import raw
@@ -58,8 +59,6 @@ def never_together_ordered(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_nationkey % 2 = 0")
 def tables_rewritten(spark: SparkSession, d: str) -> DataFrame:
     """Written twice as versions, of which the newer one counts, and once as CSV with a mark and blanks in its header; each read with a schema."""
-    from palimpsest.operators.profile import clean_names
-
     some = _t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
     root = raw.scratch_dir(spark, "customer")
     raw.write_version(some, root)
@@ -82,6 +81,19 @@ def catalog_inverted(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("areas", F.array_join("areas", ","))
 
 
+@query("""WITH j AS (SELECT event_id, unnest(['k' || event_id % 3, 'id', 'e', 'none']) AS key, unnest([user_id::VARCHAR, event_id::VARCHAR, CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END, NULL]) AS v FROM events),
+f AS (SELECT key, v, min(event_id) AS pos FROM j WHERE v <> '' GROUP BY 1, 2), x AS (SELECT key, count(*) AS k, string_agg(v, ',' ORDER BY pos) FILTER (r <= 6) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos) AS r FROM f) GROUP BY 1)
+SELECT key, count(*) AS n_records, count(*) FILTER (v <> '') AS filled, least(coalesce(any_value(k), 0), 401) AS distinct_values, any_value(x.examples) AS examples FROM j LEFT JOIN x USING (key) GROUP BY 1""")
+def profile_keys_bounded(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of payloads made from events, of which one has a value of its own in every record."""
+    k, one = F.col("event_id"), F.lit
+    pair = lambda key, value: F.concat(one('"'), key, one('":"'), value.cast("string"), one('"'))
+    kind = F.when(k % 2 == 0, F.col("event_type")).otherwise("")
+    payload = F.concat(one("{"), F.concat_ws(",", pair(F.concat(one("k"), (k % 3).cast("string")), F.col("user_id")), pair(one("id"), k), pair(one("e"), kind), one('"none":null')), one("}"))
+    out = key_profile(_t(spark, d, "events").select("event_id", payload.alias("j")), {"detail": F.col("j")}, F.col("event_id"))
+    return out.select("key", "n_records", "filled", n(F.col("distinct_values")).alias("distinct_values"), F.array_join("examples", ",").alias("examples"))
+
+
 # ── Reports ────────────────────────────────────────────────────────────────
 
 

@@ -1,8 +1,10 @@
 import itertools
+import json
 import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,6 +259,24 @@ def test_profiles(spark):
     assert {r.key: (r.n_records, r.filled, r.distinct_values) for r in keys} == {"a": (2, 2, 2), "b": (1, 0, 0)}
 
 
+@pytest.mark.parametrize("cap", [3, 40, 400])
+def test_key_profile_is_bounded_and_agrees(spark, cap):
+    rng = random.Random(cap)
+    rows = [(i, {"few": str(rng.randrange(4)), "some": str(rng.randrange(60)), "own": f"value {i} " + "x" * 300, "empty": rng.choice(["", "[]", "{}"]), "late": "z" if i > 900 else ""}) for i in range(1000)]
+    rng.shuffle(rows)  # the order is given, not that of reading
+    df = spark.createDataFrame([(i, json.dumps(p)) for i, p in rows], "i long, j string").repartition(6)
+    got = {r.key: r for r in profile.key_profile(df, {"j": F.col("j")}, F.col("i"), cap=cap).collect()}
+    other = {r.key: r for r in profile.json_keys(df, {"j": F.col("j")}, cap=cap).collect()}
+    pick = lambda r: (r.level, r.n_records, r.filled, r.share, r.distinct_values)
+    assert {k: pick(r) for k, r in got.items()} == {k: pick(r) for k, r in other.items()}
+    for key in ("few", "some", "own", "late"):
+        first = dict.fromkeys(p[key][:200] for _, p in sorted(rows, key=lambda r: r[0]) if p[key])
+        assert got[key].examples == [v[:90] for v in list(first)[:6]]
+    assert got["empty"].examples is None and got["empty"].distinct_values == 0
+    states = list(profile._key_states(cap, 6)([pa.RecordBatch.from_pylist([{"level": "j", "key": "own", "ok": True, "v": f"{i}", "ord": i} for i in range(5000)])]))
+    assert sum(b.num_rows for b in states) == 1 + max(cap + 1, 6)  # the counts, and cap + 1 values
+
+
 def test_lookup(spark):
     names = spark.createDataFrame([("Música",), ("Música antigua",)], "name string")
     assert [tuple(r) for r in explore.find_name(names, "name", "MUSICA").collect()] == [("Música", "exact")]
