@@ -20,11 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import free_name, lookup_join, materialize
+from palimpsest.llm.common import free_name, materialize
 
 SCALE = 8
 EXACT_BELOW = 128
 _RANGE = 1 << 32
+#: Groups of neighbours: a row of two numbers each, 3 MB.
+_MOST_GROUPS = 1 << 17
 
 
 def with_sketch(df: DataFrame, text_col: str, out: str, words: int = 5, scale: int = SCALE, exact_below: int = EXACT_BELOW) -> DataFrame:
@@ -79,12 +81,32 @@ def merge(a: Column, b: Column) -> Column:
     return F.struct(scale.alias("scale"), F.array_sort(kept).alias("hashes"))
 
 
+def _code_of_texts(df: DataFrame, column: str, cells: int = 1024, each: int = 20) -> Column:
+    """A number that never falls along the order of texts, and differs for most of them even if they begin alike.
+
+    Cuts from a sample of at most ``cells * each`` texts (those with the least hashes) part the texts into stretches of the order; the code is the stretch, and the six bytes after those that
+    all texts of the stretch have in common (which its least and greatest text tell).
+    """
+    known = df.where(F.col(column).isNotNull())
+    sample = sorted((r[0] for r in known.select(column).orderBy(F.xxhash64(column)).limit(cells * each).collect()), key=lambda t: t.encode())
+    cuts = sorted({sample[len(sample) * k // cells] for k in range(1, cells)} if sample else set(), key=lambda t: t.encode())
+    step = math.isqrt(len(cuts)) + 1
+    array = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    coarse = F.size(F.filter(array(cuts[step - 1 :: step]), lambda q: q < F.col(column)))
+    cell = coarse * step + F.size(F.filter(F.slice(array(cuts), coarse * step + 1, F.lit(step)), lambda q: q < F.col(column)))
+    ends = {r[0]: (r[1].encode(), r[2].encode()) for r in known.groupBy(cell.alias("c")).agg(F.min(column), F.max(column)).collect()}  # a row per stretch
+    alike = [next((i for i, (x, y) in enumerate(zip(low, high, strict=False)) if x != y), min(len(low), len(high))) for low, high in (ends.get(c, (b"", b"")) for c in range(len(cuts) + 1))]
+    skip = F.element_at(F.array(*map(F.lit, alike)), cell + 1)
+    after = F.conv(F.rpad(F.hex(F.substring(F.encode(column, "utf-8"), skip + 1, F.lit(6))), 12, "0"), 16, 10).cast("bigint")
+    return cell.cast("bigint") * F.lit(1 << 48) + after
+
+
 def _place(df: DataFrame, id_col: str, carried: list[str]) -> Column:
-    """A whole number that never rises along the order: the id itself, or the first seven bytes of a text; missing ids below, by the first carried text."""
+    """A whole number that never falls along the order of ids: the id itself, or a code of a text; missing ids below, by the first bytes of the first carried text."""
     start = lambda c: F.conv(F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), F.lit(1), F.lit(7))), 14, "0"), 16, 10).cast("bigint")
     kind, least = df.schema[id_col].dataType, F.lit(-(1 << 62))
     if isinstance(kind, T.StringType):
-        known = start(F.col(id_col))
+        known = _code_of_texts(df, id_col)
     else:
         known = F.greatest(F.col(id_col).cast("bigint") if isinstance(kind, T.IntegralType) else F.floor(F.col(id_col).cast("double")).cast("bigint"), least)
     late = F.coalesce(start(F.col(carried[0])), F.lit(0)) if isinstance(df.schema[carried[0]].dataType, T.StringType) else F.lit(0)
@@ -95,9 +117,9 @@ def with_next(df: DataFrame, id_col: str, carried: list[str], prefix: str = "nex
     """Each row with the carried columns of the next row by descending id; after the last comes the first.
 
     Ids go into groups that follow each other (percentiles, then equal widths), so that no group holds
-    more than a small share of the ids, and the number of groups grows with the rows; one shuffle by group brings neighbours together. The first
-    row of a group also goes, as a guest, to the end of the group before it: a table of one row for each group tells which. Ids may be numbers or texts (dates as
-    numbers). Equal ids are ordered by the carried columns; missing ids come last.
+    more than a small share of the ids. There is a group for every ``rows_per_group`` rows, up to ``_MOST_GROUPS``; beyond that, groups grow with the rows. One shuffle by group brings neighbours together. The first
+    row of a group also goes, as a guest, to the end of the group before it: a table of one row for each group tells which, small enough for every task to have it, so that the texts move once. Ids may be numbers or texts (dates as
+    numbers); texts are told apart by the bytes after what their neighbourhood has in common. Equal ids are ordered by the carried columns; missing ids come last.
     """
     place, g, guest, late = (free_name(df, n) for n in ("_place", "_group", "_guest", "_late"))
     df = df.withColumn(place, _place(df, id_col, carried))
@@ -108,7 +130,7 @@ def with_next(df: DataFrame, id_col: str, carried: list[str], prefix: str = "nex
     cuts = df.agg(F.percentile_approx(place, [i / cells for i in range(1, cells)], 10_000)).first()[0] if cells > 1 else []
     edges = sorted({*cuts, most})
     lows = [least, *(e + 1 for e in edges[:-1])]
-    per, step = max(1, total // rows_per_group // cells), math.isqrt(len(edges)) + 1
+    per, step = max(1, min(total // rows_per_group, _MOST_GROUPS) // cells), math.isqrt(len(edges)) + 1
     array = lambda xs: F.array(*map(F.lit, xs)).cast("array<bigint>")
     # The cell of an id: first the stretch of cells, then the cell in it.
     stretch = F.size(F.filter(array(edges[step - 1 :: step]), lambda q: q < F.col(place)))
@@ -121,9 +143,9 @@ def with_next(df: DataFrame, id_col: str, carried: list[str], prefix: str = "nex
     # Per group its first place, and the group before it, which has that place's rows as guests; the last group has those of the first.
     firsts = materialize(df.groupBy(g).agg(F.max(place).alias("place")), "groups")
     first_group, last_group = firsts.agg(F.max(g), F.min(g)).first()
-    before = F.coalesce(F.lag(g).over(Window.orderBy(F.desc(g))), F.lit(last_group))  # a row of two numbers per group
+    before = F.coalesce(F.lag(g).over(Window.orderBy(F.desc(g))), F.lit(last_group))  # a row of two numbers per group, _MOST_GROUPS in all
     hosts = firsts.select(F.col("place").alias(place), before.alias(guest))
-    rows = lookup_join(df, hosts, place, F.lit(48), 8 << 20)
+    rows = df.join(F.broadcast(hosts), place, "left")
     places = F.array(F.struct(F.lit(0).alias("late"), F.col(g).alias("g")), F.struct(F.lit(1).alias("late"), F.col(guest).alias("g")))
     rows = rows.withColumn(late, F.explode(F.filter(places, lambda p: p["g"].isNotNull()))).withColumn(g, F.col(late)["g"]).withColumn(late, F.col(late)["late"]).drop(guest)
     order = Window.partitionBy(g).orderBy(F.col(late), F.desc_nulls_last(id_col), *carried)

@@ -1,12 +1,13 @@
 """Every operator and every pipeline stage on odd input: clashing names, nulls, empty tables, ties, repeated and very long rows."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import bpe, decontamination, licenses, repeats, secret_scan, sharding, simhash_dedup, sketches, toxicity, wrapper
+from palimpsest.llm import bpe, decontamination, licenses, mixing, repeats, secret_scan, sharding, simhash_dedup, sketches, toxicity, wrapper
 from tests.llm.fixtures import documents, frame, prose
 
 #: Names of the kind that operators use inside, and of what they add.
@@ -53,6 +54,8 @@ OPERATORS = {
     "9": (lambda s, df: simhash_dedup.near_duplicate_components(df), False),
     "9 keep": (lambda s, df: simhash_dedup.keep_one_of_each(df), False),
     "10": (lambda s, df: with_neighbours(df), True),
+    "12": (lambda s, df: mixing.plan(df), False),
+    "12 mix": (lambda s, df: mixing.mix(df.where("doc_id is not null").dropDuplicates(["doc_id"])), False),
 }
 
 
@@ -84,7 +87,7 @@ def test_empty_tables(spark, odd, name):
     assert OPERATORS[name][0](spark, odd.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["5", "8", "9", "9 keep", "10", "2 find"])
+@pytest.mark.parametrize("name", ["5", "8", "9", "9 keep", "10", "12", "12 mix", "2 find"])
 def test_ids_that_are_texts(spark, odd, name):
     named = odd.select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("doc_id"), "text", "lang", "source", "n_chars")
     assert OPERATORS[name][0](spark, named).count() > 0 or name == "2 find"
@@ -98,6 +101,18 @@ def test_neighbours_of_text_ids(spark):
     assert got == dict(zip(order, order[1:] + order[:1], strict=True))
 
 
+def test_text_ids_that_begin_alike_are_spread(spark):
+    """Addresses of three hosts, of which one has most: groups of neighbours hold few each, and every row has the next one."""
+    sizes = {"https://example.org/page/": 20_000, "https://example.com/": 500, "ftp://x/": 300}
+    ids = [f"{host}{i}" for host, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id string, text string").repartition(4)
+    code = {r[0]: r[1] for r in df.select("doc_id", sketches._place(df, "doc_id", ["text"])).collect()}
+    order = sorted(ids, key=lambda i: i.encode())
+    assert all(code[a] <= code[b] for a, b in zip(order, order[1:], strict=False)) and max(Counter(code.values()).values()) <= 50
+    got = {r.doc_id: r.next_text for r in sketches.with_next(df, "doc_id", ["text"]).collect()}
+    assert got == {a: f"text {b}" for a, b in zip(order[::-1], [*order[-2::-1], order[-1]], strict=True)}
+
+
 def test_stages(spark, odd, tmp_path):
     bench(spark).write.parquet(str(tmp_path / "benchmark.parquet"))
     labels_for(spark, documents()).where("false").write.parquet(str(tmp_path / "labels.parquet"))
