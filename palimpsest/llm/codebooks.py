@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import lookup_join
+from palimpsest.llm.common import lookup_join, materialize
 from palimpsest.llm.vectors import as_integers, dimension, is_complete
 
 #: Sums of labels' errors are broadcast up to so many rows.
@@ -167,7 +167,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
     books = train(rows)
     name = F.coalesce(F.concat(F.lit("="), F.col("label").cast("string")), F.lit("")).alias("_label")
-    coded = encode(rows, books, carried=("label",)).select("vec_id", "code", "error", name)
+    coded = materialize(encode(rows, books, carried=("label",)).select("vec_id", "code", "error", name), "codes")  # read twice
     sums = coded.groupBy("_label").agg(F.sum("error").alias("label_error"))
     both = lookup_join(coded, sums, "_label", F.lit(1), _BROADCAST_LABELS)
     return both.select("vec_id", "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
