@@ -11,15 +11,14 @@ from palimpsest.operators import bridges, dims, panel, xwalk
 from palimpsest.sources.schemas import MANAGED, MANUAL
 
 DOWN = "DESACTIVADA"
-URL_PREFIX = "https://www.trabajando.cl/trabajo/"
 
 
 def _full(c):
     return F.nullif(c, F.lit(""))
 
 
-def flatten(raw: DataFrame) -> DataFrame:
-    """One row per observation with the master's content columns (detail first, then listing) and the arrays that bridges need."""
+def flatten(raw: DataFrame, url_prefix: str = "") -> DataFrame:
+    """One row per observation with the master's content columns (detail first, then listing) and the arrays that bridges need. url_prefix: the site's address, before an entity's own part."""
     d, l = "detalle", "listado"
     col = lambda p: F.col(p)
     either = lambda a, b: F.coalesce(_full(col(f"{d}.{a}")), _full(col(f"{l}.{b}")))
@@ -39,7 +38,7 @@ def flatten(raw: DataFrame) -> DataFrame:
     return raw.where(F.col("aviso_id").isNotNull()).select(
         "aviso_id",
         "ord",
-        tx.public_url(URL_PREFIX, col(f"{d}.slug"), col("aviso_id"), title).alias("url"),
+        tx.public_url(url_prefix, col(f"{d}.slug"), col("aviso_id"), title).alias("url"),
         title.alias("titulo"),
         text.alias("descripcion"),
         tx.strip_html(col(f"{d}.requisitosMinimos")).alias("requisitos"),
@@ -126,10 +125,10 @@ def avisos(obs: DataFrame, catalog: DataFrame) -> DataFrame:
     return panel.with_multiplicity(rows, "hash_entradas", "n_avisos_mismo_conjunto").select(*MANAGED["avisos"])
 
 
-def consolidate(raw: DataFrame, catalog: DataFrame, crosswalk: DataFrame, programs: DataFrame, codes: DataFrame, previous: dict[str, DataFrame] | None = None, upper: int = 30) -> dict[str, DataFrame]:
+def consolidate(raw: DataFrame, catalog: DataFrame, crosswalk: DataFrame, programs: DataFrame, codes: DataFrame, previous: dict[str, DataFrame] | None = None, upper: int = 30, url_prefix: str = "") -> dict[str, DataFrame]:
     """All master tables. catalog: area, term, name, ordinal; crosswalk: item, program, code, kind; programs, codes: see xwalk.attribution."""
     previous, key, ord = previous or {}, "aviso_id", F.col("ord")
-    obs = flatten(raw)
+    obs = flatten(raw, url_prefix)
     masters = {"avisos": avisos(obs, catalog)}
     declared = bridges.declared_and_keyword(obs, key, F.col("_carreras"), F.col("_terminos"), F.col("detalle_ok"), ord)
     masters["aviso_entrada"] = declared.select(key, F.col("item").alias("entrada_trabajando"), F.col("term").alias("termino_busqueda"), F.col("source").alias("fuente"), F.col("n_declared").alias("n_entradas_declaradas_aviso"))
