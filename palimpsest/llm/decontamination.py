@@ -29,6 +29,8 @@ from palimpsest.llm.common import free_name, lookup_join, materialize
 BROADCAST_SHINGLES = 500_000
 #: Other tables are broadcast up to so many bytes.
 BROADCAST_BYTES = 8 << 20
+#: Neighbouring windows that are cut out together.
+_PIECE = 64
 NOT_WORDS = r"[^\p{L}\p{N}]+"
 
 
@@ -92,21 +94,32 @@ def leaks_by_text(texts: DataFrame, items: DataFrame, similarity: float, shingle
     gap = F.lead("begin").over(order) - F.col("begin")
     near = diagonals.withColumn("around", around).withColumn("gap", F.coalesce(F.when(gap <= F.col("length"), gap), F.lit(1)))
     near = near.where(F.col("around") >= (similarity - 1e-9) * F.col("item_weight"))
-    begins = near.select("key", "item", "length", F.explode_outer(F.sequence(F.lit(0), F.col("gap") - 1)).alias("step"), "begin")
-    places = F.struct("item", "length", (F.col("begin") + F.col("step")).alias("begin"))
-    per_text = materialize(begins.groupBy("key").agg(F.collect_list(places).alias("places")), "places")
+    # Places in a row are one stretch, so that a text which repeats one word has few.
+    order = Window.partitionBy("key", "item").orderBy(F.col("begin") / F.col("length"))
+    apart = F.coalesce(F.lag(F.col("begin") + F.col("gap")).over(order) != F.col("begin"), F.lit(True))
+    stretches = near.withColumn("apart", apart.cast("int")).withColumn("stretch", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    stretches = stretches.groupBy("key", "item", "length", "stretch").agg(F.min("begin").alias("begin"), F.max(F.col("begin") + F.col("gap")).alias("end"))
+    per_text = materialize(stretches.groupBy("key").agg(F.collect_list(F.struct("item", "length", "begin", "end")).alias("places")), "places")
 
     # The windows' words, from the texts that have places.
-    weight = 64 + F.size("places") * 56
+    weight = 64 + F.size("places") * 60
     words = lookup_join(texts, per_text, "key", weight, BROADCAST_BYTES).where("places is not null").dropDuplicates(["key"])
     words = words.select("key", _hashed(F.col("text")).alias("hashes"), "places")
-    # Windows that reach beyond an end of the text are also laid inside it.
-    inside = lambda x: F.struct(x["item"].alias("item"), x["length"].alias("length"), F.greatest(F.lit(0), F.least(x["begin"], F.size("hashes") - x["length"])).alias("begin"))
-    words = words.withColumn("places", F.array_union("places", F.transform("places", inside)))
-    begin = lambda x: F.greatest(x["begin"], F.lit(0))
-    part = lambda x: F.slice("hashes", begin(x) + 1, F.least(x["length"], x["length"] + x["begin"]))
-    cut = F.transform("places", lambda x: F.struct(x["item"].alias("item"), begin(x).alias("first_word"), part(x).alias("part"), F.least(F.lit(shingle), x["length"]).alias("size")))
-    windows = words.select("key", F.explode_outer(cut).alias("x")).select("key", "x.*")
+    # Windows that reach beyond an end of the text are also laid inside it: at its first place, at the last that holds a whole window.
+    last = lambda x: F.greatest(F.lit(0), F.size("hashes") - x["length"])
+    stretch = lambda x, b, e: F.struct(x["item"].alias("item"), x["length"].alias("length"), b.alias("begin"), e.alias("end"))
+    at_start = F.transform(F.filter("places", lambda x: x["begin"] < 0), lambda x: stretch(x, F.lit(0), F.lit(1)))
+    at_end = F.transform(F.filter("places", lambda x: x["end"] - 1 > F.size("hashes") - x["length"]), lambda x: stretch(x, last(x), last(x) + 1))
+    # Stretches go in pieces, each with its own words, so that no row holds all windows of a text.
+    step = F.lit(_PIECE)
+    cut = lambda x: F.transform(F.sequence(x["begin"], x["end"] - 1, step), lambda b: stretch(x, b, F.least(b + step, x["end"])))
+    begin = lambda b: F.greatest(b, F.lit(0))
+    lent = lambda x: F.slice("hashes", begin(x["begin"]) + 1, F.greatest(F.lit(0), x["end"] - 1 + x["length"] - begin(x["begin"])))
+    pieces = F.transform(F.flatten(F.transform(F.concat("places", at_start, at_end), cut)), lambda x: F.struct(x.alias("of"), lent(x).alias("words")))
+    pieces = words.select("key", F.explode_outer(pieces).alias("x")).select("key", "x.of.*", "x.words")
+    part = lambda b: F.slice("words", begin(b) - begin(F.col("begin")) + 1, F.least(F.col("length"), F.col("length") + b))
+    laid = F.transform(F.sequence(F.col("begin"), F.col("end") - 1), lambda b: F.struct(begin(b).alias("first_word"), part(b).alias("part")))
+    windows = pieces.select("key", "item", F.least(F.lit(shingle), F.col("length")).alias("size"), F.explode_outer(laid).alias("x")).select("key", "item", "size", "x.*")
     same = F.struct("item", F.md5(F.array_join("part", " ")).alias("words"))
     windows = materialize(windows.select("key", "item", "first_word", F.size("part").alias("n_words"), _grams(F.col("part"), F.col("size")).alias("grams"), "size", same.alias("window")), "windows")
 

@@ -231,6 +231,22 @@ def test_leaks_beyond_a_hamming_radius(spark):
     assert all(r.similarity == pytest.approx(9 / 11) for r in out) and max(r.hamming for r in out) > 16
 
 
+def test_leaks_in_repetitive_texts(spark):
+    """One word over and over: as many diagonals as places, which are one stretch; pieces end inside it and at the text's ends."""
+    from tests.llm.test_queries import best_windows, same_leaks
+
+    items = {1: "word " * 90, 2: "word " * 7, 3: "a b " * 20, 4: "word", 5: " ".join(f"k{i}" for i in range(70)) + " word" * 30}
+    docs = {1: "word " * 300, 2: "word " * 80, 3: "x " + "word " * 5 + "y " + "word " * 75, 4: "a b " * 90 + "word " * 64, 5: items[5][5:], 6: "word " * 6}
+    frames = (spark.createDataFrame(list(x.items()), f"{n} long, text string") for x, n in ((docs, "doc_id"), (items, "item_id")))
+    same_leaks(decontamination.find_leaks(*frames).collect(), best_windows(docs, items))
+
+
+def test_long_repetitive_text(spark):
+    docs = spark.createDataFrame([(1, "word " * 6500)], "doc_id long, text string")
+    [leak] = decontamination.find_leaks(docs, spark.createDataFrame([(1, "word " * 200)], "item_id long, text string")).collect()
+    assert (leak.first_word, leak.n_words, leak.similarity) == (0, 200, 1.0)
+
+
 # ── Byte pairs ──
 
 
