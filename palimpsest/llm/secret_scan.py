@@ -6,9 +6,10 @@ or more) and ``hex`` (16 or more). The span of an ``assign`` is the whole match.
 
 The battery tests every run of ``[A-Za-z0-9+/_-]``, inside the rules' spans and outside: those of 16 or more with a
 letter and a digit, and those of 20 or more with a small letter before a capital. The encoding is the smallest
-alphabet that holds the token (hex, base 32, base 36, alphanumeric, base 64). Three tests ask whether its symbols could be
+alphabet that holds the token (hex, base 32, base 36, alphanumeric, base 64). Four tests ask whether its symbols could be
 drawn at random: chi-squared for the alphabet's uniformity, the number of runs above and below the alphabet's
-middle, and the correlation of successive symbols. The least of the three p-values, times three, is the token's.
+middle, the number of runs of capitals, small letters, digits and signs (only too few count: words stay in one class, and
+that shows names which are too short for the other tests), and the correlation of successive symbols. The least of the four p-values, times four, is the token's.
 Among the tokens of a length band, over all documents, a Benjamini-Hochberg step at level ``fdr`` settles
 which are structured: of those thrown out, no more than that share is expected to be random. Bands, so that short tokens, on
 which the tests have little power, don't set the threshold for long ones. What isn't thrown out is a ``random``
@@ -22,6 +23,7 @@ and columns of the input stay unless they are named like a new one. DataFrame ex
 from __future__ import annotations
 
 import math
+import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,8 +95,30 @@ _HEX, _B32, _B36 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcd
 _ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
 
+_CLASSES = (string.ascii_uppercase, string.ascii_lowercase, string.digits, "+/")
+
+
+def _class_share(size: Column, power: int) -> Column:
+    """The chance that ``power`` random symbols of the alphabet with that many are of one class."""
+    share = lambda a: sum((sum(c in k for c in a) / len(a)) ** power for k in _CLASSES)
+    return F.element_at(F.create_map(*(F.lit(v) for a in (_HEX, _B32, _B36, _ALNUM, _ALNUM + "+/") for v in (len(a), share(a)))), size)
+
+
+def _p_class_runs(plain: Column, size: Column) -> Column:
+    """P(at most as many runs of classes as there are): neighbours of one class are counted, with their variance under random symbols."""
+    of_class = F.translate(plain, "".join(_CLASSES), "".join(k[0] * len(k) for k in _CLASSES))
+
+    def tail(x: Column) -> Column:
+        n, two = x["n"], x["two"]
+        variance = (n - 1) * two * (1 - two) + 2 * (n - 2) * (x["three"] - two * two)
+        return _upper_tail((n - x["runs"] - (n - 1) * two - 0.5) / F.sqrt(variance))
+
+    runs = F.char_length(F.regexp_replace(of_class, r"(.)\1+", "$1"))
+    return _let(F.struct(F.char_length(plain).alias("n"), runs.alias("runs"), _class_share(size, 2).alias("two"), _class_share(size, 3).alias("three")), tail)
+
+
 def randomness_p(token: Column) -> Column:
-    """Combined p-value of the three tests under the token's inferred encoding."""
+    """Combined p-value of the four tests under the token's inferred encoding."""
     is_hex = token.rlike("^([0-9a-f]+|[0-9A-F]+)$")
     symbols = F.when(is_hex, F.lit(_HEX)).when(token.rlike("^[A-Z2-7]+$"), F.lit(_B32)).when(token.rlike("^[a-z0-9]+$"), F.lit(_B36)).when(token.rlike("^[A-Za-z0-9]+$"), F.lit(_ALNUM)).otherwise(F.lit(_ALNUM + "+/"))
     plain = F.when(is_hex, F.lower(token)).otherwise(F.translate(token, "-_", "+/"))
@@ -108,14 +132,14 @@ def randomness_p(token: Column) -> Column:
         chi, df = size / n * squares - n, size - 1
         p = _upper_tail((F.pow(F.greatest(chi, F.lit(1e-9)) / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
         at = F.transform(chars, lambda c: F.instr(x["symbols"], c) - 1)
-        return F.struct(at.alias("at"), F.transform(at, lambda v: (v * 2 >= size).cast("int")).alias("high"), n.alias("n"), p.alias("p"))
+        return F.struct(at.alias("at"), F.transform(at, lambda v: (v * 2 >= size).cast("int")).alias("high"), n.alias("n"), p.alias("p"), _p_class_runs(x["plain"], size).alias("classes"))
 
     def sums(y: Column) -> Column:
         n, high = y["n"], y["high"]
         runs = 1 + total(successive(high, n, lambda a, b: (a != b).cast("int")), 0)
         off = _let(total(y["at"], 0) / n, lambda centre: F.transform(y["at"], lambda v: v - centre))
         serial = lambda d: F.struct(total(F.transform(d, lambda v: v * v), 0.0).alias("own"), total(successive(d, n, lambda a, b: a * b), 0.0).alias("lagged"))
-        return F.struct(n.alias("n"), y["p"].alias("p"), total(high, 0).alias("ones"), runs.alias("runs"), _let(off, serial).alias("s"))
+        return F.struct(n.alias("n"), F.least(y["p"], y["classes"]).alias("p"), total(high, 0).alias("ones"), runs.alias("runs"), _let(off, serial).alias("s"))
 
     def combined(y: Column) -> Column:
         n, ones = y["n"], y["ones"]
@@ -123,7 +147,7 @@ def randomness_p(token: Column) -> Column:
         z = lambda m: F.abs(y["runs"] - m) / F.sqrt((m - 1) * (m - 2) / (n - 1))
         p_runs = F.when((ones > 0) & (ones < n), 2 * _upper_tail(_let(mean, z))).otherwise(F.pow(F.lit(0.5), n - 1))
         p_serial = F.when(y["s"]["own"] > 0, 2 * _upper_tail(F.abs(y["s"]["lagged"] / y["s"]["own"] * F.sqrt(n)))).otherwise(0.0)
-        return F.least(F.lit(1.0), 3 * F.least(y["p"], F.coalesce(p_runs, F.lit(1.0)), p_serial))
+        return F.least(F.lit(1.0), 4 * F.least(y["p"], F.coalesce(p_runs, F.lit(1.0)), p_serial))
 
     return _let(_let(_let(F.struct(plain.alias("plain"), symbols.alias("symbols")), uniform), sums), combined)
 
