@@ -3,13 +3,36 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
-_written: list[str] = []
+_calls = threading.local()
+
+
+def _lists() -> list[list[str]]:
+    """Tables written by this thread: one list for each open block of own_tables, after that of the thread itself."""
+    if not hasattr(_calls, "lists"):
+        _calls.lists = [[]]
+    return _calls.lists
+
+
+@contextmanager
+def own_tables() -> Iterator[list[str]]:
+    """The tables that this thread writes inside the block, in order. Those not deleted by its end go to the block around it."""
+    lists, own = _lists(), []
+    lists.append(own)
+    try:
+        yield own
+    finally:
+        lists.pop()
+        lists[-1].extend(own)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,36 +52,50 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
+    _lists()[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stored(df: DataFrame, name: str) -> str:
     """The same without reading it back: the table's path, for tables that are read together."""
     materialize(df, name)
-    return _written[-1]
+    return _lists()[-1][-1]
 
 
-def note_table(name: str) -> None:
-    """Count a table of the catalog among those written."""
-    _written.append(f"table:{name}")
+def note_table(name: str, path: str) -> None:
+    """Count a table of the catalog and its folder among those written."""
+    _lists()[-1].extend([f"table:{name}", path])
 
 
 def discard(spark: SparkSession, names: list[str]) -> None:
     """Delete tables that were written. Only for those that no DataFrame still in use reads."""
-    for name in names:
+    for name in list(names):
         if name.startswith("table:"):
             spark.sql(f"DROP TABLE IF EXISTS {name.removeprefix('table:')}")
         else:
             there = spark._jvm.org.apache.hadoop.fs.Path(name)
             there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
-        if name in _written:
-            _written.remove(name)
+        for tables in _lists():
+            if name in tables:
+                tables.remove(name)
+
+
+def only_result(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f, whose result is the last table that it writes: the others go when it is done."""
+
+    @wraps(f)
+    def call(*args, **options) -> DataFrame:
+        with own_tables() as own:
+            result = f(*args, **options)
+            discard(result.sparkSession, own[:-1])
+        return result
+
+    return call
 
 
 def written() -> list[str]:
-    """All tables that were written and are still there; a caller that has stored its results may discard them."""
-    return list(_written)
+    """All tables that this thread has written and that are still there; a caller that has stored its results may discard them."""
+    return [name for tables in _lists() for name in tables]
 
 
 def free_name(df: DataFrame, stem: str) -> str:
@@ -101,33 +138,33 @@ def components(edges: DataFrame, salts: int = 8, max_rounds: int = 200) -> DataF
         .distinct(),
         "edges",
     )
-    first = len(_written)
-    labels = materialize(both.groupBy("src").agg(F.least("src", F.min("dst")).alias("root")).withColumnRenamed("src", "v"), "labels")
-    for _ in range(max_rounds):
-        near = (
-            both.join(labels.select(F.col("v").alias("dst"), "root"), "dst")
-            .select(F.col("src").alias("v"), "root")
-            .union(labels.select("v", "root"))
-            .groupBy("v")
-            .agg(F.min("root").alias("root"))
-        )
-        near = materialize(near, "labels")
-        moved = (
-            near.where("root <> v")
-            .select(F.col("v").alias("root"), F.col("root").alias("up"))
-            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        )
-        jumped = (
-            near.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
-            .join(moved, ["root", "salt"], "left")
-            .select("v", F.coalesce("up", "root").alias("root"))
-        )
-        jumped = materialize(jumped, "labels")
-        changed = jumped.select("v", F.col("root").alias("new")).join(labels, "v").where("new <> root").limit(1).count()
-        labels = jumped
-        discard(both.sparkSession, _written[first:-1])  # the labels before
-        if not changed:
-            return labels
+    with own_tables() as own:
+        labels = materialize(both.groupBy("src").agg(F.least("src", F.min("dst")).alias("root")).withColumnRenamed("src", "v"), "labels")
+        for _ in range(max_rounds):
+            near = (
+                both.join(labels.select(F.col("v").alias("dst"), "root"), "dst")
+                .select(F.col("src").alias("v"), "root")
+                .union(labels.select("v", "root"))
+                .groupBy("v")
+                .agg(F.min("root").alias("root"))
+            )
+            near = materialize(near, "labels")
+            moved = (
+                near.where("root <> v")
+                .select(F.col("v").alias("root"), F.col("root").alias("up"))
+                .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+            )
+            jumped = (
+                near.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
+                .join(moved, ["root", "salt"], "left")
+                .select("v", F.coalesce("up", "root").alias("root"))
+            )
+            jumped = materialize(jumped, "labels")
+            changed = jumped.select("v", F.col("root").alias("new")).join(labels, "v").where("new <> root").limit(1).count()
+            labels = jumped
+            discard(both.sparkSession, own[:-1])  # the labels before
+            if not changed:
+                return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import discard, lookup_join, materialize, note_table, written
+from palimpsest.llm.common import discard, lookup_join, materialize, note_table, only_result, own_tables, shared_dir
 
 _BLOCK = 2 << 20  # symbols that are hashed together
 _POSITION = (1 << 24) - 1
@@ -290,13 +290,14 @@ def heavy_grams(texts: DataFrame, unit: Unit, share: float, fraction: float, lea
     return [r["gram"] for r in some.where(F.col("n") > max(least, share * total)).select("gram").collect()]
 
 
+@only_result
 def find_spans(texts: DataFrame, unit: Unit, hot: int = 10_000, range_bytes: int = 2 << 20, share: float | None = None, fraction: float = 0.02, least: int = 10) -> DataFrame:
     """One row per text (key, data) with repeated windows: key, spans (array of first and last window starts).
 
     If only other texts count (``unit.across``), each repeated window of a text is in a span at least once. Grams with more than a ``share`` of
     all anchors (twice what a partition holds, unless it is given) are dealt over many tasks; ``fraction`` and ``least`` say how they are found.
     """
-    spark, before = texts.sparkSession, written()
+    spark = texts.sparkSession
     length, k = unit.length, unit.size
     # One exchange by gram tells which anchors have the same symbols all around (their windows repeat as a whole; the first stands for all
     # in what follows) and how many different ones a gram has. Grams with a large share of all anchors are dealt out, and counted apart.
@@ -380,9 +381,7 @@ def find_spans(texts: DataFrame, unit: Unit, hot: int = 10_000, range_bytes: int
         again = rows.groupBy("window").agg(((F.min("key") < F.max("key")) | F.bool_or("several") if unit.across else F.count("*") > 1).alias("again")).where("again")
         hits = lookup_join(rows, again, "window", F.lit(128), 8 << 20).where("again")
         spans = spans.union(hits.select("key", F.col("at").alias("first"), F.col("at").alias("last")))
-    spans = materialize(spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans")), "spans")
-    discard(spark, [w for w in written()[:-1] if w not in before])
-    return spans
+    return materialize(spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans")), "spans")
 
 
 def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -391,8 +390,9 @@ def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     distinct = docs.select(F.unhex(F.md5(text)).alias("key"), text.alias("t")).groupBy("key").agg(F.count("*").alias("n"), F.first("t").alias("t"))
     buckets, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"repeats_{uuid.uuid4().hex}"
-    distinct.write.bucketBy(buckets, "key").option("compression", "zstd").saveAsTable(table)
-    note_table(table)
+    path = f"{shared_dir(spark)}/{table}"  # the warehouse may be a folder of each machine
+    distinct.write.bucketBy(buckets, "key").option("compression", "zstd").option("path", path).saveAsTable(table)
+    note_table(table, path)
     return spark.table(table).select("key", "n", F.encode("t", "utf-8").alias("data"))
 
 
@@ -452,16 +452,17 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = 400,
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    sizes, before = F.transform("removed", lambda r: r["end"] - r["start"]), written()
-    done = without_repeats(docs).select(
-        "key",
-        "n_bytes",
-        F.aggregate(sizes, F.lit(0).cast("long"), lambda s, x: s + x).alias("n_removed"),
-        F.size("removed").cast("long").alias("n_spans"),
-        F.sha2("kept", 256).alias("kept_sha256"),
-        F.col("shared_words").alias("n_shared_words"),
-    )
-    done = materialize(done, "digests")
-    discard(spark, [w for w in written()[:-1] if w not in before])
+    sizes = F.transform("removed", lambda r: r["end"] - r["start"])
+    with own_tables() as own:
+        done = without_repeats(docs).select(
+            "key",
+            "n_bytes",
+            F.aggregate(sizes, F.lit(0).cast("long"), lambda s, x: s + x).alias("n_removed"),
+            F.size("removed").cast("long").alias("n_spans"),
+            F.sha2("kept", 256).alias("kept_sha256"),
+            F.col("shared_words").alias("n_shared_words"),
+        )
+        done = materialize(done, "digests")
+        discard(spark, own[:-1])
     light = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"))
     return light.join(done, "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words")

@@ -204,6 +204,30 @@ def test_licenses_among_others(spark):
     assert out[0].template_labels == ["apache-2.0", "bsd"] and len(out[3].template_labels) == 13
 
 
+# ── Written tables ──
+
+
+def test_calls_in_two_threads_keep_their_own_tables(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+
+    def call(k):
+        with common.own_tables() as own:
+            kept = common.materialize(chain.where(f"a >= {k}"), "kept")
+            roots = common.components(kept).collect()
+            names, rows = [n.rsplit("/", 1)[1].split("-")[0] for n in own], kept.count()  # what the others delete isn't this
+            common.discard(spark, own)
+            assert not own
+        return names, rows, {r.v: r.root for r in roots}
+
+    with ThreadPoolExecutor(4) as pool:
+        out = list(pool.map(call, range(4)))
+    for k, (names, rows, roots) in enumerate(out):
+        assert names == ["kept", "edges", "labels"] and rows == 41 - k
+        assert roots == {v: k for v in range(k, 41)} | {100: 100, 101: 100}
+
+
 # ── Benchmark items ──
 
 
