@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe, decontamination, secret_scan, simhash_dedup, toxicity
-from palimpsest.llm.common import discard, materialize, written
+from palimpsest.llm.common import discard, materialize, own_tables
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages. What a stage has written, and its input, go when its result is stored."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-        discard(spark, [w for w in written()[:-1] if w not in before])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with own_tables() as own:
+        for name, stage in STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+            discard(spark, own[:-1])
     return STAGES[-1][1](spark, docs, sf_dir)
