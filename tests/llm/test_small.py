@@ -255,6 +255,46 @@ def test_leaks_beyond_a_hamming_radius(spark):
     assert all(r.similarity == pytest.approx(9 / 11) for r in out) and max(r.hamming for r in out) > 16
 
 
+@pytest.mark.parametrize(("radius", "limit"), [(0, 500_000), (3, 0), (7, 500_000), (11, 0), (11, 500_000)])
+def test_every_pair_within_the_radius(spark, monkeypatch, radius, limit):
+    """Against all pairs, with the index broadcast and dealt out; flips lie in one block, over all, or anywhere. A third of the windows have one fingerprint."""
+    import random
+
+    monkeypatch.setattr(decontamination, "BROADCAST_SHINGLES", limit)
+    rng = random.Random(radius)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    items = [(f"i{k}", rng.choice([7, 9]), rng.getrandbits(64)) for k in range(40)] + [("zero", 7, 0), ("ones", 7, (1 << 64) - 1), ("null", None, 5)]
+    windows = []
+    for k in range(400):
+        _, length, fp = rng.choice(items)
+        bits = rng.sample([range(64), range(16 * (k % 4), 16 * (k % 4) + 16)][k % 2], rng.randint(0, 14))
+        windows.append((f"w{k}", length or 7, fp ^ sum(1 << b for b in bits)))
+    windows += [(f"same{k}", 7, 0) for k in range(200)] + [("null", 7, None)]
+    want = {(w, i) for w, n, a in windows for i, m, b in items if n == m and a is not None and (a ^ b).bit_count() <= radius}
+    frames = (spark.createDataFrame([(x, n, None if v is None else signed(v)) for x, n, v in rows], f"{name} string, length int, fp long") for rows, name in ((windows, "window"), (items, "item")))
+    got = [tuple(r) for r in decontamination.within_radius(*frames, radius).select("window", "item").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
+
+
+def test_any_radius_gives_the_same_leaks(spark):
+    """The index settles what is equal and finds most of what was edited; what lies beyond comes from the diagonals."""
+    import random
+
+    rng = random.Random(5)
+    items = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(rng.choice([14, 40, 59])))) for i in range(40)]
+    docs = []
+    for i in range(160):
+        words = items[i % 40][1].split()
+        for _ in range(min(i // 40, 1)):
+            words[rng.randrange(len(words))] = f"new{i}"
+        docs.append((i, " ".join([f"before{i}"] * rng.randint(0, 5) + words + [f"after{i}", "end"])))
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = {radius: sorted((r.doc_id, r.item_id, r.first_word, r.hamming, round(r.similarity, 9)) for r in decontamination.find_leaks(docs, items, radius=radius).collect()) for radius in (0, 11)}
+    assert rows[0] == rows[11] and {(d, d % 40) for d in range(40)} <= {r[:2] for r in rows[0] if r[3] == 0}
+    edited = [r for r in rows[11] if r[4] < 1]
+    assert len(edited) > 30 and sum(r[3] <= 11 for r in edited) >= 0.8 * len(edited)
+
+
 def test_leaks_in_repetitive_texts(spark):
     """One word over and over: as many diagonals as places, which are one stretch; pieces end inside it and at the text's ends."""
     from tests.llm.test_queries import best_windows, same_leaks
