@@ -9,7 +9,7 @@ took no part in. Trees are grown on three folds, the isotonic step on the fourth
 
 Labelled rows beyond ``max_labelled`` are thinned by a hash of the id: the lexicon and the trees are fitted on a
 bounded sample, whatever the input's size, and that bound is all that is collected or broadcast. Every text is scored whole.
-Null and empty texts have zero features; rows without a label or an id train nothing. Where the labels, or the labelled documents, hold fewer than
+Null and empty texts have zero features; rows without a label or an id train nothing, so that rows without an id count as held out. Where the labels, or the labelled documents, hold fewer than
 ten rows of a class, every score is the share of label 1. Columns of the input that are named like a new one are replaced.
 """
 
@@ -114,7 +114,7 @@ class Lexicon:
         caps = sum(map(str.isupper, text))
         shouts = sum(1 for w in raws if len(w) > 2 and w.isupper())
         exclaims, questions = text.count("!"), text.count("?")
-        signs_all = chars - sum(map(str.isalnum, text)) - sum(map(str.isspace, text))
+        signs_all = len(text) - sum(map(str.isalnum, text)) - sum(map(str.isspace, text))
         digits = sum(map(str.isdigit, text))
         return [
             float(np.log1p(len(raws))), hits / n, weight / n, best, float(len(distinct)), float(strong), begins / n, begin_weight / n, begin_best, near / n, you / n,
@@ -245,5 +245,5 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     scored = fit(docs.select("doc_id", "text"), labels).score(docs.select("doc_id", "text"), keep=["doc_id"])
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

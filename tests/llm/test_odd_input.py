@@ -87,10 +87,50 @@ def test_empty_tables(spark, odd, name):
     assert OPERATORS[name][0](spark, odd.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["5", "8", "9", "9 keep", "10", "12", "12 mix", "2 find"])
+#: Operators whose rows are compared by the id alone, and the columns that must not depend on what ids are made of.
+BY_ID = {"2 find": ["item_id", "similarity"], "5": [], "8": ["ids"], "9": ["simhash"], "9 keep": ["text"], "10": ["text"], "12": [], "12 mix": ["text"]}
+
+
+def by_texts(df):
+    return df.select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("doc_id"), "text", "lang", "source", "n_chars")
+
+
+@pytest.mark.parametrize("name", BY_ID)
 def test_ids_that_are_texts(spark, odd, name):
-    named = odd.select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("doc_id"), "text", "lang", "source", "n_chars")
-    assert OPERATORS[name][0](spark, named).count() > 0 or name == "2 find"
+    """The same rows as with numbers, or, where ids decide (the one that stays, the draws), rows of the same documents."""
+    rows = OPERATORS[name][0](spark, by_texts(odd)).collect()
+    if name in ("9 keep", "12 mix"):
+        texts = {("doc " + str(r.doc_id) if r.doc_id is not None else None, r.text) for r in odd.select("doc_id", "text").collect()}
+        assert rows and {(r.doc_id, r.text) for r in rows} <= texts
+        return
+    plain = OPERATORS[name][0](spark, odd).collect()
+    shown = lambda r, i: (i, *(str(r[c]) for c in BY_ID[name]))
+    want = Counter(shown(r, None if r.doc_id is None else f"doc {r.doc_id}") for r in plain)
+    assert rows and Counter(shown(r, r.doc_id) for r in rows) == want
+
+
+def test_leaks_in_odd_rows(spark, odd):
+    """Exactly the documents that hold an item of bench: none but the one whose own text is an item, once for each id."""
+    rows = OPERATORS["2 find"][0](spark, odd).collect()
+    text = documents(n=12)[12][1]
+    holders = {r.doc_id for r in odd.select("doc_id", "text").collect() if r.text == text}
+    assert {r.doc_id for r in rows if r.item_id == 5 and r.similarity > 1 - 1e-9} == holders and len(holders) > 3
+    assert len({(r.doc_id, r.item_id) for r in rows}) == len(rows) and {r.item_id for r in rows} == {5}
+
+
+def test_toxicity_of_odd_ids(spark, odd, tmp_path):
+    """Null ids are held out; text ids get the scores of their texts."""
+    labels_for(spark, documents()).write.parquet(str(tmp_path / "labels.parquet"))
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = toxicity.op3_toxicity(spark, str(tmp_path)).collect()
+    assert len(rows) == odd.count() and all(r.held_out is not None and 0 <= r.score <= 1 for r in rows)
+    assert all(r.held_out for r in rows if r.doc_id is None) and any(r.doc_id is None for r in rows)
+    named = labels_for(spark, documents()).withColumn("doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")))
+    scored = toxicity.fit(by_texts(odd), named).score(by_texts(odd)).collect()
+    by_text = {}
+    for r in scored:
+        by_text.setdefault(r.text if "text" in r else r.doc_id, set()).add(r.score)
+    assert len(scored) == odd.count() and all(len(s) == 1 for s in by_text.values())
 
 
 def test_neighbours_of_text_ids(spark):
