@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import join_key, normalise, tokens
+from palimpsest.sources.raw import staged
+
+SMALL_CATALOG, TASK_ROWS = 200_000, 500_000  # rows that every task may know; rows (entity, destination) of one task
 
 
 def resolve(names: DataFrame, crosswalk: DataFrame, name: str, crosswalk_name: str, how: str = "inner") -> DataFrame:
@@ -15,11 +20,14 @@ def resolve(names: DataFrame, crosswalk: DataFrame, name: str, crosswalk_name: s
     return names.withColumn("_key", join_key(F.col(name))).join(right.drop(*clash), "_key", how).drop("_key")
 
 
-def attribution(bridge_rows: DataFrame, crosswalk: DataFrame, programs: DataFrame, codes: DataFrame, key: str, item: str) -> DataFrame:
+def attribution(bridge_rows: DataFrame, crosswalk: DataFrame, programs: DataFrame, codes: DataFrame, key: str, item: str, mentions: int | None = None) -> DataFrame:
     """One row per (entity, destination): several-destinations flag, origin names, codes.
 
     A destination is a program (dropped if the catalog lacks it) or a field code (kept without levels if unknown).
     crosswalk: item, program, code, kind; programs: program, area, broad, narrow, detailed; codes: code.
+
+    ``mentions``: how many rows bridge_rows has, if that is known. Then, if names and their destinations are at most ``SMALL_CATALOG`` rows, every task knows these: an entity's mentions are brought together
+    before they become destinations, of which there are many more, in as many tasks as keep each one's destinations in memory. Nothing but the mentions is shuffled.
     """
     full = lambda c: F.nullif(F.trim(c), F.lit(""))
     is_program = F.col("program").isNotNull()
@@ -35,10 +43,19 @@ def attribution(bridge_rows: DataFrame, crosswalk: DataFrame, programs: DataFram
     ends = ends.groupBy("destination").agg(*(F.min(c).alias(c) for c in ("program", "area", "broad", "narrow", "detailed")))
     # Names get their destinations once each, then the mentions (without repeats) their names'.
     goals = keyed.join(width, "_key").join(ends.select("destination"), "destination", "left_semi").groupBy("_key", "destination").agg(F.min("kind").alias("kind"), F.bool_or(F.col("n_destinations") > 1).alias("_several"))
-    mentions = bridge_rows.select(key, item).distinct()
-    named = mentions.select(item).distinct().withColumn("_key", join_key(F.col(item))).join(goals, "_key").drop("_key")
-    hit = mentions.join(named, item)
-    rows = hit.groupBy(key, "destination").agg(F.min_by("kind", item).alias("kind"), F.bool_or("_several").alias("ambiguous"), F.array_sort(F.collect_set(item)).alias("origins"))
+    said = bridge_rows.select(key, item)
+    named = said.select(item).distinct().withColumn("_key", join_key(F.col(item))).join(goals, "_key").drop("_key")
+    by_entity = [F.min_by("kind", item).alias("kind"), F.bool_or("_several").alias("ambiguous"), F.array_sort(F.collect_set(item)).alias("origins")]
+    if mentions is not None:
+        named, ends = staged(named, "named"), staged(ends, "ends")
+        width, names, all_ends = *named.agg(F.count("*"), F.countDistinct(item)).first(), ends.count()
+        if max(width, all_ends) <= SMALL_CATALOG:
+            tasks = max(int(bridge_rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(mentions * width / max(names, 1) / TASK_ROWS))
+            hit = said.repartition(tasks, key).distinct().join(F.broadcast(named), item)
+            rows = hit.groupBy(key, "destination").agg(*by_entity)
+            return rows.join(F.broadcast(ends), "destination").select(key, "destination", "program", "area", "broad", "narrow", "detailed", "kind", "ambiguous", "origins")
+    hit = said.distinct().join(named, item)
+    rows = hit.groupBy(key, "destination").agg(*by_entity)
     return rows.join(ends, "destination").select(key, "destination", "program", "area", "broad", "narrow", "detailed", "kind", "ambiguous", "origins")
 
 

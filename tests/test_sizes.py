@@ -4,7 +4,7 @@ from itertools import combinations
 
 import pytest
 
-from palimpsest.operators import baskets
+from palimpsest.operators import baskets, xwalk
 
 
 def plan(df):
@@ -25,3 +25,18 @@ def test_never_together_shuffles_no_pairs(spark, chunk):
     assert sorted(map(tuple, df.collect())) == sorted(want)
     placed = baskets.never_together(items, pairs, "item", "degree", "g", placed=True, chunk=chunk)
     assert sorted((r.place, *tuple(r)[:5]) for r in placed.collect()) == [(k, *r) for k, r in enumerate(want, 1)]
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_attribution_shuffles_mentions_only(spark, monkeypatch, limit):
+    monkeypatch.setattr(xwalk, "SMALL_CATALOG", limit)
+    monkeypatch.setattr(xwalk, "TASK_ROWS", 20)
+    rows = spark.createDataFrame([(k, f"N{k * j % 7}") for k in range(40) for j in (1, 2, 2, 3)], "id long, item string")
+    cross = spark.createDataFrame([(f"n{i}", f"p{j}" if j < 3 else "", "" if j < 3 else f"000{i}", "own" if j < 3 else "field") for i in range(6) for j in range(i % 5)], "item string, program string, code string, kind string")
+    programs = spark.createDataFrame([(f"p{j}", "a", "07", "071", "0713") for j in range(2)], "program string, area string, broad string, narrow string, detailed string")
+    codes = spark.createDataFrame([("0004",)], "code string")
+    plain = xwalk.attribution(rows, cross, programs, codes, "id", "item")
+    df = xwalk.attribution(rows, cross, programs, codes, "id", "item", 160)
+    text = plan(df)
+    assert limit == 0 or (text.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in text)  # mentions by entity, no destinations
+    assert sorted(map(str, df.collect())) == sorted(map(str, plain.collect())) and df.count() > 40
