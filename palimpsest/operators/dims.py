@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 def item_dim(bridge_rows: DataFrame, observations: DataFrame, key: str, item: str, n_items: str, date: str, area: str, upper: int = 30) -> DataFrame:
     """Per item: distinct entities (all, specific), first and last seen, areas. observations has a row per (item, observation)."""
-    counts = bridge_rows.where(F.col(item).isNotNull()).groupBy(item).agg(F.countDistinct(key).alias("n_all"), F.countDistinct(F.when(F.col(n_items) <= upper, F.col(key))).alias("n_specific"))
+    # Two distinct counts at once would expand the rows and hold both copies; so each (item, entity) is one row first.
+    each = bridge_rows.where(F.col(item).isNotNull()).groupBy(item, key).agg(F.bool_or(F.coalesce(F.col(n_items) <= upper, F.lit(False))).alias("_specific"))
+    counts = each.groupBy(item).agg(F.count(key).alias("n_all"), F.count_if(F.col("_specific") & F.col(key).isNotNull()).alias("n_specific"))
     seen = observations.groupBy(item).agg(F.min(date).alias("first_seen"), F.max(date).alias("last_seen"), F.array_sort(F.collect_set(area)).alias("areas"))
     return counts.join(seen, item, "left")
 

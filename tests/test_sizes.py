@@ -4,7 +4,11 @@ from itertools import combinations
 
 import pytest
 
-from palimpsest.operators import baskets, xwalk
+from palimpsest import log_queries, queries
+from palimpsest.operators import baskets, dims, xwalk
+from palimpsest.sources import raw
+
+DATA = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -40,3 +44,37 @@ def test_attribution_shuffles_mentions_only(spark, monkeypatch, limit):
     text = plan(df)
     assert limit == 0 or (text.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in text)  # mentions by entity, no destinations
     assert sorted(map(str, df.collect())) == sorted(map(str, plain.collect())) and df.count() > 40
+
+
+def test_item_dim_has_tasks_for_its_lines(spark, monkeypatch):
+    monkeypatch.setattr(queries, "TASK_LINES", 50)
+    text = plan(queries.item_dim(spark, DATA))
+    assert "Expand" not in text
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    assert f", {-(-lines // 50)}), REPARTITION_BY_NUM" in text
+
+
+def test_item_dim_counts_as_distinct_keys(spark):
+    rows = spark.createDataFrame([(1, "a", 3), (1, "a", 9), (2, "a", 9), (None, "a", 1), (None, "b", 1), (3, "c", None)], "id int, item string, n int")
+    seen = spark.createDataFrame([("a", "x", "d")], "item string, area string, date string")
+    got = {r.item: (r.n_all, r.n_specific) for r in dims.item_dim(rows, seen, "id", "item", "n", "date", "area", 5).collect()}
+    assert got == {"a": (2, 1), "b": (0, 0), "c": (1, 0)}
+
+
+def test_each_line_is_parsed_once(spark):
+    text = plan(log_queries.log_declared(spark, DATA)).split("Initial Plan")[0]
+    assert text.count("from_json(") == 1
+
+
+def test_terms_meet_items_at_the_entity(spark):
+    assert "Generate" not in plan(queries._terms(spark, DATA)) and ", term#" not in "".join(x for x in plan(queries._terms(spark, DATA)).splitlines() if "Join" in x)
+
+
+def test_files_of_the_stream_grow_with_the_lines(spark, monkeypatch):
+    made, stream = [], raw.stream_raw
+    monkeypatch.setattr(log_queries, "FILE_LINES", 200)
+    monkeypatch.setattr(raw, "stream_raw", lambda s, path, files: made.append((s.read.text(path).inputFiles(), files)) or stream(s, path, files))
+    got = log_queries.stream_bridge(spark, DATA).collect()
+    orders = spark.read.parquet(f"{DATA}/orders.parquet").count()
+    assert made and len(made[0][0]) == -(-orders // 200) > 4 and made[0][1] == -(-len(made[0][0]) // 4)
+    assert sorted(map(str, got)) == sorted(map(str, log_queries.master_skills(spark, DATA).collect()))
