@@ -23,6 +23,7 @@ def _pick(number: Column, values: list) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (number % len(values) + 1).cast("int"))
 
 
+FILE_LINES = 100_000
 SCHEDULES = ["Jornada mixta", "Teletrabajo full time", "Práctica profesional", "Part time en terreno", "Reemplazo"]
 
 
@@ -138,11 +139,12 @@ def master_skills(spark: SparkSession, d: str) -> DataFrame:
 def stream_bridge(spark: SparkSession, d: str) -> DataFrame:
     """The same bridge from the log as a stream of files, batch by batch."""
     path = raw.scratch_dir(spark, "log")
-    # Files by key, so that later files hold later lines: the order of equal dates goes by file and line.
-    _lines(spark, d).repartitionByRange(4, "seq").sortWithinPartitions("seq").select("value").write.text(path)
+    # Files by key, so that later files hold later lines: the order of equal dates goes by file and line. Their number grows with the lines, so that one task's sort doesn't; they come in four batches.
+    files = max(4, -(-_t(spark, d, "orders").count() // FILE_LINES))
+    _lines(spark, d).repartitionByRange(files, "seq").sortWithinPartitions("seq").select("value").write.text(path)
     skills = lambda batch: bridges.bridge(plan.flatten(raw.parse_batch(batch)), "aviso_id", F.col("_habilidades"), F.col("ord"), {"habilidad": F.col("item.nombreHabilidad"), "nivel": F.nullif(F.col("item.nombreNivel"), F.lit(""))}, with_order=True)
     store = latest_store(spark, raw.scratch_dir(spark, "bridge"), "aviso_id", ["aviso_id", "habilidad"], skills, 4)
-    run_available(raw.stream_raw(spark, path, 1), store, raw.scratch_dir(spark, "stream"))
+    run_available(raw.stream_raw(spark, path, -(-files // 4)), store, raw.scratch_dir(spark, "stream"))
     return store.read().drop("ord")
 
 
