@@ -30,11 +30,11 @@ def declared_and_keyword(df: DataFrame, key: str, declared: Column, terms: Colum
     """Declared items (source 'declarada'); for entities without any, but with a good detail, their search terms ('keyword_only')."""
     n = F.coalesce(F.size(declared), F.lit(0))
     n = F.when(n < 0, 0).otherwise(n)
-    given = df.select(key, ord.alias("_ord"), n.alias("n_declared"), F.explode(declared).alias("item")).where(F.col("item").isNotNull() & (F.col("item") != ""))
-    found = df.where((n == 0) & F.coalesce(ok, F.lit(False))).select(key, ord.alias("_ord"), F.lit(0).alias("n_declared"), F.explode(terms).alias("term")).where("term is not null")
-    rows = given.select(key, "item", F.lit(None).cast("string").alias("term"), F.lit("declarada").alias("source"), "n_declared", "_ord").unionByName(
-        found.select(key, F.lit(None).cast("string").alias("item"), "term", F.lit("keyword_only").alias("source"), "n_declared", "_ord")
-    )
+    # An observation has either declared items or terms: one pass over both. The outer form keeps the filter above.
+    both = F.when(n > 0, declared).when(F.coalesce(ok, F.lit(False)), terms)
+    rows = df.select(key, ord.alias("_ord"), n.alias("n_declared"), F.explode_outer(both).alias("_x")).where(F.col("_x").isNotNull() & ((F.col("n_declared") == 0) | (F.col("_x") != "")))
+    given = F.col("n_declared") > 0
+    rows = rows.select(key, F.when(given, F.col("_x")).alias("item"), F.when(~given, F.col("_x")).alias("term"), F.when(given, "declarada").otherwise("keyword_only").alias("source"), "n_declared", "_ord")
     return latest(rows, [key, "item", "term", "source"], F.col("_ord")).drop("_ord")
 
 

@@ -18,10 +18,10 @@ ORDER = ("fecha_scraping", "aviso_id", "file", "block", "seq")
 
 
 def parse_lines(lines: DataFrame, value: str = "value", schema: T.StructType = OBSERVATION) -> DataFrame:
-    """JSON lines with the columns of the schema; unreadable lines keep their text in _corrupt."""
+    """JSON lines with the columns of the schema; unreadable lines keep their text in _corrupt. A generator parses them, since filters on columns would be pushed below a projection and parse each line again."""
     parsed = F.from_json(F.col(value), T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     rest = [c for c in lines.columns if c != value]
-    return lines.where(F.trim(value) != "").withColumn("_r", parsed).select(*rest, "_r.*")
+    return lines.where(F.trim(value) != "").select(*rest, F.inline_outer(F.array(parsed)))
 
 
 def read_raw(spark: SparkSession, path: str, schema: T.StructType = OBSERVATION) -> DataFrame:
