@@ -107,6 +107,7 @@ def avisos(obs: DataFrame, catalog: DataFrame) -> DataFrame:
     """The entity table: panel columns over all observations, content of the last one."""
     states = panel.finish_panel(panel_states(obs), DOWN).drop("days_until_down", "censored")
     content = panel.latest(obs.drop("_estado", "_fecha", "_periodo", "_area", "_terminos", "_carreras", "_habilidades", "_instituciones"), ["aviso_id"], F.col("ord")).drop("ord")
+    content = panel.with_multiplicity(content, "hash_entradas", "n_avisos_mismo_conjunto")  # as many rows as states, and less to go over twice
     mapped = xwalk.map_terms(states.select("aviso_id", F.explode_outer("terminos_busqueda").alias("term")).where("term is not null"), catalog, "term")
     by_term = mapped.groupBy("aviso_id").agg(
         F.array_sort(F.collect_set("name")).alias("sies_por_termino"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("areas")))).alias("areas_sies_por_termino"), F.count_if(~F.col("mapped")).cast("int").alias("n_terminos_sin_mapeo")
@@ -122,7 +123,7 @@ def avisos(obs: DataFrame, catalog: DataFrame) -> DataFrame:
         .withColumn("n_sies_por_termino", F.size("sies_por_termino"))
         .withColumn("n_terminos_sin_mapeo", F.coalesce("n_terminos_sin_mapeo", F.lit(0)))
     )
-    return panel.with_multiplicity(rows, "hash_entradas", "n_avisos_mismo_conjunto").select(*MANAGED["avisos"])
+    return rows.select(*MANAGED["avisos"])
 
 
 def consolidate(raw: DataFrame, catalog: DataFrame, crosswalk: DataFrame, programs: DataFrame, codes: DataFrame, previous: dict[str, DataFrame] | None = None, upper: int = 30, url_prefix: str = "") -> dict[str, DataFrame]:
@@ -152,7 +153,8 @@ def consolidate(raw: DataFrame, catalog: DataFrame, crosswalk: DataFrame, progra
     masters["instituciones"] = dims.first_of(places, "id_institucion", ["id_institucion_alt", "nombre"], ord).join(numbers, "id_institucion").select(
         "id_institucion", "id_institucion_alt", "nombre", F.col("n_all").alias("n_avisos"), F.col("n_specific").alias("n_avisos_especificos"), F.col("first_seen").alias("primera_vez_visto"), F.col("last_seen").alias("ultima_vez_visto")
     )
-    companies = dims.company_dim(obs, masters["avisos"], key, "empresa_id", "_fecha", "_area", "empresa_confidencial")
+    last = panel.latest(obs.select(key, "empresa_id", "empresa_confidencial", "ord"), [key], ord)  # these columns of the entity table, without the others' work
+    companies = dims.company_dim(obs, last, key, "empresa_id", "_fecha", "_area", "empresa_confidencial")
     names = dims.canonical_names(obs.where("empresa_id is not null"), "empresa_id", "empresa_nombre", ord, ~F.col("empresa_confidencial"))
     masters["empresas"] = companies.join(names, "empresa_id", "left").select(
         "empresa_id", F.col("canonical_name").alias("empresa_nombre"), F.to_json("names").alias("nombres_observados"), F.col("canonical_name").isNull().alias("siempre_confidencial"), F.col("n_entities").alias("n_avisos"),
