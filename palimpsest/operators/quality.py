@@ -60,9 +60,9 @@ def term_diagnostics(terms: DataFrame, entities: DataFrame, declared: DataFrame,
     facts = entities.select(key, title, n_items, F.col(owner).alias("_owner"))
     rows = terms.select(key, term).join(facts, key, "left").withColumn("_t", tokens(F.col(term), 3))
     rows = rows.withColumn("_in_title", F.coalesce(all_tokens_match(F.col("_t"), tokens(F.col(title), 3)), F.lit(False))).withColumn("_specific", F.coalesce(F.col(n_items), F.lit(0)) <= upper)
-    items = declared.select(key, item).where(F.col(item).isNotNull()).distinct()
-    matching = terms.select(key, term).join(items, key).where(all_tokens_match(tokens(F.col(term), 3), tokens(F.col(item), 3))).select(key, term).distinct().withColumn("_match", F.lit(True))
-    rows = rows.join(matching, [key, term], "left")
+    # An entity's items are gathered, so that all tables meet at its key and no pair of a term and an item becomes a row.
+    items = declared.where(F.col(item).isNotNull()).groupBy(key).agg(F.collect_set(item).alias("_items"))
+    rows = rows.join(items, key, "left").withColumn("_match", F.exists("_items", lambda x: all_tokens_match(F.col("_t"), tokens(x, 3))))
     base = rows.groupBy(term).agg(
         F.count("*").alias("n"),
         F.avg(F.col("_in_title").cast("int")).alias("in_title"),
