@@ -25,23 +25,29 @@ def fisher_right(a: Column, b: Column, c: Column, d: Column) -> Column:
 
     Terms fall on both sides of the distribution's mode. Beyond it the right tail is summed from a upwards; else the left tail from a - 1 downwards is taken
     from 1. So the first term is the largest of its sum, from log factorials, and the others follow by their ratio to the one before.
-    They are negligible after some 6 times the square root of the least margin, which bounds the number of steps.
+    They are negligible after ten standard deviations and 50 steps (by Bennett's bound what is left is below e^-35 of the sum), nor are there more than some 6 times the square root of the least margin.
+    What a ratio is made of goes along from step to step: nothing else is computed anew for each.
     """
     row, column, n = a + b, a + c, a + b + c + d
     right = a.cast("double") * (n + 2) >= (row.cast("double") + 1) * (column + 1)
     start = F.when(right, a).otherwise(a - 1)
     first = F.exp(log_choose(row, start) + log_choose(n - row, column - start) - log_choose(n, column))
     count = F.when(right, F.least(row, column) - a).otherwise(a - 1 - F.greatest(F.lit(0), row + column - n))
-    steps = F.least(count, F.ceil(F.sqrt(32.0 * F.least(row, column, n - row, n - column))) + 2)
+    share = lambda x: F.try_divide(x.cast("double"), n)  # noqa: E731 (an empty table has no deviation)
+    deviation = F.sqrt(row * share(column) * share(n - row) * share(n - column))
+    steps = F.least(count, F.ceil(F.sqrt(32.0 * F.least(row, column, n - row, n - column))) + 2, F.ceil(10.0 * deviation) + 50)
 
-    def step(acc: Column, i: Column) -> Column:
-        x = F.when(right, start + i).otherwise(start - i).cast("double")
-        up = (row - x) * (column - x) / ((x + 1) * (n - row - column + x + 1))
-        down = x * (n - row - column + x) / ((row - x + 1) * (column - x + 1))
-        return F.struct((acc["sum"] + acc["term"]).alias("sum"), (acc["term"] * F.when(right, up).otherwise(down)).alias("term"))
+    # A ratio is u * v / (w * z); a step further away from the mode, either way, makes u and v less by 1 and w and z more.
+    x = start.cast("double")
+    up, down = (row - x, column - x, x + 1, n - row - column + x + 1), (x, n - row - column + x, row - x + 1, column - x + 1)
+    walk = F.struct(F.lit(0.0).alias("sum"), first.alias("term"), *(F.when(right, i).otherwise(j).alias(k) for k, i, j in zip("uvwz", up, down, strict=True)))
+
+    def step(acc: Column, _: Column) -> Column:
+        u, v, w, z = (acc[k] for k in "uvwz")
+        return F.struct((acc["sum"] + acc["term"]).alias("sum"), (acc["term"] * (u * v / (w * z))).alias("term"), (u - 1).alias("u"), (v - 1).alias("v"), (w + 1).alias("w"), (z + 1).alias("z"))
 
     # The last term is added after the walk, so that no ratio beyond the end is asked for.
-    done = F.aggregate(F.sequence(F.lit(0).cast("bigint"), steps - 1), F.struct(F.lit(0.0).alias("sum"), first.alias("term")), step, lambda x: x["sum"] + x["term"])
+    done = F.aggregate(F.sequence(F.lit(0).cast("bigint"), steps - 1), walk, step, lambda x: x["sum"] + x["term"])
     total = F.when(steps > 0, done).otherwise(first)
     return F.when(a <= F.greatest(F.lit(0), row + column - n), F.lit(1.0)).when(right, F.least(F.lit(1.0), total)).otherwise(F.greatest(F.lit(0.0), 1 - total))
 

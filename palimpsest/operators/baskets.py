@@ -65,9 +65,10 @@ def pair_counts(sets: DataFrame, by: list[str] | None = None, block: int = 512)
     """(by, a, b, n): in how many sets both items are. Sets of up to ``block`` items give their pairs in place; larger ones in blocks over many tasks."""
     by = by or []
     some = sets.where(F.size("items") > 1)
-    small = some.where(F.size("items") <= block).select(*by, F.explode(pairs_in(F.col("items"))).alias("p"))
+    at = some.where(F.size("items") <= block).select(*by, "items", F.posexplode_outer("items").alias("_i", "a")).where(F.col("_i") < F.size("items") - 1)
+    small = at.select(*by, "a", F.explode_outer(F.slice("items", F.col("_i") + 2, F.size("items"))).alias("b"))
     large = block_pairs(some.where(F.size("items") > block), by, block)
-    return small.union(large).groupBy(*by, F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
+    return small.union(large.select(*by, "p.a", "p.b")).groupBy(*by, "a", "b").agg(F.count("*").alias("n"))
 
 
 def association(sets: DataFrame) -> DataFrame:

@@ -1,10 +1,14 @@
 """Operators whose intermediate tables must not outgrow their input: results against plain loops, and where their plans shuffle."""
 
+import math
+from collections import Counter
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest import log_queries, queries
+from palimpsest.functions import stats
 from palimpsest.operators import baskets, dims, xwalk
 from palimpsest.sources import raw
 
@@ -78,3 +82,45 @@ def test_files_of_the_stream_grow_with_the_lines(spark, monkeypatch):
     orders = spark.read.parquet(f"{DATA}/orders.parquet").count()
     assert made and len(made[0][0]) == -(-orders // 200) > 4 and made[0][1] == -(-len(made[0][0]) // 4)
     assert sorted(map(str, got)) == sorted(map(str, log_queries.master_skills(spark, DATA).collect()))
+
+
+def test_steps_of_fisher_compute_ratios_only(spark):
+    def exact(a, b, c, d):
+        """Terms by their ratios from the mode outwards, all of them."""
+        row, column, n = a + b, a + c, a + b + c + d
+        low, high = max(0, row + column - n), min(row, column)
+        mode = min(high, max(low, (row + 1) * (column + 1) // (n + 2)))
+        terms = {mode: 1.0}
+        for x in range(mode, high):
+            terms[x + 1] = terms[x] * ((row - x) * (column - x) / ((x + 1) * (n - row - column + x + 1)))
+        for x in range(mode, low, -1):
+            terms[x - 1] = terms[x] * (x * (n - row - column + x) / ((row - x + 1) * (column - x + 1)))
+        return math.fsum(v for x, v in terms.items() if x >= a) / math.fsum(terms.values())
+
+    margins = [(60_000, 60_000, 1_000_000), (300, 90_000, 100_000), (99_000, 98_000, 100_000), (40, 50_000, 100_000), (1000, 1000, 900_000), (3, 4, 9), (1, 1, 1)]
+    tables = [(0, 0, 0, 0)]
+    for row, column, n in margins:
+        low, high, mean = max(0, row + column - n), min(row, column), row * column / n
+        deviation = math.sqrt(mean * (n - row) / n * (n - column) / n)
+        for x in {min(high, max(low, round(mean + k * deviation))) for k in (-5, -2, -0.3, 0, 0.3, 1, 3, 6, 20)}:
+            tables.append((x, row - x, column - x, n - row - column + x))
+    df = spark.createDataFrame(tables, "a long, b long, c long, d long")
+    got = df.select("*", stats.fisher_right(*(F.col(x) for x in "abcd")).alias("p"))
+    text = plan(got.coalesce(1))
+    assert "aggregate(sequence(" in text and all("CASE" not in x.split("lambdafunction(")[1] for x in text.split("aggregate(sequence(")[1:])
+    for r in got.collect():
+        assert r.p == pytest.approx(exact(*r[:4]) if sum(r[:4]) else 1.0, rel=1e-6, abs=1e-9), r
+
+
+def test_pairs_in_place_are_those_of_blocks(spark):
+    sets = spark.createDataFrame([("g", ["a", "b", "c", "d"]), ("g", ["b", "d"]), ("h", ["a"]), ("h", []), ("h", ["a", "d"])], "k string, items array<string>")
+    want = Counter((k, *p) for k, items in sets.collect() for p in combinations(items, 2))
+    for block in (1, 2, 512):
+        df = baskets.pair_counts(sets, ["k"], block)
+        assert {(r.k, r.a, r.b): r.n for r in df.collect()} == want
+    assert "flatten" not in plan(baskets.pair_counts(sets.where(F.size("items") <= 512), ["k"])).split("Union")[1].split("Generate posexplode")[0]
+
+
+def test_groups_of_crossing_pairs_take_no_lines(spark):
+    df = queries.crossing_pairs(spark, DATA)
+    assert not any("lineitem" in f for f in df.inputFiles()) and df.count()
