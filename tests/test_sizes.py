@@ -4,12 +4,14 @@ import math
 from collections import Counter
 from itertools import combinations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest import log_queries, queries
+from palimpsest import log_queries, queries, report_queries
 from palimpsest.functions import stats
 from palimpsest.operators import baskets, dims, xwalk
+from palimpsest.plans import reports
 from palimpsest.sources import raw
 
 DATA = "/root/testdata/sf0.001"
@@ -124,3 +126,40 @@ def test_pairs_in_place_are_those_of_blocks(spark):
 def test_groups_of_crossing_pairs_take_no_lines(spark):
     df = queries.crossing_pairs(spark, DATA)
     assert not any("lineitem" in f for f in df.inputFiles()) and df.count()
+
+
+def test_association_report_makes_its_sets_once(spark):
+    df = report_queries.association_report(spark, DATA)
+    assert not any(t in f for f in df.inputFiles() for t in ("lineitem", "orders", "part.parquet"))
+    assert "rangepartitioning" not in plan(df)  # pairs that never occur are numbered, not sorted
+
+
+def test_association_report_on_odd_lines(spark, tmp_path):
+    """Lines of unknown parts, without order, part, number or flag, and an order twice, against the statement."""
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet")
+    some = lines.where("l_orderkey < 400")
+    odd = some.withColumn("l_partkey", F.lit(10**9).cast("bigint")).unionByName(some.withColumn("l_partkey", F.lit(None).cast("bigint"))).where("l_orderkey % 3 = 0")
+    for c in ("l_orderkey", "l_linenumber", "l_returnflag"):
+        odd = odd.unionByName(some.where("l_orderkey % 4 = 1").withColumn(c, F.lit(None).cast(some.schema[c].dataType)))
+    orders = spark.read.parquet(f"{DATA}/orders.parquet")
+    orders = orders.where("o_orderkey % 7 > 0").unionByName(orders.where("o_orderkey % 5 = 0").withColumn("o_custkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey"))))
+    duck = duckdb.connect()
+    for name, df in {"lineitem": lines.unionByName(odd), "orders": orders, "part": spark.read.parquet(f"{DATA}/part.parquet")}.items():
+        df.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = duck.execute(f"SELECT block, a, b, n FROM ({queries.oracle_sql()['association_report']})").fetchall()
+    got = report_queries.association_report(spark, str(tmp_path)).select("block", "a", "b", "n").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 100
+
+
+def test_association_report_from_attributions(spark):
+    """Fields from the attributions or from a catalog; the places of absent pairs; the funnel's counts."""
+    rows = [(e, i, "g" if i < "d" else "h") for e, items in enumerate(["ab", "ab", "ab", "abc", "bd", "bd", "ad", "c", "c", "c", "ce", "ce", "ce", ""]) for i in items]
+    programs = spark.createDataFrame([(e, i, "programa_propio", 2, False, f) for e, i, f in rows], "aviso_id int, programa_propio string, tipo_entrada string, n_entradas_declaradas_aviso int, atribucion_multiple boolean, isced_estrecho_cod string")
+    entities = spark.createDataFrame([(e, e % 2 if e < 12 else None) for e in range(13)], "aviso_id int, empresa_id int")
+    catalog = programs.select(F.col("programa_propio").alias("item"), F.lit("x").alias("narrow")).distinct()
+    own, given = reports.association_report(programs, entities, least=1), reports.association_report(programs, entities, least=1, fields=catalog)
+    assert tuple(own["funnel"].first())[:4] == tuple(given["funnel"].first())[:4] == (13, 3, 10, 9)
+    assert [(r.place, r.group, r.a, r.b) for r in own["never_together"].orderBy("place").collect()] == [(1, "h", "d", "e")]
+    assert [(r.a, r.b) for r in given["never_together"].orderBy("place").collect()] == [("b", "e"), ("a", "e"), ("c", "d"), ("d", "e")]
+    assert given["crossing"].count() == 0
