@@ -37,6 +37,48 @@ def test_never_together_shuffles_no_pairs(spark, chunk):
     assert sorted((r.place, *tuple(r)[:5]) for r in placed.collect()) == [(k, *r) for k, r in enumerate(want, 1)]
 
 
+@pytest.mark.parametrize(("chunk", "block", "known"), [(1, 1, 64 << 20), (7, 16, 64 << 20), (1024, 64, 0)])
+def test_places_of_absent_pairs_stage_no_row_an_item_and_chunk(spark, monkeypatch, chunk, block, known):
+    stored = []
+
+    def counting(df, name, keep=raw.staged):
+        out = keep(df, name)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(baskets, "KNOWN_BYTES", known)
+    monkeypatch.setattr(baskets, "TASK_ROWS", 50)
+    for module in (baskets, raw):
+        monkeypatch.setattr(module, "staged", counting)
+    freq = {k: (3 + k * 7 % 90, k % 3) for k in range(240)}
+    items = spark.createDataFrame([(k, f, g) for k, (f, g) in freq.items()] + [(None, 9, 1), (500, 9, None)], "item long, degree long, g int")
+    seen = {(a, b) for a, b in combinations(freq, 2) if a * b % 11 == 3 or a == 30 or 100 < a < 120}
+    pairs = spark.createDataFrame([(a, b) for a, b in seen for _ in range(1 + (a + b) % 2)], "a long, b long")
+    want = [(g, a, b, na, nb) for a, (na, g) in freq.items() for b, (nb, h) in freq.items() if a < b and g == h and (a, b) not in seen]
+    want.sort(key=lambda r: (-r[3] - r[4], *r[:3]))
+    df = baskets.never_together(items, pairs, "item", "degree", "g", placed=True, chunk=chunk, block=block)
+    assert "array_except" not in plan(df) and "Exchange hashpartitioning(group" in plan(df)
+    assert sorted((r.place, *tuple(r)[:5]) for r in df.collect()) == [(k, *r) for k, r in enumerate(want, 1)]
+    assert chunk == 1 or max(stored) < len(want) / 4  # by the items' blocks, though nearly each item has a frequency of its own
+    plain = baskets.never_together(items, pairs, "item", "degree", "g", chunk=chunk, block=block)
+    assert sorted(map(tuple, plain.collect())) == sorted(want)
+
+
+def test_pairs_of_one_group_come_from_sets_stored_once(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(queries, "staged", lambda df, name: stored.append(name) or raw.staged(df, name))
+    df = queries.never_together(spark, DATA)
+    assert stored == ["sets"] and "lineitem" not in plan(df)
+    sets = spark.createDataFrame([([1, 3, 4, 6],), ([1, 2, 3],), (list(range(1, 9)),)], "items array<long>")
+    own = baskets.pair_counts(sets, block=4, alike=F.col("a") % 2 == F.col("b") % 2)
+    assert sorted(map(tuple, own.collect())) == sorted(tuple(r) for r in baskets.pair_counts(sets).collect() if r.a % 2 == r.b % 2)
+
+
+def test_absent_pairs_of_no_items(spark):
+    items, pairs = spark.createDataFrame([(1, 2, 1)], "item long, degree long, g int"), spark.createDataFrame([], "a long, b long")
+    assert [baskets.never_together(items, pairs, "item", "degree", "g", placed=p).count() for p in (False, True)] == [0, 0]
+
+
 @pytest.mark.parametrize("limit", [0, 1000])
 def test_attribution_shuffles_mentions_only(spark, monkeypatch, limit):
     monkeypatch.setattr(xwalk, "SMALL_CATALOG", limit)
