@@ -27,7 +27,7 @@ def attribution(bridge_rows: DataFrame, crosswalk: DataFrame, programs: DataFram
     crosswalk: item, program, code, kind; programs: program, area, broad, narrow, detailed; codes: code.
 
     ``mentions``: how many rows bridge_rows has, if that is known. Then, if names and their destinations are at most ``SMALL_CATALOG`` rows, every task knows these: an entity's mentions are brought together
-    before they become destinations, of which there are many more, in as many tasks as keep each one's destinations in memory. Nothing but the mentions is shuffled.
+    before they become destinations, of which there are many more, in as many tasks as those need. Nothing but the mentions is shuffled.
     """
     full = lambda c: F.nullif(F.trim(c), F.lit(""))
     is_program = F.col("program").isNotNull()
@@ -51,14 +51,36 @@ def attribution(bridge_rows: DataFrame, crosswalk: DataFrame, programs: DataFram
         width, names, all_ends = *named.agg(F.count("*"), F.countDistinct(item)).first(), ends.count()
         if max(width, all_ends) <= SMALL_CATALOG:
             tasks = max(int(bridge_rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(mentions * width / max(names, 1) / TASK_ROWS))
-            hit = said.repartition(tasks, key).distinct().join(F.broadcast(named), item)
-            rows = hit.groupBy(key, "destination").agg(*by_entity)
-            return rows.join(F.broadcast(ends), "destination").select(key, "destination", "program", "area", "broad", "narrow", "detailed", "kind", "ambiguous", "origins")
+            kinds = named.groupBy("destination").agg(F.min("kind").alias("kind"), F.countDistinct(F.struct("kind")).alias("_kinds"))
+            ends = staged(ends.join(kinds, "destination").coalesce(1).withColumn("_id", F.monotonically_increasing_id()), "numbered")
+            goals = staged(named.join(ends.select("destination", "_id"), "destination").groupBy(item).agg(F.bool_or("_several").alias("_several"), F.collect_list("_id").alias("_goals")), "goals")
+            rows = _met_destinations(said.repartition(tasks, key).distinct().join(F.broadcast(goals), item), key, item).join(F.broadcast(ends), "_id")
+            if ends.where("_kinds > 1").limit(1).count():  # the kind is that of the first name, not the destination's
+                rows = rows.drop("kind").join(F.broadcast(named.select(F.col(item).alias("_one"), "destination", "kind")), ["_one", "destination"])
+            return rows.select(key, "destination", "program", "area", "broad", "narrow", "detailed", "kind", "ambiguous", "origins")
     hit = said.distinct().join(named, item)
     rows = hit.groupBy(key, "destination").agg(*by_entity)
     return rows.join(ends, "destination").select(key, "destination", "program", "area", "broad", "narrow", "detailed", "kind", "ambiguous", "origins")
 
 
+def _met_destinations(mentions: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, _id, origins, ambiguous, _one): a row per entity and destination, with the names that lead there in order and the first of them. mentions: key, item, _several, _goals, without repeats, an entity's in one task.
+
+    An entity's names become one array, sorted, and its hits another: numbers of destination, name and flag, in whose order each destination is a run. So nothing is kept or sorted by entity and destination.
+    """
+    bits = 1 + SMALL_CATALOG.bit_length()
+    entities = mentions.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(item, "_several", "_goals"))).alias("_e"))
+    hits = F.transform("_e", lambda x, i: F.transform(x["_goals"], lambda g: F.shiftleft(g, bits) + i * 2 + x["_several"].cast("int")))
+    arrays = entities.select(key, F.col(f"_e.{item}").alias("_names"), F.sort_array(F.flatten(hits)).alias("_hits"))
+    to = lambda hit: F.shiftright(hit, bits)
+    starts = F.filter(F.sequence(F.lit(0), F.size("_hits") - 1), lambda i: (i == 0) | (to(F.get("_hits", i)) != to(F.get("_hits", i - 1))))
+    each = arrays.withColumn("_starts", starts).select("*", F.posexplode_outer("_starts").alias("_j", "_i"))  # outer, so that no filter on the array goes below and computes it again
+    runs = each.select(key, "_names", F.slice("_hits", F.col("_i") + 1, F.coalesce(F.get("_starts", F.col("_j") + 1), F.size("_hits")) - F.col("_i")).alias("_run"))
+    name = lambda hit: F.get("_names", F.shiftright(hit.bitwiseAND((1 << bits) - 1), 1).cast("int"))
+    first = F.get("_run", 0)
+    return runs.select(key, to(first).alias("_id"), F.transform("_run", name).alias("origins"), F.exists("_run", lambda x: x % 2 == 1).alias("ambiguous"), name(first).alias("_one"))
+
+
 def coverage(mentions: DataFrame, crosswalk: DataFrame, item: str) -> DataFrame:
     """Mentions by outcome: resolved (a destination), no_program (only without), orphan (name unknown)."""
     known = crosswalk.groupBy(join_key(F.col("item")).alias("_key")).agg(F.bool_or(F.coalesce(F.trim("program"), F.lit("")) != "").alias("has_program"))

@@ -94,6 +94,21 @@ def test_attribution_shuffles_mentions_only(spark, monkeypatch, limit):
     assert sorted(map(str, df.collect())) == sorted(map(str, plain.collect())) and df.count() > 40
 
 
+@pytest.mark.parametrize("kind", ["own", None])
+def test_attribution_keeps_no_rows_by_entity_and_destination(spark, kind):
+    names = [f"n{i:03d}" for i in range(150)]
+    rows = spark.createDataFrame([(k, v) for k in range(6) for i, n in enumerate(names) if i % 5 >= k for v in (n, n.upper(), n)] + [(7, "unknown"), (8, None)], "id long, item string")
+    cross = [(n, f"p{(i + j) % 40}", "", kind or f"kind{i % 3}") for i, n in enumerate(names) for j in range(i % 4)] + [(n, "", f"{i % 7:04d}", "field") for i, n in enumerate(names) if i % 2]
+    cross = spark.createDataFrame(cross, "item string, program string, code string, kind string")
+    programs = spark.createDataFrame([(f"p{j}", "a", "07", "071", "0713") for j in range(38)], "program string, area string, broad string, narrow string, detailed string")
+    codes = spark.createDataFrame([("0004",)], "code string")
+    plain = xwalk.attribution(rows, cross, programs, codes, "id", "item")
+    df = xwalk.attribution(rows, cross, programs, codes, "id", "item", rows.count())
+    text = plan(df)
+    assert "destination" not in "".join(line for line in text.splitlines() if "Aggregate(keys=[id" in line) and "collect_set" not in text
+    assert sorted(map(str, df.collect())) == sorted(map(str, plain.collect())) and df.count() > 150
+
+
 def test_item_dim_has_tasks_for_its_lines(spark, monkeypatch):
     monkeypatch.setattr(queries, "TASK_LINES", 50)
     text = plan(queries.item_dim(spark, DATA))
